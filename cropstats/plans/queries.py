@@ -12,20 +12,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cropstats.functions.clean import (
+    clean_name,
+    clean_names,
+    display_number,
+    map_columns,
+    not_contains,
+    null_to_zero,
+    rename,
+    scale_truncate,
+    strip_and_cast,
+)
+from cropstats.operators.explore import members, value_counts, with_series_range
 from cropstats.operators.features import finish_features
-from cropstats.operators.joins import Dim, star_join
-from cropstats.operators.reshape import unpivot_years
-from cropstats.operators.stats import corr_pairs
+from cropstats.operators.joins import Dim, keys_present_in, star_join
+from cropstats.operators.ml import (
+    assemble,
+    bucket_split,
+    categorical,
+    evaluate,
+    linear_regression,
+    minmax,
+    pca_by_group,
+    pca_pipeline,
+    recipe,
+    standardize,
+)
+from cropstats.operators.reshape import explode_measures, unpivot_years
+from cropstats.operators.stats import corr_matrix, corr_pairs, matrix_to_long
+from cropstats.operators.weather import Measure, combine_stations, station_period, station_year
 from cropstats.plans.tables import (
     NATION_ROWS,
     customer_nation_mean,
+    land_csv,
     load,
+    money,
     supplier_nation_mean,
     yearly_orders_wide,
 )
+from cropstats.schemas import FLAG_VALUES
+from cropstats.session import scratch_path
+from cropstats.sources.catalog import databases, ensure_database, save_table, table
+from cropstats.sources.files import (
+    lookup_from_values,
+    read_station_daily,
+    read_yearly_files,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +183,427 @@ def _sql_corr_pairs(source: str, cols: list[str], by: list[str], digits: int) ->
 def q13_corr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA-3: all 3×3 correlations per country in one grouped aggregate."""
     return corr_pairs(order_features(spark, sf_dir), FEATURE_VARS, by=["Country"], digits=4)
+
+
+
+# --- Q03..Q09: reshaping, cleaning, unions, semi joins --------------------------------
+
+@register("q03_explode_measures", """
+SELECT c_custkey, 'c_acctbal' AS "Measure", CAST(c_acctbal AS DOUBLE) AS "Value" FROM customer
+UNION ALL
+SELECT c_custkey, 'c_nationkey' AS "Measure", CAST(c_nationkey AS DOUBLE) AS "Value" FROM customer""")
+def q03_explode_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSH-3, FN-9, PRJ-9: several measure columns → (name, value) rows."""
+    return explode_measures(load(spark, sf_dir, "customer"), ["c_custkey"],
+                            ["c_acctbal", "c_nationkey"], value_type="double")
+
+
+@register("q03b_explode_years", """
+WITH f AS (
+  SELECT c.c_nationkey, CAST(year(o.o_orderdate) AS INTEGER) AS yr, count(*) AS v
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY 1, 2),
+k AS (SELECT DISTINCT c_nationkey FROM f),
+y AS (SELECT DISTINCT yr FROM f)
+SELECT k.c_nationkey, y.yr AS "Year", f.v AS "Value"
+FROM k CROSS JOIN y LEFT JOIN f ON f.c_nationkey = k.c_nationkey AND f.yr = y.yr""")
+def q03b_explode_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RSH-4: integer-labelled columns (orders per year, pivoted) → (Year, Value) rows."""
+    facts = (load(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("yr"))
+             .join(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
+                   F.col("o_custkey") == F.col("c_custkey")))
+    wide = facts.groupBy("c_nationkey").pivot("yr").count()
+    years = [c for c in wide.columns if c != "c_nationkey"]
+    return explode_measures(wide, ["c_nationkey"], {int(y): y for y in years},
+                            name_col="Year", value_col="Value", name_type="int")
+
+
+@register("q04_strip_and_cast", """
+SELECT c_custkey, TRY_CAST(TRY_CAST(replace(c_name, 'Customer#', '') AS DOUBLE) AS INTEGER) AS c_name
+FROM customer""")
+def q04_strip_and_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-1, FN-2, PRJ-6: strip a pattern from chosen columns and cast, ANSI-safe."""
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return map_columns(customers, ["c_name"], lambda c: strip_and_cast(c, "Customer#", "int"))
+
+
+@register("q05_format_number", """
+SELECT s_suppkey, format('{:,.2f}', s_acctbal) AS acctbal_text FROM supplier""")
+def q05_format_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-5: presentation string with thousands separators."""
+    return load(spark, sf_dir, "supplier").select(
+        "s_suppkey", display_number("s_acctbal", 2).alias("acctbal_text"))
+
+
+@register("q06_rescale_truncate", """
+SELECT s_suppkey, CAST(trunc(s_acctbal * 10) AS INTEGER) AS score FROM supplier""")
+def q06_rescale_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-3, FN-4: (x × 10) truncated to int, as the corruption-index rescale."""
+    return load(spark, sf_dir, "supplier").select(
+        "s_suppkey", scale_truncate("s_acctbal", 10).alias("score"))
+
+
+@register("q07_null_to_zero", """
+SELECT n.n_nationkey, n.n_name,
+       CASE WHEN s.total IS NULL THEN 0 ELSE s.total END AS supplier_acctbal
+FROM nation n LEFT JOIN (
+  SELECT s_nationkey, CAST(SUM(CAST(s_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total
+  FROM supplier GROUP BY 1) s ON s.s_nationkey = n.n_nationkey""")
+def q07_null_to_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FN-7, JON-1: left join to a pre-aggregated side, missing → 0."""
+    totals = (load(spark, sf_dir, "supplier").groupBy("s_nationkey")
+              .agg(money("s_acctbal").alias("total")))
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return (nation.join(totals, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+                  .select("n_nationkey", "n_name",
+                          null_to_zero("total").alias("supplier_acctbal")))
+
+
+@register("q08_union_years", """
+SELECT o_orderkey, o_custkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS "Year"
+FROM orders""")
+def q08_union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-2, SET-1, SET-2, PRJ-5: per-year files in two column layouts, unioned by name.
+
+    The orders are first landed as one CSV folder per year (even years in one
+    column order, odd years reordered with an extra column), then read back
+    with the year taken from the path.
+    """
+    base = scratch_path(spark, "orders-by-year")
+    orders = load(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("yr"))
+    even = F.pmod(F.col("yr"), F.lit(2)) == 0
+    land_csv(orders.where(even).select("o_orderkey", "o_custkey", "o_totalprice", "yr"),
+             f"{base}/layout_a", "yr")
+    land_csv(orders.where(~even).select("o_totalprice", F.lit("x").alias("note"),
+                                        "o_custkey", "o_orderkey", "yr"),
+             f"{base}/layout_b", "yr")
+    return read_yearly_files(spark, base, {"o_orderkey": "bigint", "o_custkey": "bigint",
+                                           "o_totalprice": "double"}, r"yr=(\d{4})")
+
+
+@register("q09_country_dim", """
+SELECT DISTINCT n.n_nationkey, n.n_name, n.n_regionkey
+FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey""")
+def q09_country_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-8, AGG-7: codes that occur in the facts, as a left-semi join + distinct."""
+    return keys_present_in(load(spark, sf_dir, "nation"), load(spark, sf_dir, "customer"),
+                           "n_nationkey", "c_nationkey")
+
+
+# --- Q11: two-level aggregate (weather analogue) ----------------------------------------
+
+EVENT_MEASURES = (
+    Measure("AverageValue", "mean", "value", country_digits=2),
+    Measure("MinimumValue", "min", "value"),
+    Measure("MaximumValue", "max", "value"),
+    Measure("TotalValue", "sum", "value", country_digits=2),
+)
+
+
+@register("q11_two_level_agg", """
+WITH st AS (
+  SELECT event_type, user_id, CAST(ts AS DATE) AS "Day", avg(value) AS a, min(value) AS mn,
+         max(value) AS mx, COALESCE(sum(value), 0) AS s
+  FROM events GROUP BY 1, 2, 3)
+SELECT event_type, "Day", round(avg(a), 2) AS "AverageValue", min(mn) AS "MinimumValue",
+       max(mx) AS "MaximumValue", round(COALESCE(sum(s), 0), 2) AS "TotalValue"
+FROM st GROUP BY 1, 2""")
+def q11_two_level_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-3/4/5, FN-10: per (station, day) figures, then per (country, day).
+
+    Station = (event type, user), country = event type: each station belongs
+    to one country, as in the weather job.
+    """
+    per_station = station_period(load(spark, sf_dir, "events"), ["event_type", "user_id"],
+                                 F.to_date("ts"), "Day", EVENT_MEASURES)
+    return combine_stations(per_station, ["event_type", "Day"], EVENT_MEASURES)
+
+
+# --- Q12..Q14: correlations ---------------------------------------------------------------
+
+LINE_VARS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("q12_corr_pairs", "WITH t AS (SELECT * FROM lineitem)\n"
+          + _sql_corr_pairs("t", LINE_VARS, [], 6))
+def q12_corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-2: all pairs, pairwise-complete, one aggregate, long output."""
+    return corr_pairs(load(spark, sf_dir, "lineitem"), LINE_VARS, digits=6)
+
+
+@register("q13b_corr_returnflag", "WITH t AS (SELECT * FROM lineitem)\n"
+          + _sql_corr_pairs("t", ["l_quantity", "l_extendedprice"], ["l_returnflag"], 6))
+def q13b_corr_returnflag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-3 on a raw table: pairs per return flag."""
+    return corr_pairs(load(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"],
+                      by=["l_returnflag"], digits=6)
+
+
+@register("q14_corr_matrix", "WITH t AS (SELECT * FROM lineitem)\n"
+          + _sql_corr_pairs("t", LINE_VARS, [], 6))
+def q14_corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-1, ML-1: ``Correlation.corr`` matrix (k × k) → long table."""
+    m = corr_matrix(load(spark, sf_dir, "lineitem"), LINE_VARS)
+    return matrix_to_long(spark, m, LINE_VARS, digits=6)
+
+
+# --- Q15..Q22: ML stages ------------------------------------------------------------------
+
+SQL_TYPE_RANK = """
+ranked AS (
+  SELECT p_type, CAST(row_number() OVER (ORDER BY count(*) DESC, p_type) - 1 AS INTEGER) AS idx
+  FROM part GROUP BY p_type)"""
+
+
+@register("q15_string_index", "WITH" + SQL_TYPE_RANK
+          + "\nSELECT p_type, idx AS p_type_idx FROM ranked")
+def q15_string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-2, FN-13: frequency-ordered label index (ties by label)."""
+    part = load(spark, sf_dir, "part")
+    stages = categorical(["p_type"])
+    model = stages[0].fit(part)
+    return (model.transform(part)
+            .select("p_type", F.col("p_typeIndexed").cast("int").alias("p_type_idx"))
+            .distinct())
+
+
+ONE_HOT_WIDTH = 5  # six part types, last level dropped
+
+
+@register("q16_one_hot", "WITH" + SQL_TYPE_RANK + "\nSELECT p.p_partkey, "
+          + ", ".join(f"CASE WHEN r.idx = {j} THEN 1.0 ELSE 0.0 END AS oh_{j}"
+                      for j in range(ONE_HOT_WIDTH))
+          + "\nFROM part p JOIN ranked r ON r.p_type = p.p_type")
+def q16_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-3: one-hot of the label index, last level dropped, as columns."""
+    part = load(spark, sf_dir, "part")
+    model = Pipeline(stages=categorical(["p_type"], drop_last=True)).fit(part)
+    width = len(model.stages[0].labelsArray[0]) - 1
+    arr = vector_to_array(F.col("p_typeEncoded"))
+    return model.transform(part).select(
+        "p_partkey", *[arr[j].alias(f"oh_{j}") for j in range(width)])
+
+
+@register("q17_min_max", """
+SELECT p_partkey, round((p_retailprice - min(p_retailprice) OVER ())
+       / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()), 9) AS scaled
+FROM part""")
+def q17_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-5: MinMaxScaler over one column."""
+    part = load(spark, sf_dir, "part")
+    model = Pipeline(stages=minmax("p_retailprice", "scaled_vec")).fit(part)
+    return model.transform(part).select(
+        "p_partkey", F.round(vector_to_array(F.col("scaled_vec"))[0], 9).alias("scaled"))
+
+
+@register("q18_standardize", """
+SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ())
+       / stddev_samp(p_retailprice) OVER (), 9) AS standardized
+FROM part""")
+def q18_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-6: StandardScaler with mean and std."""
+    part = load(spark, sf_dir, "part")
+    model = Pipeline(stages=[assemble(["p_retailprice"], "v"),
+                             standardize("v", "std_vec")]).fit(part)
+    return model.transform(part).select(
+        "p_partkey", F.round(vector_to_array(F.col("std_vec"))[0], 9).alias("standardized"))
+
+
+SQL_PART_STD = """
+s AS (
+  SELECT p_type,
+         (p_retailprice - avg(p_retailprice) OVER ()) / stddev_samp(p_retailprice) OVER () AS x,
+         (p_size - avg(p_size) OVER ()) / stddev_samp(p_size) OVER () AS y
+  FROM part),
+c AS (SELECT corr(p_retailprice, p_size) AS r FROM part)"""
+
+PCA_INPUTS = ["p_retailprice", "p_size"]
+
+
+def _part_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").select(
+        "p_type", *[F.col(c).cast("double").alias(c) for c in PCA_INPUTS])
+
+
+@register("q19_pca_by_group", "WITH" + SQL_PART_STD + """
+SELECT p_type, round(abs(avg((x + sign(c.r) * y) / sqrt(2))), 6) AS pc1_mean_abs,
+       round(abs(avg((x - sign(c.r) * y) / sqrt(2))), 6) AS pc2_mean_abs
+FROM s, c GROUP BY p_type""")
+def q19_pca_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-6/7/8, AGG-8: PCA(2) of standardised columns, mean coordinates per group.
+
+    Absolute values: with two standardised inputs both loadings of a
+    component have equal magnitude, so no sign rule can fix them (K19).
+    """
+    means = pca_by_group(_part_numeric(spark, sf_dir), PCA_INPUTS, ["p_type"], k=2)
+    return means.select("p_type", F.round(F.abs("PC1"), 6).alias("pc1_mean_abs"),
+                        F.round(F.abs("PC2"), 6).alias("pc2_mean_abs"))
+
+
+@register("q20_pca_variance", """
+WITH c AS (SELECT corr(p_retailprice, p_size) AS r FROM part)
+SELECT 1 AS component, round((1 + abs(r)) / 2, 9) AS explained FROM c
+UNION ALL
+SELECT 2 AS component, round((1 - abs(r)) / 2, 9) AS explained FROM c""")
+def q20_pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-7: explained variance ratio of each component (k values)."""
+    model = pca_pipeline(PCA_INPUTS, k=2).fit(_part_numeric(spark, sf_dir))
+    ratios = [float(v) for v in model.stages[-1].explainedVariance]
+    out = spark.createDataFrame([(i + 1, v) for i, v in enumerate(ratios)],
+                                "component int, explained double")
+    return out.withColumn("explained", F.round("explained", 9))
+
+
+def split_bucket() -> F.Column:
+    return F.pmod(F.col("l_orderkey") * F.lit(7919), F.lit(100))
+
+
+@register("q21_regression_eval", """
+WITH d AS (SELECT l_quantity AS x, l_extendedprice AS y, (l_orderkey * 7919) % 100 AS b
+           FROM lineitem),
+fit AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS c FROM d WHERE b < 80),
+t AS (SELECT y, fit.c + fit.a * x AS p FROM d, fit WHERE b >= 80)
+SELECT round(sqrt(avg((y - p) * (y - p))), 4) AS rmse,
+       round(1 - sum((y - p) * (y - p)) / (count(*) * var_pop(y)), 6) AS r2
+FROM t""")
+def q21_regression_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-9, ML-11, ML-12: fit on a key-bucket split, RMSE and R² on the rest."""
+    data = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")
+    train, test = bucket_split(data, split_bucket(), 80)
+    model = Pipeline(stages=[assemble(["l_quantity"]),
+                             linear_regression(label="l_extendedprice")]).fit(train)
+    scored = evaluate(model.transform(test), "l_extendedprice")
+    return scored.select(F.round("rmse", 4).alias("rmse"), F.round("r2", 6).alias("r2"))
+
+
+@register("q22_regression_recipe", """
+SELECT p_partkey, round(avg(p_retailprice) OVER (PARTITION BY p_type), 4) AS prediction
+FROM part""")
+def q22_regression_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-2/3/9/10: indexer + one-hot + assembler + regression as one pipeline.
+
+    On one-hot features alone the least-squares fit is the per-category mean,
+    which gives the oracle.
+    """
+    part = load(spark, sf_dir, "part")
+    pipe = Pipeline(stages=categorical(["p_type"], drop_last=True)
+                    + [assemble(["p_typeEncoded"]), linear_regression(label="p_retailprice")])
+    return pipe.fit(part).transform(part).select(
+        "p_partkey", F.round("prediction", 4).alias("prediction"))
+
+
+@register("q22b_recipe_m1")
+def q22b_recipe_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-13 (recipe m1), ML-11, ML-12 on the feature table: RMSE and R² on held-out rows."""
+    features = order_features(spark, sf_dir)
+    train, test = bucket_split(features, F.pmod(F.col("Year") * 31 + F.length("Country"),
+                                                F.lit(100)), 80)
+    model = recipe("m1", label="Yield").fit(train)
+    return evaluate(model.transform(test), "Yield", digits=6)
+
+
+# --- Q23..Q29: exploration, filters, lookups, catalog, landed files ---------------------
+
+@register("q23_value_counts", 'SELECT p_type, count(*) AS "count" FROM part GROUP BY p_type')
+def q23_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-1, AGG-2: rows per label."""
+    return value_counts(load(spark, sf_dir, "part"), "p_type")
+
+
+@register("q24_series", "WITH" + SQL_FACTS + """,
+s AS (SELECT * FROM long WHERE n_name = 'NATION_1' AND c_mktsegment = 'BUILDING')
+SELECT s.n_name, s.c_mktsegment, s."Year", s."Yield", m."min_Yield", m."max_Yield"
+FROM s JOIN (SELECT n_name, c_mktsegment, min("Yield") AS "min_Yield",
+                    max("Yield") AS "max_Yield" FROM s GROUP BY 1, 2) m
+  ON m.n_name = s.n_name AND m.c_mktsegment = s.c_mktsegment""")
+def q24_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-3, FLT-7, PRJ-1, ORD-1, AGG-9: one country-item series with its range."""
+    series = members(q01_unpivot_years(spark, sf_dir),
+                     "n_name = 'NATION_1' AND c_mktsegment = 'BUILDING'",
+                     ["n_name", "c_mktsegment", "Year", "Yield"])
+    return with_series_range(series, "Yield", ["n_name", "c_mktsegment"]).orderBy("Year")
+
+
+@register("q25_not_contains", """
+SELECT p_partkey, p_name, p_size, p_retailprice FROM part
+WHERE NOT contains(p_name, 'red') AND p_size BETWEEN 10 AND 40
+  AND p_retailprice > 950 AND p_brand IS NOT NULL""")
+def q25_not_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-1, FLT-4, FLT-5, FLT-6, FN-8: pushed-down scan filters."""
+    part = load(spark, sf_dir, "part")
+    return (part.where(not_contains("p_name", "red") & F.col("p_size").between(10, 40)
+                       & (F.col("p_retailprice") > 950) & F.col("p_brand").isNotNull())
+                .select("p_partkey", "p_name", "p_size", "p_retailprice"))
+
+
+def _sql_values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" for v in r) + ")"
+                     for r in rows)
+
+
+@register("q26_lookup_decode", f"""
+SELECT o.o_orderkey, o.o_orderstatus, f.text AS status_text
+FROM orders o LEFT JOIN (VALUES {_sql_values(FLAG_VALUES)}) f(code, text)
+  ON f.code = o.o_orderstatus""")
+def q26_lookup_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-7, SRC-8, JON-2: decode status codes with the flag lookup (11 rows, broadcast)."""
+    flags = F.broadcast(lookup_from_values(spark, FLAG_VALUES))
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return (orders.join(flags, F.col("o_orderstatus") == F.col("Flag"), "left")
+                  .select("o_orderkey", "o_orderstatus", F.col("Flags").alias("status_text")))
+
+
+@register("q27_table_roundtrip", "SELECT * FROM nation")
+def q27_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CAT-1, CAT-2, SNK-1, SRC-6: create a database, save a table, read it back."""
+    db = "cropstats_roundtrip"
+    ensure_database(spark, db, scratch_path(spark, "warehouse"))
+    if db not in databases(spark):
+        raise RuntimeError(f"database {db} not listed")
+    save_table(load(spark, sf_dir, "nation"), f"{db}.nation", fmt="parquet")
+    return table(spark, f"{db}.nation")
+
+
+MESSY_NAMES = {"p_partkey": "Part Key (ID)", "p_name": "Part Name", "p_brand": "Part Brand",
+               "p_type": "Part Type", "p_size": "Part Size", "p_retailprice": "Retail Price (USD)"}
+
+
+@register("q28_clean_names", "SELECT " + ", ".join(
+    f'{k} AS "{clean_name(v)}"' for k, v in MESSY_NAMES.items()) + " FROM part")
+def q28_clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-3, PRJ-4: rename several columns, then strip spaces and parentheses."""
+    return clean_names(rename(load(spark, sf_dir, "part"), MESSY_NAMES))
+
+
+@register("q29_station_files", """
+SELECT CAST(user_id AS VARCHAR) AS "StationId", CAST(year(ts) AS INTEGER) AS "Year",
+       round(avg(value), 6) AS "AverageTemperature", min(value) AS "MinimumTemperature",
+       max(value) AS "MaximumTemperature", round(sum(value), 6) AS "Precipitation",
+       CAST(NULL AS DOUBLE) AS "SnowDepth", CAST(NULL AS DOUBLE) AS "WindSpeed",
+       CAST(NULL AS DOUBLE) AS "PeakWindGust", CAST(NULL AS DOUBLE) AS "SeaLevelPressure",
+       CAST(0 AS BIGINT) AS "SunshineDuration"
+FROM events GROUP BY 1, 2""")
+def q29_station_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3, AGG-4, FN-10, UDF-1 replacement: per-station gzip CSVs → station-year figures.
+
+    Events are landed as headerless gzip CSV, one folder per user (the
+    station), daily schema with the value in the temperature and
+    precipitation columns and the other readings missing; then read in one
+    scan with the station id taken from the path.
+    """
+    base = scratch_path(spark, "station-daily")
+    v = F.col("value").cast("double")
+    none = F.lit(None)
+    daily = load(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("Date"), v.alias("AverageTemperature"),
+        v.alias("MinimumTemperature"), v.alias("MaximumTemperature"), v.alias("Precipitation"),
+        none.cast("double").alias("SnowDepth"), none.cast("int").alias("WindDirection"),
+        none.cast("double").alias("WindSpeed"), none.cast("double").alias("PeakWindGust"),
+        none.cast("double").alias("SeaLevelPressure"),
+        none.cast("double").alias("SunshineDuration"), "user_id")
+    land_csv(daily, base, "user_id", header=False, compression="gzip")
+    readings = read_station_daily(spark, base, id_regex=r"user_id=([^/]+)/")
+    figures = station_year(readings, "StationId", "Date", first_year=None, last_year=None)
+    return figures.withColumns({
+        "AverageTemperature": F.round("AverageTemperature", 6),
+        "Precipitation": F.round("Precipitation", 6)})

@@ -81,3 +81,21 @@ def customer_nation_mean(spark: SparkSession, sf_dir: str, out: str = "AcctBal")
     return (load(spark, sf_dir, "customer")
             .groupBy(F.col("c_nationkey").alias("nationkey"))
             .agg((money("c_acctbal") / F.count("c_acctbal")).alias(out)))
+
+
+def land_csv(df: DataFrame, path: str, partition_col: str, header: bool = True,
+             compression: str | None = None, spread: int = 4) -> None:
+    """Write ``df`` as CSV, one folder per value of ``partition_col``.
+
+    Used to land inputs in the layout the file readers expect (one file
+    group per year or per station). Rows are clustered by the partition
+    column plus a deterministic salt in [0, spread), so a value holding a
+    third of all rows is written by ``spread`` tasks, not one, and a retried
+    task rewrites exactly the same rows.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
+    writer = (df.repartition(F.col(partition_col), salt).write.mode("overwrite")
+              .partitionBy(partition_col).option("header", header))
+    if compression:
+        writer = writer.option("compression", compression)
+    writer.csv(path)
