@@ -13,11 +13,14 @@ only ships a TPC-H-like star schema, so each reference role gets a stand-in
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropstats.operators.joins import bounded_broadcast
 from cropstats.operators.reshape import pivot_years
+from cropstats.session import checkpoint_dir
 
 NATION_ROWS = 10_000  # bound for broadcasting the nation hub
 
@@ -34,8 +37,12 @@ def money(c: str):
 def yearly_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long facts (c_nationkey, c_mktsegment, yr, v, f, n): the crop-yield analogue.
 
-    v = order total, f = max status (flag), n = max priority (note). The
-    per-year aggregate runs before anything is joined to nation.
+    v = order total, f = highest status code (flag), n = highest priority
+    level as text (note). Every aggregate buffer is fixed-width (decimal sum,
+    max of ints), so the plan is a partial + final *hash* aggregate; ``max`` of
+    a string would force a sort-based aggregate that sorts every joined order
+    on the map side. ``chr(max(ascii(s)))`` equals ``max(s)`` for one-letter
+    codes. The per-year aggregate runs before anything is joined to nation.
     """
     orders = load(spark, sf_dir, "orders").select(
         "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority",
@@ -44,16 +51,24 @@ def yearly_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
                   .groupBy("c_nationkey", "c_mktsegment", "yr")
                   .agg(money("o_totalprice").alias("v"),
-                       F.max("o_orderstatus").alias("f"),
-                       F.max("o_orderpriority").alias("n")))
+                       F.chr(F.max(F.ascii("o_orderstatus"))).alias("f"),
+                       F.max(F.substring("o_orderpriority", 1, 1).try_cast("int"))
+                        .cast("string").alias("n")))
 
 
 def yearly_orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide table in the production-file layout: keys + Y<yr>, Y<yr>F, Y<yr>N."""
+    """Wide table in the production-file layout: keys + Y<yr>, Y<yr>F, Y<yr>N.
+
+    The facts (nations × segments × years rows) are checkpointed to the
+    shared checkpoint folder: the pivot first needs the distinct years, and
+    without the checkpoint that would run the whole orders ⋈ customer
+    aggregate twice.
+    """
     nation = bounded_broadcast(load(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
                                NATION_ROWS)
-    wide = pivot_years(yearly_order_facts(spark, sf_dir), ["c_nationkey", "c_mktsegment"],
-                       "yr", "v", "f", "n")
+    checkpoint_dir(spark)
+    facts = yearly_order_facts(spark, sf_dir).checkpoint(eager=True)
+    wide = pivot_years(facts, ["c_nationkey", "c_mktsegment"], "yr", "v", "f", "n")
     return (wide.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
                 .drop("c_nationkey"))
 
@@ -83,6 +98,28 @@ def customer_nation_mean(spark: SparkSession, sf_dir: str, out: str = "AcctBal")
             .agg((money("c_acctbal") / F.count("c_acctbal")).alias(out)))
 
 
+def landed_path(spark: SparkSession, name: str, source: str) -> tuple[str, bool]:
+    """Folder for files landed from ``source`` and whether they are complete.
+
+    Landed inputs live below the shared checkpoint folder under a name
+    derived from the source, so repeated reads of the same source reuse
+    them. Completeness is a marker written after the last file.
+    """
+    base = checkpoint_dir(spark)
+    digest = hashlib.sha1(f"{name}|{source}".encode()).hexdigest()[:16]
+    path = f"{base.rstrip('/')}/landed/{name}-{digest}"
+    try:
+        done = spark.read.text(f"{path}/_landed_marker").count() == 1
+    except Exception:  # noqa: BLE001  (missing folder: not landed yet)
+        done = False
+    return path, done
+
+
+def mark_landed(spark: SparkSession, path: str) -> None:
+    spark.createDataFrame([("done",)], "value string").coalesce(1).write \
+        .mode("overwrite").text(f"{path}/_landed_marker")
+
+
 def land_csv(df: DataFrame, path: str, partition_col: str, header: bool = True,
              compression: str | None = None, spread: int = 4) -> None:
     """Write ``df`` as CSV, one folder per value of ``partition_col``.
