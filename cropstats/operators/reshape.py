@@ -70,7 +70,7 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str],
     src = df
     if value_type:
         src = df.select(*[_q(c) for c in ids],
-                        *[_q(c).cast(value_type).alias(c) for c in values])
+                        *[_q(c).try_cast(value_type).alias(c) for c in values])
     return src.unpivot(list(ids), list(values), variable_col, value_col)
 
 
@@ -97,7 +97,8 @@ def unpivot_years(df: DataFrame, id_cols: Sequence[str] | None = None,
 
     def part(group: Mapping[str, str], kind: str, to: str) -> Column:
         name = group.get(kind)
-        return (_q(name) if name else F.lit(None)).cast(to)
+        # try_cast: a text cell such as '-' becomes NULL instead of failing (K6)
+        return _q(name).try_cast(to) if name else F.lit(None).cast(to)
 
     entries = [
         F.struct(F.lit(year).cast("int").alias(year_col),

@@ -82,6 +82,18 @@ def register(name: str, oracle: str | None = None):
 
 # --- shared SQL fragments -------------------------------------------------------
 
+def sql_round(expr: str, digits: int) -> str:
+    """DuckDB rounding that matches Spark's ``round`` of a double.
+
+    Spark rounds half-up on the double's shortest decimal text (35.935 →
+    35.94); DuckDB's ``round(double)`` works on the binary value
+    (35.934999… → 35.93). Going through text and an exact DECIMAL gives the
+    Spark result.
+    """
+    return (f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,12)), {digits}) "
+            f"AS DOUBLE)")
+
+
 SQL_FACTS = """
 facts AS (
   SELECT c.c_nationkey, c.c_mktsegment, CAST(year(o.o_orderdate) AS INTEGER) AS yr,
@@ -115,7 +127,7 @@ features AS (
   SELECT long."Year", long.n_name AS "Country", long.c_mktsegment AS "Item",
          hub.n_regionkey AS "Region",
          CASE WHEN long."Yield" IS NULL THEN 0 ELSE CAST(trunc(long."Yield") AS BIGINT) END AS "Yield",
-         round(temp."Temperature", 2) AS "Temperature", attr."AcctBal"
+         """ + sql_round('temp."Temperature"', 2) + """ AS "Temperature", attr."AcctBal"
   FROM long
   JOIN nation hub ON hub.n_nationkey = long.n_nationkey
   JOIN temp ON temp.nationkey = long.n_nationkey AND temp."Year" = long."Year"
@@ -305,23 +317,46 @@ EVENT_MEASURES = (
 )
 
 
+def _sql_half_up_div(num: str, den: str) -> str:
+    """Integer ``num / den`` rounded half away from zero (den > 0)."""
+    return (f"(sign({num}) * ((abs(CAST({num} AS HUGEINT)) * 2 + {den}) // (2 * ({den}))))")
+
+
+# Oracle in exact integers: cents → station means in 1e-6 units (Spark's
+# decimal avg scale) → country means in 1e-10 units → cents, each step
+# rounded half-up like Spark's decimal arithmetic.
 @register("q11_two_level_agg", """
 WITH st AS (
-  SELECT event_type, user_id, CAST(ts AS DATE) AS "Day", avg(value) AS a, min(value) AS mn,
-         max(value) AS mx, COALESCE(sum(value), 0) AS s
-  FROM events GROUP BY 1, 2, 3)
-SELECT event_type, "Day", round(avg(a), 2) AS "AverageValue", min(mn) AS "MinimumValue",
-       max(mx) AS "MaximumValue", round(COALESCE(sum(s), 0), 2) AS "TotalValue"
-FROM st GROUP BY 1, 2""")
+  SELECT event_type, user_id, CAST(ts AS DATE) AS "Day",
+         SUM(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT)) AS sc, COUNT(value) AS n,
+         min(value) AS mn, max(value) AS mx
+  FROM events GROUP BY 1, 2, 3),
+st6 AS (
+  SELECT *, CASE WHEN n > 0 THEN """ + _sql_half_up_div("sc * 10000", "n") + """ END AS m6
+  FROM st),
+c AS (
+  SELECT event_type, "Day", SUM(m6) AS s6, COUNT(m6) AS k, min(mn) AS mn, max(mx) AS mx,
+         COALESCE(SUM(sc), 0) AS tc
+  FROM st6 GROUP BY 1, 2),
+c10 AS (SELECT *, """ + _sql_half_up_div("s6 * 10000", "k") + """ AS a10 FROM c)
+SELECT event_type, "Day",
+       CAST(""" + _sql_half_up_div("a10", "100000000") + """ AS DOUBLE) / 100 AS "AverageValue",
+       mn AS "MinimumValue", mx AS "MaximumValue", CAST(tc AS DOUBLE) / 100 AS "TotalValue"
+FROM c10""")
 def q11_two_level_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-3/4/5, FN-10: per (station, day) figures, then per (country, day).
 
     Station = (event type, user), country = event type: each station belongs
-    to one country, as in the weather job.
+    to one country, as in the weather job. Values are aggregated as
+    ``decimal(18,2)``, so both averaging levels are exact and the result does
+    not depend on the order partial sums are combined in.
     """
-    per_station = station_period(load(spark, sf_dir, "events"), ["event_type", "user_id"],
+    events = load(spark, sf_dir, "events").withColumn(
+        "value", F.col("value").cast("decimal(18,2)"))
+    per_station = station_period(events, ["event_type", "user_id"],
                                  F.to_date("ts"), "Day", EVENT_MEASURES)
-    return combine_stations(per_station, ["event_type", "Day"], EVENT_MEASURES)
+    out = combine_stations(per_station, ["event_type", "Day"], EVENT_MEASURES)
+    return out.withColumns({m.name: F.col(m.name).cast("double") for m in EVENT_MEASURES})
 
 
 # --- Q12..Q14: correlations ---------------------------------------------------------------
@@ -581,13 +616,20 @@ def q28_clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("q29_station_files", """
-SELECT CAST(user_id AS VARCHAR) AS "StationId", CAST(year(ts) AS INTEGER) AS "Year",
-       round(avg(value), 6) AS "AverageTemperature", min(value) AS "MinimumTemperature",
-       max(value) AS "MaximumTemperature", round(sum(value), 6) AS "Precipitation",
+WITH st AS (
+  SELECT user_id, CAST(year(ts) AS INTEGER) AS yr,
+         SUM(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT)) AS sc, COUNT(value) AS n,
+         min(value) AS mn, max(value) AS mx
+  FROM events GROUP BY 1, 2)
+SELECT CAST(user_id AS VARCHAR) AS "StationId", yr AS "Year",
+       CAST(""" + _sql_half_up_div("sc * 10000", "n") + """ AS DOUBLE) / 1000000
+         AS "AverageTemperature",
+       mn AS "MinimumTemperature", mx AS "MaximumTemperature",
+       CAST(sc AS DOUBLE) / 100 AS "Precipitation",
        CAST(NULL AS DOUBLE) AS "SnowDepth", CAST(NULL AS DOUBLE) AS "WindSpeed",
        CAST(NULL AS DOUBLE) AS "PeakWindGust", CAST(NULL AS DOUBLE) AS "SeaLevelPressure",
        CAST(0 AS BIGINT) AS "SunshineDuration"
-FROM events GROUP BY 1, 2""")
+FROM st""")
 def q29_station_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-3, AGG-4, FN-10, UDF-1 replacement: per-station gzip CSVs → station-year figures.
 
@@ -611,7 +653,8 @@ def q29_station_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         land_csv(daily, f"{base}/daily", "user_id", header=False, compression="gzip")
         mark_landed(spark, base)
     readings = read_station_daily(spark, f"{base}/daily", id_regex=r"user_id=([^/]+)/")
+    exact = ["AverageTemperature", "MinimumTemperature", "MaximumTemperature", "Precipitation"]
+    # the landed readings have two decimals: aggregate them exactly
+    readings = readings.withColumns({c: F.col(c).cast("decimal(18,2)") for c in exact})
     figures = station_year(readings, "StationId", "Date", first_year=None, last_year=None)
-    return figures.withColumns({
-        "AverageTemperature": F.round("AverageTemperature", 6),
-        "Precipitation": F.round("Precipitation", 6)})
+    return figures.withColumns({c: F.col(c).cast("double") for c in exact})

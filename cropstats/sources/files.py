@@ -21,11 +21,12 @@ MAX_YEARLY_FILES = 100_000
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str],
                    schema: T.StructType | str | None = None, header: bool = True,
-                   sep: str = ",", **options: str) -> DataFrame:
+                   sep: str = ",", infer: bool = True, **options: str) -> DataFrame:
     """Delimited text with a header (SRC-1). Pass a schema in production.
 
     Without one, Spark infers types with an extra pass (the reference's
-    ``inferSchema=True``), and duplicate header names get their position
+    ``inferSchema=True``) or, with ``infer=False``, reads every column as
+    text bound by its header name. Duplicate header names get their position
     appended (``Average surface temperature4``, K8).
     """
     reader = spark.read.option("header", header).option("sep", sep)
@@ -34,7 +35,7 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str],
     if schema is not None:
         reader = reader.schema(schema)
     else:
-        reader = reader.option("inferSchema", True)
+        reader = reader.option("inferSchema", infer)
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
@@ -132,20 +133,34 @@ def read_stations(spark: SparkSession, path: str,
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_sheet_export(spark: SparkSession, path: str, schema: T.StructType,
-                      key_col: str, key_regex: str) -> DataFrame:
+def read_sheet_export(spark: SparkSession, path: str, columns: Mapping[str, str],
+                      key_col: str, key_regex: str, max_columns: int = 256) -> DataFrame:
     """A sheet saved as delimited text whose header sits below a preamble (SRC-5).
 
-    The file is read without a header; the preamble, the header row and any
-    footer are dropped by keeping rows whose key column looks like data, e.g.
-    ``ISO3`` matching ``^[A-Z]{3}$``. Cells are cast with ``try_cast`` so an
-    empty or non-numeric score is NULL.
+    Stands in for ``read_excel(sheet, header=n)``: the file is read as text
+    without a header; the header row is the first row that names ``key_col``
+    (one row to the driver), wanted columns are bound by name from it, and
+    data rows are those whose key cell matches ``key_regex`` (e.g.
+    ``^[A-Z]{3}$`` for ISO3), which drops preamble, header and footer rows.
+    Cells are cast with ``try_cast``, so an empty or non-numeric score is NULL.
     """
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(as_text).option("header", False).csv(path)
-    rows = raw.where(F.col(f"`{key_col}`").rlike(key_regex))
-    return rows.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name)
-                         for f in schema.fields])
+    raw_schema = T.StructType([T.StructField(f"_c{i}", T.StringType())
+                               for i in range(max_columns)])
+    raw = spark.read.schema(raw_schema).option("header", False).csv(path)
+    cells = F.array(*[F.col(f"_c{i}") for i in range(max_columns)])
+    found = raw.where(F.array_contains(cells, key_col)).limit(1).collect()
+    if not found:
+        raise ValueError(f"no header row naming {key_col!r} in {path}")
+    header = list(found[0])
+    pos = {}
+    for i, name in enumerate(header):
+        if name is not None and name not in pos:
+            pos[name] = i
+    missing = [c for c in list(columns) + [key_col] if c not in pos]
+    if missing:
+        raise ValueError(f"columns {missing} not in header of {path}")
+    rows = raw.where(F.col(f"_c{pos[key_col]}").rlike(key_regex))
+    return rows.select(*[F.col(f"_c{pos[n]}").try_cast(t).alias(n) for n, t in columns.items()])
 
 
 def read_lookup(spark: SparkSession, path: str,
