@@ -47,8 +47,12 @@ def test_k2_three_melt_form_loses_flags_on_null_keys(spark):
 
 
 def test_unpivot_years_has_no_exchange(spark):
-    plan = reshape.unpivot_years(_wide(spark), id_cols=["k", "u"])._jdf \
-        .queryExecution().executedPlan().toString()
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        reshape.unpivot_years(_wide(spark), id_cols=["k", "u"]).explain("formatted")
+    plan = buf.getvalue()
     assert "Exchange" not in plan and "Generate" in plan
 
 
