@@ -411,7 +411,7 @@ ONE_HOT_WIDTH = 5  # six part types, last level dropped
 
 
 @register("q16_one_hot", "WITH" + SQL_TYPE_RANK + "\nSELECT p.p_partkey, "
-          + ", ".join(f"CASE WHEN r.idx = {j} THEN 1.0 ELSE 0.0 END AS oh_{j}"
+          + ", ".join(f"CAST(CASE WHEN r.idx = {j} THEN 1 ELSE 0 END AS DOUBLE) AS oh_{j}"
                       for j in range(ONE_HOT_WIDTH))
           + "\nFROM part p JOIN ranked r ON r.p_type = p.p_type")
 def q16_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
