@@ -23,16 +23,35 @@ DEFAULT_CONF = {
 }
 
 
+# Starting points for a large cluster (~1000 executors, ~100 TB of input).
+# AQE coalesces shuffle partitions down from the initial number to the
+# advisory size, so the initial number only has to be large enough for the
+# biggest shuffle (16384 × 256 MB ≈ 4 TB per shuffle). Bigger file splits
+# cut the task count of full scans; skewed partitions above 1 GB are split.
+# Broadcasts decided at run time are capped at 64 MB of materialised data.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "16384",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build(app: str = "cropstats", master: str | None = None,
-          conf: dict[str, str] | None = None) -> SparkSession:
+          conf: dict[str, str] | None = None, cluster: bool = False) -> SparkSession:
     """Return a session with the defaults above plus ``conf``.
 
     ``master`` is only set when given (a cluster submit supplies its own).
+    ``cluster=True`` adds ``CLUSTER_CONF``; explicit ``conf`` wins over both.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
+    if cluster:
+        settings.update(CLUSTER_CONF)
     settings.update({k: str(v) for k, v in (conf or {}).items()})
     for key, value in settings.items():
         builder = builder.config(key, value)

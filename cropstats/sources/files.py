@@ -6,6 +6,7 @@ type that depends on which rows happened to be sampled (K5, K16).
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,45 +46,40 @@ def _file_path() -> F.Column:
 
 def read_yearly_files(spark: SparkSession, path: str | Sequence[str],
                       columns: Mapping[str, str], year_regex: str,
-                      year_col: str = "Year", max_header_columns: int = 64,
+                      year_col: str = "Year", sep: str = ",",
                       max_files: int = MAX_YEARLY_FILES) -> DataFrame:
     """One delimited file per year, the year taken from the file path (SRC-2, SET-1).
 
     ``columns`` maps wanted column name → type. Files may order their
     columns differently and carry extra ones: a single glob read would bind by
-    position and silently swap them, so the header of every file is read
-    first (one job, one row per file), files are grouped by header layout, and
-    each layout is read once with its own schema and selected by name. The
-    layouts are then unioned by name.
+    position and silently swap them. So the header line of every file is
+    found first — one job over the files as plain text lines, keeping lines
+    that mention every wanted name, at most one per file on the driver —
+    files are grouped by header layout, and each layout is read once with its
+    own schema and selected by name. The layouts are then unioned by name.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    raw_schema = T.StructType([T.StructField(f"_c{i}", T.StringType())
-                               for i in range(max_header_columns)])
-    raw = (spark.read.schema(raw_schema).option("header", False)
-           .option("recursiveFileLookup", True).csv(paths))
-    n_files = len(raw.inputFiles())
+    lines = spark.read.option("recursiveFileLookup", True).text(paths)
+    n_files = len(lines.inputFiles())
     if n_files > max_files:
         raise ValueError(f"{n_files} files exceed the bound of {max_files}")
-    cells = [F.col(f"_c{i}") for i in range(max_header_columns)]
-    wanted = list(columns)
-    is_header = F.lit(True)
-    for name in wanted:
-        is_header = is_header & F.array_contains(F.array(*cells), name)
-    headers = (raw.where(is_header)
-               .select(_file_path().alias("path"), F.array(*cells).alias("names"))
-               .collect())  # ≤ n_files rows
+    mentions = F.lit(True)
+    for name in columns:
+        mentions = mentions & F.col("value").contains(name)
+    candidates = (lines.where(mentions)
+                  .groupBy(_file_path().alias("path"))
+                  .agg(F.min_by("value", F.length("value")).alias("line"))
+                  .collect())  # ≤ n_files rows
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in headers:
-        names = list(row["names"])
-        while names and names[-1] is None:  # cells past the last header column
-            names.pop()
-        names = tuple(n if n is not None else f"_blank{i}" for i, n in enumerate(names))
-        layouts.setdefault(names, []).append(row["path"])
+    for row in candidates:
+        names = tuple(next(csv.reader([row["line"]], delimiter=sep)))
+        if all(n in names for n in columns):
+            layouts.setdefault(names, []).append(row["path"])
     parts = []
     for names, files in layouts.items():
         fields = [T.StructField(n, T.StringType()) for n in _dedupe(names)]
         df = (spark.read.schema(T.StructType(fields)).option("header", True)
-              .option("enforceSchema", True).csv(files))
+              .option("enforceSchema", True).option("sep", sep).csv(files))
         parts.append(df.select(
             *[F.col(f"`{n}`").try_cast(t).alias(n) for n, t in columns.items()],
             F.regexp_extract(_file_path(), year_regex, 1).try_cast("int").alias(year_col)))
