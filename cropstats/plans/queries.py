@@ -58,7 +58,7 @@ from cropstats.plans.tables import (
     yearly_orders_wide,
 )
 from cropstats.schemas import FLAG_VALUES
-from cropstats.session import scratch_path
+from cropstats.session import checkpoint_dir, scratch_path
 from cropstats.sources.catalog import databases, ensure_database, save_table, table
 from cropstats.sources.files import (
     lookup_from_values,
@@ -223,10 +223,15 @@ SELECT k.c_nationkey, y.yr AS "Year", f.v AS "Value"
 FROM k CROSS JOIN y LEFT JOIN f ON f.c_nationkey = k.c_nationkey AND f.yr = y.yr""")
 def q03b_explode_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RSH-4: integer-labelled columns (orders per year, pivoted) → (Year, Value) rows."""
-    facts = (load(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("yr"))
-             .join(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
-                   F.col("o_custkey") == F.col("c_custkey")))
-    wide = facts.groupBy("c_nationkey").pivot("yr").count()
+    counts = (load(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("yr"))
+              .join(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
+                    F.col("o_custkey") == F.col("c_custkey"))
+              .groupBy("c_nationkey", "yr").count())
+    # nations × years rows: checkpointed so the pivot's lookup of the distinct
+    # years does not run the orders ⋈ customer join a second time
+    checkpoint_dir(spark)
+    counts = counts.checkpoint(eager=True)
+    wide = counts.groupBy("c_nationkey").pivot("yr").sum("count")
     years = [c for c in wide.columns if c != "c_nationkey"]
     return explode_measures(wide, ["c_nationkey"], {int(y): y for y in years},
                             name_col="Year", value_col="Value", name_type="int")

@@ -157,3 +157,17 @@ def test_job16_explore(spark, loaded):
     assert counts == {"Wheat": 3, "Almonds, in shell": 1}
     assert parts["areas_of_item"].count() == 3
     assert {r.Element for r in parts["elements"].collect()} == {"Yield", "Production"}
+
+
+def test_app_runs_every_step(spark, tmp_path):
+    from cropstats.plans import app
+
+    paths = fixtures.all_inputs(str(tmp_path / "in"))
+    db = "cropstats_app_db"
+    done = app.load(spark, paths, db, location=str(tmp_path / "wh"))
+    assert set(done) == set(app.LOADERS)
+    app.weather(spark, paths, db)
+    tables = app.analyze(spark, db, series=("Germany", "Wheat"), recipes=("m1",))
+    assert {"features_v1", "features_v2", "correlations_overall", "pca_by_country",
+            "model_metrics", "series_r"} <= set(tables)
+    assert catalog.table(spark, tables["model_metrics"]).count() == 1
