@@ -30,13 +30,18 @@ def assemble(inputs: Sequence[str], output: str = "features",
     return VectorAssembler(inputCols=list(inputs), outputCol=output, handleInvalid=handle_invalid)
 
 
-def categorical(columns: Sequence[str], drop_last: bool = True, handle_invalid: str = "keep",
+def categorical(columns: Sequence[str], drop_last: bool = True, handle_invalid: str = "skip",
                 index_suffix: str = "Indexed", encoded_suffix: str = "Encoded") -> list:
     """StringIndexer + OneHotEncoder stages for ``columns`` (ML-2, ML-3, ML-4, FN-13).
 
     Index order: frequency descending, ties by label ascending. Labels unseen
-    at fit time get an extra index with ``handle_invalid="keep"`` instead of
-    failing the scoring job (K18).
+    at fit time fail the reference's scoring job (K18); here
+    ``handle_invalid="skip"`` (default) drops such rows at scoring, and
+    ``"keep"`` gives them an extra index. With ``"keep"`` the encoder also
+    reserves a slot for that index, so ``drop_last`` then drops the unseen
+    slot and all real categories stay: together with an intercept that design
+    is singular and the regression falls back to an iterative solver. The
+    default keeps the reference's n − 1 dummies and an exact solve.
     """
     cols = list(columns)
     idx = [c + index_suffix for c in cols]

@@ -537,6 +537,28 @@ def q22_regression_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.round("prediction", 4).alias("prediction"))
 
 
+@register("q22c_regression_covariate", """
+WITH g AS (
+  SELECT p_partkey, p_size AS x, p_retailprice AS y,
+         avg(p_size) OVER (PARTITION BY p_type) AS mx,
+         avg(p_retailprice) OVER (PARTITION BY p_type) AS my
+  FROM part),
+b AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS slope FROM g)
+SELECT p_partkey, round(my + b.slope * (x - mx), 4) AS prediction FROM g, b""")
+def q22c_regression_covariate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-2/3/9/10: one-hot category plus a numeric covariate in one pipeline.
+
+    Least squares with a full set of category dummies and one covariate has a
+    closed form (one common within-category slope), which gives the oracle.
+    """
+    part = load(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("double"))
+    pipe = Pipeline(stages=categorical(["p_type"], drop_last=True)
+                    + [assemble(["p_typeEncoded", "p_size"]),
+                       linear_regression(label="p_retailprice")])
+    return pipe.fit(part).transform(part).select(
+        "p_partkey", F.round("prediction", 4).alias("prediction"))
+
+
 @register("q22b_recipe_m1")
 def q22b_recipe_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-13 (recipe m1), ML-11, ML-12 on the feature table: RMSE and R² on held-out rows."""

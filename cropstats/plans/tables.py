@@ -14,6 +14,7 @@ only ships a TPC-H-like star schema, so each reference role gets a stand-in
 from __future__ import annotations
 
 import hashlib
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,8 +109,12 @@ def landed_path(spark: SparkSession, name: str, source: str) -> tuple[str, bool]
     base = checkpoint_dir(spark)
     digest = hashlib.sha1(f"{name}|{source}".encode()).hexdigest()[:16]
     path = f"{base.rstrip('/')}/landed/{name}-{digest}"
+    marker = f"{path}/_landed_marker"
+    local = marker[len("file:"):] if marker.startswith("file:") else marker
+    if marker.startswith("file:") or "://" not in marker:
+        return path, os.path.isdir(local)  # local folder: no Spark job needed
     try:
-        done = spark.read.text(f"{path}/_landed_marker").count() == 1
+        done = spark.read.text(marker).count() == 1
     except Exception:  # noqa: BLE001  (missing folder: not landed yet)
         done = False
     return path, done

@@ -20,9 +20,21 @@ def test_ml2_index_order_frequency_then_label(spark):
 def test_k18_unseen_label_kept_not_failing(spark):
     train = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", 1.5)], "t string, y double")
     test = spark.createDataFrame([("z", 3.0)], "t string, y double")
-    model = Pipeline(stages=ml.categorical(["t"])).fit(train)
+    model = Pipeline(stages=ml.categorical(["t"], handle_invalid="keep")).fit(train)
     row = model.transform(test).collect()[0]
     assert row.tIndexed == 2.0  # the extra "unseen" index
+    skip = Pipeline(stages=ml.categorical(["t"])).fit(train)
+    assert skip.transform(test).count() == 0  # default: unseen rows are skipped at scoring
+
+
+def test_k18_default_encoding_is_full_rank_and_solved_exactly(spark):
+    rows = [(t, float(s), 10.0 * i + s) for i, t in enumerate("abc") for s in range(1, 6)]
+    df = spark.createDataFrame(rows, "t string, s double, y double")
+    model = Pipeline(stages=ml.categorical(["t"]) + [ml.assemble(["tEncoded", "s"]),
+                                                       ml.linear_regression(label="y")]).fit(df)
+    assert model.stages[-1].summary.totalIterations == 0  # direct normal-equation solve
+    out = model.transform(df).select("y", "prediction").collect()
+    assert max(abs(r.y - r.prediction) for r in out) < 1e-9
 
 
 def test_ml5_minmax_in_unit_interval(spark):

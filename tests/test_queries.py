@@ -60,3 +60,32 @@ def test_entry_runs(spark):
     out = entry.entry(spark)
     assert out.columns == ["Country", "var_x", "var_y", "r"]
     assert out.count() > 0
+
+
+def test_q22b_recipe_matches_least_squares_brute_force(spark):
+    """q22b has no SQL oracle: compare with numpy least squares on the same split."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cropstats.plans.queries import order_features
+
+    got = entry.queries()["q22b_recipe_m1"](spark, SF_SMALL).collect()[0]
+    feats = order_features(spark, SF_SMALL).withColumn(
+        "b", F.pmod(F.col("Year") * 31 + F.length("Country"), F.lit(100))).toPandas()
+    train, test = feats[feats.b < 80], feats[feats.b >= 80]
+    test = test[test.Country.isin(train.Country) & test.Item.isin(train.Item)]
+
+    def design(df):
+        cols = [np.ones(len(df)), df.Temperature.to_numpy(float)]
+        for c in ("Country", "Item"):
+            for level in sorted(train[c].unique())[1:]:
+                cols.append((df[c] == level).to_numpy(float))
+        return np.column_stack(cols)
+
+    coef, *_ = np.linalg.lstsq(design(train), train.Yield.to_numpy(float), rcond=None)
+    y = test.Yield.to_numpy(float)
+    p = design(test) @ coef
+    rmse = np.sqrt(np.mean((y - p) ** 2))
+    r2 = 1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2)
+    assert got.rmse == pytest.approx(rmse, rel=1e-6)
+    assert got.r2 == pytest.approx(r2, rel=1e-6, abs=1e-6)
