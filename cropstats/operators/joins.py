@@ -21,14 +21,34 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 100_000
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows.
+
+    Reads at most ``max_rows + 1`` rows, so it is cheap on a dimension table
+    and never scans a large one in full.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
+    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``."""
+    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
+def filter_to_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str,
+                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Keep rows of ``df`` whose ``key`` is in ``keys`` — only when that is cheap.
 
-    The check reads at most ``max_rows + 1`` rows, so it is cheap on a
-    dimension table and never scans a large one in full.
+    With a key list of proven small size this is a broadcast left-semi join:
+    a map-side filter before any shuffle. A larger key list would need a
+    shuffle of every row of ``df`` just to filter it; then ``df`` is returned
+    unchanged and the caller's later inner join on the (aggregated, much
+    smaller) result does the filtering instead.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if not fits_broadcast(keys, max_rows):
+        return df
+    small = F.broadcast(keys.select(F.col(keys_col).alias("__fk")).distinct())
+    return df.join(small, F.col(key) == F.col("__fk"), "left_semi")
 
 
 @dataclass

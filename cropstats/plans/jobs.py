@@ -25,7 +25,7 @@ from cropstats.functions.clean import (
     year_range,
 )
 from cropstats.operators import explore, features, ml, stats, weather
-from cropstats.operators.joins import bounded_broadcast, keys_present_in
+from cropstats.operators.joins import filter_to_keys, keys_present_in
 from cropstats.operators.reshape import add_row_id, explode_measures, unpivot_years
 from cropstats.sources import catalog, files
 
@@ -223,13 +223,15 @@ def country_weather(stations: DataFrame, daily: DataFrame, country_codes: DataFr
 
     Countries = codes that occur in the yield facts (semi join); stations of
     those countries (broadcast after a size check); readings of those
-    stations only; per station-year, then per country-year.
+    stations; per station-year, then per country-year.
     """
     countries = keys_present_in(country_codes, crop_yield, "ISONum", "AreaCodeM49",
                                 ["ISO2", "ISONum", "CountryCommon"])
     station_country = weather.stations_with_country(stations, countries)
-    wanted = bounded_broadcast(station_country.select(F.col("id").alias("__sid")))
-    readings = daily.join(wanted, F.col("StationId") == F.col("__sid"), "left_semi")
+    # readings of wanted stations only: a map-side filter when the station list
+    # is small; otherwise the inner join in country_year filters the
+    # per-station-year figures after the aggregate
+    readings = filter_to_keys(daily, "StationId", station_country, "id")
     per_station = weather.station_year(readings, "StationId", "Date", first_year, last_year)
     return weather.country_year(
         per_station,

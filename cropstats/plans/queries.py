@@ -30,7 +30,7 @@ from cropstats.functions.clean import (
 )
 from cropstats.operators.explore import members, value_counts, with_series_range
 from cropstats.operators.features import finish_features
-from cropstats.operators.joins import Dim, keys_present_in, star_join
+from cropstats.operators.joins import Dim, filter_to_keys, keys_present_in, star_join
 from cropstats.operators.ml import (
     assemble,
     bucket_split,
@@ -45,7 +45,14 @@ from cropstats.operators.ml import (
 )
 from cropstats.operators.reshape import explode_measures, unpivot_years
 from cropstats.operators.stats import corr_matrix, corr_pairs, matrix_to_long
-from cropstats.operators.weather import Measure, combine_stations, station_period, station_year
+from cropstats.operators.weather import (
+    Measure,
+    combine_stations,
+    country_year,
+    station_period,
+    station_year,
+    stations_with_country,
+)
 from cropstats.plans.tables import (
     NATION_ROWS,
     customer_nation_mean,
@@ -62,6 +69,7 @@ from cropstats.session import checkpoint_dir, scratch_path
 from cropstats.sources.catalog import databases, ensure_database, save_table, table
 from cropstats.sources.files import (
     lookup_from_values,
+    read_sheet_export,
     read_station_daily,
     read_yearly_files,
 )
@@ -685,3 +693,75 @@ def q29_station_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     readings = readings.withColumns({c: F.col(c).cast("decimal(18,2)") for c in exact})
     figures = station_year(readings, "StationId", "Date", first_year=None, last_year=None)
     return figures.withColumns({c: F.col(c).cast("double") for c in exact})
+
+
+# --- Q30/Q31: the weather job chain and the sheet-export reader on driver tables ------
+
+@register("q30_weather_job", """
+WITH countries AS (
+  SELECT DISTINCT n.n_nationkey, n.n_name FROM nation n
+  WHERE n.n_nationkey IN (SELECT c_nationkey FROM customer)),
+stations AS (
+  SELECT c.c_custkey AS id, k.n_nationkey, k.n_name
+  FROM customer c JOIN countries k ON c.c_nationkey = k.n_nationkey),
+st AS (
+  SELECT e.user_id, CAST(year(e.ts) AS INTEGER) AS yr,
+         SUM(CAST(CAST(e.value AS DECIMAL(18,2)) * 100 AS BIGINT)) AS sc, COUNT(e.value) AS n,
+         min(e.value) AS mn, max(e.value) AS mx
+  FROM events e WHERE e.user_id IN (SELECT id FROM stations) GROUP BY 1, 2),
+st6 AS (
+  SELECT st.*, s.n_nationkey, s.n_name,
+         CASE WHEN n > 0 THEN """ + _sql_half_up_div("sc * 10000", "n") + """ END AS m6
+  FROM st JOIN stations s ON s.id = st.user_id),
+c AS (
+  SELECT yr, n_nationkey, n_name, SUM(m6) AS s6, COUNT(m6) AS k, min(mn) AS mn,
+         max(mx) AS mx, COALESCE(SUM(sc), 0) AS tc
+  FROM st6 GROUP BY 1, 2, 3),
+c10 AS (SELECT *, """ + _sql_half_up_div("s6 * 10000", "k") + """ AS a10 FROM c)
+SELECT yr AS "Year", n_nationkey, n_name,
+       CAST(""" + _sql_half_up_div("a10", "100000000") + """ AS DOUBLE) / 100 AS "AverageValue",
+       mn AS "MinimumValue", mx AS "MaximumValue", CAST(tc AS DOUBLE) / 100 AS "TotalValue"
+FROM c10""")
+def q30_weather_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOB-9 chain: FLT-8/AGG-7 → JON-2 → readings of wanted stations → AGG-4 → AGG-3/5.
+
+    Customers stand for stations (id = custkey, country = nation), events for
+    the daily readings of the station with the same id. Countries are the
+    nations that occur in the facts; readings are those of stations in them.
+    """
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    countries = keys_present_in(nation, customers, "n_nationkey", "c_nationkey")
+    stations = stations_with_country(customers, countries, "c_nationkey", "n_nationkey")
+    readings = filter_to_keys(
+        load(spark, sf_dir, "events")
+        .select("user_id", "ts", F.col("value").cast("decimal(18,2)").alias("value")),
+        "user_id", stations, "c_custkey")
+    per_station = station_period(readings, ["user_id"], F.year("ts"), "Year", EVENT_MEASURES)
+    out = country_year(per_station, stations.select(F.col("c_custkey").alias("id"),
+                                                    "n_nationkey", "n_name"),
+                       station_col="user_id", keys=("Year", "n_nationkey", "n_name"),
+                       measures=EVENT_MEASURES)
+    return out.withColumns({m.name: F.col(m.name).cast("double") for m in EVENT_MEASURES})
+
+
+@register("q31_sheet_export", """
+SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier""")
+def q31_sheet_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-5: a table saved as a sheet export — title and total rows around the
+    data, a header in every part file — read back by header name and key pattern."""
+    base, done = landed_path(spark, "supplier-sheet", sf_dir)
+    if not done:
+        supp = load(spark, sf_dir, "supplier").select(
+            F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name", "s_nationkey",
+            F.col("s_acctbal").cast("string").alias("s_acctbal"))
+        notes = spark.createDataFrame(
+            [("Supplier sheet export", None, None, None), (None, None, None, None),
+             ("Total", None, None, None)],
+            "s_suppkey string, s_name string, s_nationkey int, s_acctbal string")
+        (supp.unionByName(notes).write.mode("overwrite").option("header", True)
+         .csv(f"{base}/sheet"))
+        mark_landed(spark, base)
+    return read_sheet_export(spark, f"{base}/sheet",
+                             {"s_suppkey": "bigint", "s_name": "string", "s_acctbal": "double"},
+                             key_col="s_name", key_regex=r"^Supplier#\d+$")
