@@ -27,6 +27,7 @@ from cropstats.functions.clean import (
 from cropstats.operators import explore, features, ml, stats, weather
 from cropstats.operators.joins import filter_to_keys, keys_present_in
 from cropstats.operators.reshape import add_row_id, explode_measures, unpivot_years
+from cropstats.session import checkpoint_dir
 from cropstats.sources import catalog, files
 
 DATABASE = "cropstats_db"
@@ -281,6 +282,7 @@ def regression(feature_df: DataFrame, recipe_name: str = "m2", train_percent: in
     With ``key_cols`` the split is a hash of those columns (same rows on
     every run and layout); otherwise ``randomSplit`` with ``seed`` (K17).
     """
+    checkpoint_dir(feature_df.sparkSession)
     data = feature_df.checkpoint(eager=True)  # read by several fit passes
     if key_cols:
         train, test = ml.bucket_split(data, ml.key_bucket(*key_cols), train_percent)
