@@ -39,6 +39,15 @@ CLUSTER_CONF = {
 }
 
 
+# Local mode only: list input folders on the driver instead of launching a
+# listing job with one task per folder (1,500 station folders: 0.5 s instead of
+# 4.5 s locally). On a cluster with remote storage Spark's parallel listing is
+# the better default, so this is not applied there.
+LOCAL_CONF = {
+    "spark.sql.sources.parallelPartitionDiscovery.threshold": "100000",
+}
+
+
 def build(app: str = "cropstats", master: str | None = None,
           conf: dict[str, str] | None = None, cluster: bool = False) -> SparkSession:
     """Return a session with the defaults above plus ``conf``.
@@ -50,6 +59,8 @@ def build(app: str = "cropstats", master: str | None = None,
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        settings.update(LOCAL_CONF)
     if cluster:
         settings.update(CLUSTER_CONF)
     settings.update({k: str(v) for k, v in (conf or {}).items()})
