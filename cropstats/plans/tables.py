@@ -126,17 +126,17 @@ def mark_landed(spark: SparkSession, path: str) -> None:
 
 
 def land_csv(df: DataFrame, path: str, partition_col: str, header: bool = True,
-             compression: str | None = None, spread: int = 4) -> None:
+             compression: str | None = None) -> None:
     """Write ``df`` as CSV, one folder per value of ``partition_col``.
 
     Used to land inputs in the layout the file readers expect (one file
-    group per year or per station). Rows are clustered by the partition
-    column plus a deterministic salt in [0, spread), so a value holding a
-    third of all rows is written by ``spread`` tasks, not one, and a retried
-    task rewrites exactly the same rows.
+    group per year or per station). The ``rebalance`` hint clusters rows by
+    the partition column and lets AQE split any partition above the advisory
+    size, so a value holding a third of all rows is written by many tasks
+    (many files), not one, while small values are packed together. The split
+    follows the map outputs, so a retried task rewrites exactly the same rows.
     """
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
-    writer = (df.repartition(F.col(partition_col), salt).write.mode("overwrite")
+    writer = (df.hint("rebalance", partition_col).write.mode("overwrite")
               .partitionBy(partition_col).option("header", header))
     if compression:
         writer = writer.option("compression", compression)
