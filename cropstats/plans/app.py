@@ -8,7 +8,7 @@ Inputs (``--input name=path``): production, urban, gdp, religion,
 cpi_yearly (folder of ``CPI-<year>.csv``), cpi_sheet, emissions, temperature,
 codes, stations (JSON array, gzip allowed), daily (folder of
 ``<station>.csv.gz``). Loaders run only for the inputs given. The analysis
-step writes the data behind every chart and metric of the analysis notebook
+step writes the data behind every chart and metric of the analysis
 as tables instead of drawing them.
 """
 

@@ -136,11 +136,11 @@ def cpi_sheet(folder: str) -> str:
 
 
 STATIONS = [
-    {"id": "10637", "country": "DE", "name": {"en": "Frankfurt"}},
-    {"id": "10400", "country": "DE", "name": {"en": "Duesseldorf"}},
-    {"id": "40948", "country": "AF", "name": {"en": "Kabul"}},
-    {"id": "68110", "country": "NA", "name": {"en": "Windhoek"}},
-    {"id": "99999", "country": "FR", "name": {"en": "Elsewhere"}},
+    {"id": "ST001", "country": "DE", "name": {"en": "Station one"}},
+    {"id": "ST002", "country": "DE", "name": {"en": "Station two"}},
+    {"id": "ST003", "country": "AF", "name": {"en": "Station three"}},
+    {"id": "ST004", "country": "NA", "name": {"en": "Station four"}},
+    {"id": "ST005", "country": "FR", "name": {"en": "Station five"}},
 ]
 
 
@@ -154,21 +154,21 @@ def stations(folder: str) -> str:
 
 
 def daily(folder: str) -> str:
-    """Headerless gzip CSV per station (SRC-3). Station 10400 has no snow depth
+    """Headerless gzip CSV per station (SRC-3). Station ST002 has no snow depth
     at all (K10); readings span 1959–2023 (K12)."""
     d = os.path.join(folder, "daily")
     os.makedirs(d, exist_ok=True)
     data = {
-        "10637": [("1959-12-31", 1.0, -1.0, 3.0, 1.0, 5, 180, 10.0, 30.0, 1010.0, 60),
+        "ST001": [("1959-12-31", 1.0, -1.0, 3.0, 1.0, 5, 180, 10.0, 30.0, 1010.0, 60),
                   ("1960-01-01", 2.0, -2.0, 4.0, 2.0, 10, 180, 12.0, 40.0, 1012.0, 120),
                   ("1960-07-01", 20.0, 15.0, 28.0, 0.5, 0, 90, 8.0, 20.0, 1015.0, 600),
                   ("2022-06-01", 22.0, 16.0, 30.0, None, 0, 90, 9.0, 25.0, 1016.0, 500),
                   ("2023-01-01", 5.0, 1.0, 7.0, 3.0, 2, 90, 9.0, 25.0, 1016.0, 100)],
-        "10400": [("1960-01-01", 4.0, 0.0, 6.0, 1.5, None, 200, 14.0, 50.0, 1011.0, 100),
+        "ST002": [("1960-01-01", 4.0, 0.0, 6.0, 1.5, None, 200, 14.0, 50.0, 1011.0, 100),
                   ("2022-06-01", 24.0, 18.0, 31.0, 0.0, None, 200, 11.0, 35.0, 1014.0, 700)],
-        "40948": [("1960-01-01", -3.0, -8.0, 2.0, 4.0, 30, 0, 5.0, 15.0, 1020.0, 200)],
-        "68110": [("1960-01-01", 25.0, 18.0, 32.0, 0.0, 0, 0, 6.0, 18.0, 1009.0, 800)],
-        "99999": [("1960-01-01", 9.0, 9.0, 9.0, 9.0, 9, 9, 9.0, 9.0, 999.0, 9)],
+        "ST003": [("1960-01-01", -3.0, -8.0, 2.0, 4.0, 30, 0, 5.0, 15.0, 1020.0, 200)],
+        "ST004": [("1960-01-01", 25.0, 18.0, 32.0, 0.0, 0, 0, 6.0, 18.0, 1009.0, 800)],
+        "ST005": [("1960-01-01", 9.0, 9.0, 9.0, 9.0, 9, 9, 9.0, 9.0, 999.0, 9)],
     }
     for sid, rows in data.items():
         with gzip.open(os.path.join(d, f"{sid}.csv.gz"), "wt") as f:
