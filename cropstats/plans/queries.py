@@ -67,6 +67,7 @@ from cropstats.plans.tables import (
 from cropstats.schemas import FLAG_VALUES
 from cropstats.session import checkpoint_dir, scratch_path
 from cropstats.sources.catalog import databases, ensure_database, save_table, table
+from cropstats.streaming.stations import ingest_station_files
 from cropstats.sources.files import (
     lookup_from_values,
     read_sheet_export,
@@ -650,7 +651,43 @@ def q28_clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_names(rename(load(spark, sf_dir, "part"), MESSY_NAMES))
 
 
-@register("q29_station_files", """
+def land_station_files(spark: SparkSession, sf_dir: str) -> str:
+    """Land events as headerless gzip CSV, one folder per user (once per source).
+
+    Daily schema: the value in the temperature and precipitation columns, the
+    other readings missing. Returns the landing folder (files under
+    ``daily/``).
+    """
+    base, done = landed_path(spark, "station-daily", sf_dir)
+    if not done:
+        v = F.col("value").cast("double")
+        none = F.lit(None)
+        daily = load(spark, sf_dir, "events").select(
+            F.to_date("ts").alias("Date"), v.alias("AverageTemperature"),
+            v.alias("MinimumTemperature"), v.alias("MaximumTemperature"),
+            v.alias("Precipitation"), none.cast("double").alias("SnowDepth"),
+            none.cast("int").alias("WindDirection"), none.cast("double").alias("WindSpeed"),
+            none.cast("double").alias("PeakWindGust"),
+            none.cast("double").alias("SeaLevelPressure"),
+            none.cast("double").alias("SunshineDuration"), "user_id")
+        land_csv(daily, f"{base}/daily", "user_id", header=False, compression="gzip")
+        mark_landed(spark, base)
+    return base
+
+
+EXACT_READINGS = ["AverageTemperature", "MinimumTemperature", "MaximumTemperature",
+                  "Precipitation"]
+
+
+def exact_station_year(readings: DataFrame) -> DataFrame:
+    """Station-year figures over two-decimal readings, aggregated exactly."""
+    readings = readings.withColumns(
+        {c: F.col(c).cast("decimal(18,2)") for c in EXACT_READINGS})
+    figures = station_year(readings, "StationId", "Date", first_year=None, last_year=None)
+    return figures.withColumns({c: F.col(c).cast("double") for c in EXACT_READINGS})
+
+
+SQL_STATION_YEAR = """
 WITH st AS (
   SELECT user_id, CAST(year(ts) AS INTEGER) AS yr,
          SUM(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT)) AS sc, COUNT(value) AS n,
@@ -664,35 +701,19 @@ SELECT CAST(user_id AS VARCHAR) AS "StationId", yr AS "Year",
        CAST(NULL AS DOUBLE) AS "SnowDepth", CAST(NULL AS DOUBLE) AS "WindSpeed",
        CAST(NULL AS DOUBLE) AS "PeakWindGust", CAST(NULL AS DOUBLE) AS "SeaLevelPressure",
        CAST(0 AS BIGINT) AS "SunshineDuration"
-FROM st""")
+FROM st"""
+
+
+@register("q29_station_files", SQL_STATION_YEAR)
 def q29_station_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-3, AGG-4, FN-10, UDF-1 replacement: per-station gzip CSVs → station-year figures.
 
-    Events are landed (once per source folder) as headerless gzip CSV, one
-    folder per user (the station), daily schema with the value in the
-    temperature and precipitation columns and the other readings missing; the
+    Events are landed once per source folder by ``land_station_files``; the
     query reads them in one scan with the station id taken from the path.
     """
-    base, done = landed_path(spark, "station-daily", sf_dir)
-    if not done:
-        v = F.col("value").cast("double")
-        none = F.lit(None)
-        daily = load(spark, sf_dir, "events").select(
-            F.to_date("ts").alias("Date"), v.alias("AverageTemperature"),
-            v.alias("MinimumTemperature"), v.alias("MaximumTemperature"),
-            v.alias("Precipitation"), none.cast("double").alias("SnowDepth"),
-            none.cast("int").alias("WindDirection"), none.cast("double").alias("WindSpeed"),
-            none.cast("double").alias("PeakWindGust"),
-            none.cast("double").alias("SeaLevelPressure"),
-            none.cast("double").alias("SunshineDuration"), "user_id")
-        land_csv(daily, f"{base}/daily", "user_id", header=False, compression="gzip")
-        mark_landed(spark, base)
+    base = land_station_files(spark, sf_dir)
     readings = read_station_daily(spark, f"{base}/daily", id_regex=r"user_id=([^/]+)/")
-    exact = ["AverageTemperature", "MinimumTemperature", "MaximumTemperature", "Precipitation"]
-    # the landed readings have two decimals: aggregate them exactly
-    readings = readings.withColumns({c: F.col(c).cast("decimal(18,2)") for c in exact})
-    figures = station_year(readings, "StationId", "Date", first_year=None, last_year=None)
-    return figures.withColumns({c: F.col(c).cast("double") for c in exact})
+    return exact_station_year(readings)  # the landed readings have two decimals
 
 
 # --- Q30/Q31: the weather job chain and the sheet-export reader on driver tables ------
@@ -765,3 +786,19 @@ def q31_sheet_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_sheet_export(spark, f"{base}/sheet",
                              {"s_suppkey": "bigint", "s_name": "string", "s_acctbal": "double"},
                              key_col="s_name", key_regex=r"^Supplier#\d+$")
+
+
+@register("q32_stream_ingest", SQL_STATION_YEAR)
+def q32_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-3 streaming form: landed station files ingested exactly once, then AGG-4.
+
+    A file-source stream with a checkpoint appends every landed file to a
+    parquet table (``trigger(availableNow=True)``); a second run finds no new
+    files and adds nothing. Station-year figures are then computed from the
+    ingested table, equal to reading the files directly (q29).
+    """
+    base = land_station_files(spark, sf_dir)
+    target, ckpt = f"{base}/ingested", f"{base}/ingest_checkpoint"
+    ingest_station_files(spark, f"{base}/daily", target, ckpt,
+                         id_regex=r"user_id=([^/]+)/").awaitTermination()
+    return exact_station_year(spark.read.parquet(target))

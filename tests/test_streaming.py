@@ -29,3 +29,12 @@ def test_ingest_picks_up_new_files_once(spark, tmp_path):
     assert {r.StationId for r in landed.select("StationId").distinct().collect()} == {"A1", "B2"}
     years = weather.station_year(landed, "StationId", "Date")
     assert {(r.StationId, r.Year) for r in years.collect()} == {("A1", 1990), ("B2", 1991)}
+
+
+def test_driver_stream_query_is_idempotent(spark):
+    from cropstats.plans.queries import q32_stream_ingest
+    from tests.conftest import SF_SMALL
+
+    first = sorted(map(tuple, q32_stream_ingest(spark, SF_SMALL).collect()), key=str)
+    second = sorted(map(tuple, q32_stream_ingest(spark, SF_SMALL).collect()), key=str)
+    assert first == second and len(first) > 0
