@@ -281,6 +281,10 @@ def regression(feature_df: DataFrame, recipe_name: str = "m2", train_percent: in
 
     With ``key_cols`` the split is a hash of those columns (same rows on
     every run and layout); otherwise ``randomSplit`` with ``seed`` (K17).
+    The input is checkpointed first: the fits read it several times, and a
+    partition recomputed after a lost executor is read back from the
+    checkpoint in the same order, so even ``randomSplit`` assigns it the
+    same rows again.
     """
     checkpoint_dir(feature_df.sparkSession)
     data = feature_df.checkpoint(eager=True)  # read by several fit passes
