@@ -30,7 +30,13 @@ from cropstats.functions.clean import (
 )
 from cropstats.operators.explore import members, value_counts, with_series_range
 from cropstats.operators.features import finish_features
-from cropstats.operators.joins import Dim, filter_to_keys, keys_present_in, star_join
+from cropstats.operators.joins import (
+    Dim,
+    filter_to_keys,
+    fits_broadcast,
+    keys_present_in,
+    star_join,
+)
 from cropstats.operators.ml import (
     assemble,
     bucket_split,
@@ -162,13 +168,19 @@ def q02_unpivot_three_melts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Q10/Q13: features through the hub, correlations per group ---------------------
 
 def order_features(spark: SparkSession, sf_dir: str, item: str | None = None) -> DataFrame:
-    """Yearly facts ⋈ nation hub ⋈ yearly aggregate ⋈ per-nation attribute (JOB-10/11 analogue)."""
-    long = q01_unpivot_years(spark, sf_dir).select(
+    """Yearly facts ⋈ nation hub ⋈ yearly aggregate ⋈ per-nation attribute (JOB-10/11 analogue).
+
+    The hub's size is checked once and the result used for both of its joins.
+    """
+    nation = load(spark, sf_dir, "nation")
+    hub_fits = fits_broadcast(nation, NATION_ROWS)
+    wide = yearly_orders_wide(spark, sf_dir, nation_fits=hub_fits)
+    long = unpivot_years(wide, id_cols=LONG_KEYS).select(
         "n_nationkey", F.col("n_name").alias("Country"), F.col("c_mktsegment").alias("Item"),
         "Year", "Yield")
     joined = star_join(long, [
-        Dim(load(spark, sf_dir, "nation"), {"n_nationkey": "n_nationkey"},
-            ["n_regionkey"], broadcast_rows=NATION_ROWS),
+        Dim(F.broadcast(nation) if hub_fits else nation, {"n_nationkey": "n_nationkey"},
+            ["n_regionkey"]),
         Dim(supplier_nation_mean(spark, sf_dir), {"n_nationkey": "nationkey", "Year": "Year"},
             ["Temperature"]),
         Dim(customer_nation_mean(spark, sf_dir), {"n_nationkey": "nationkey"}, ["AcctBal"]),

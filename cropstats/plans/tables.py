@@ -19,7 +19,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropstats.operators.joins import bounded_broadcast
+from cropstats.operators.joins import fits_broadcast
 from cropstats.operators.reshape import pivot_years
 from cropstats.session import checkpoint_dir
 
@@ -57,16 +57,21 @@ def yearly_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         .cast("string").alias("n")))
 
 
-def yearly_orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+def yearly_orders_wide(spark: SparkSession, sf_dir: str,
+                       nation_fits: bool | None = None) -> DataFrame:
     """Wide table in the production-file layout: keys + Y<yr>, Y<yr>F, Y<yr>N.
 
     The facts (nations × segments × years rows) are checkpointed to the
     shared checkpoint folder: the pivot first needs the distinct years, and
     without the checkpoint that would run the whole orders ⋈ customer
-    aggregate twice.
+    aggregate twice. ``nation_fits`` passes on a size check the caller has
+    already made on the nation table (otherwise it is made here).
     """
-    nation = bounded_broadcast(load(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
-                               NATION_ROWS)
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    if nation_fits is None:
+        nation_fits = fits_broadcast(nation, NATION_ROWS)
+    if nation_fits:
+        nation = F.broadcast(nation)
     checkpoint_dir(spark)
     facts = yearly_order_facts(spark, sf_dir).checkpoint(eager=True)
     wide = pivot_years(facts, ["c_nationkey", "c_mktsegment"], "yr", "v", "f", "n")
