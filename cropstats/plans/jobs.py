@@ -292,6 +292,8 @@ def regression(feature_df: DataFrame, recipe_name: str = "m2", train_percent: in
         train, test = ml.bucket_split(data, ml.key_bucket(*key_cols), train_percent)
     else:
         train, test = ml.split(data, (train_percent / 100, 1 - train_percent / 100), seed)
+    if train.limit(1).count() == 0:  # nothing to fit on: metrics are undefined
+        return data.sparkSession.createDataFrame([(None, None)], "rmse double, r2 double")
     model = ml.recipe(recipe_name).fit(train)
     return ml.evaluate(model.transform(test), "Yield")
 
