@@ -61,13 +61,15 @@ from cropstats.operators.weather import (
 )
 from cropstats.plans.tables import (
     NATION_ROWS,
+    checkpointed_facts,
     customer_nation_mean,
+    order_attributes,
+    supplier_nation_means,
     land_csv,
     landed_path,
     load,
     mark_landed,
     money,
-    supplier_nation_mean,
     yearly_orders_wide,
 )
 from cropstats.schemas import FLAG_VALUES
@@ -167,28 +169,45 @@ def q02_unpivot_three_melts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Q10/Q13: features through the hub, correlations per group ---------------------
 
-def order_features(spark: SparkSession, sf_dir: str, item: str | None = None) -> DataFrame:
-    """Yearly facts ⋈ nation hub ⋈ yearly aggregate ⋈ per-nation attribute (JOB-10/11 analogue).
+def order_features(spark: SparkSession, sf_dir: str, item: str | None = None,
+                   version: int = 1) -> DataFrame:
+    """Yearly facts through the nation hub to yearly and per-nation attributes.
 
-    The hub's size is checked once and the result used for both of its joins.
+    ``version=1`` (JOB-10 analogue): hub, mean "temperature" per (nation,
+    year), mean account balance per nation. ``version=2`` (JOB-11 analogue,
+    the six-table star of JON-5): adds the "GDP" mean from the same lineitem
+    pass and the per-(nation, year) order attributes summed from the already
+    checkpointed facts; rows without a CorruptionIndex are dropped (FLT-4).
+    The hub's size is checked once and used for both of its joins.
     """
     nation = load(spark, sf_dir, "nation")
     hub_fits = fits_broadcast(nation, NATION_ROWS)
-    wide = yearly_orders_wide(spark, sf_dir, nation_fits=hub_fits)
+    facts = checkpointed_facts(spark, sf_dir)
+    wide = yearly_orders_wide(spark, sf_dir, nation_fits=hub_fits, facts=facts)
     long = unpivot_years(wide, id_cols=LONG_KEYS).select(
         "n_nationkey", F.col("n_name").alias("Country"), F.col("c_mktsegment").alias("Item"),
         "Year", "Yield")
-    joined = star_join(long, [
+    yearly = {"Temperature": "l_extendedprice"}
+    if version == 2:
+        yearly["GDP"] = "l_tax"
+    dims = [
         Dim(F.broadcast(nation) if hub_fits else nation, {"n_nationkey": "n_nationkey"},
             ["n_regionkey"]),
-        Dim(supplier_nation_mean(spark, sf_dir), {"n_nationkey": "nationkey", "Year": "Year"},
-            ["Temperature"]),
+        Dim(supplier_nation_means(spark, sf_dir, yearly),
+            {"n_nationkey": "nationkey", "Year": "Year"}, list(yearly)),
         Dim(customer_nation_mean(spark, sf_dir), {"n_nationkey": "nationkey"}, ["AcctBal"]),
-    ])
-    out = joined.select("Year", "Country", "Item", F.col("n_regionkey").alias("Region"),
-                        "Yield", "Temperature", "AcctBal")
-    return finish_features(out, yield_type="bigint", element_col="Item" if item else None,
-                           element=item)
+    ]
+    cols = ["Year", "Country", "Item", F.col("n_regionkey").alias("Region"),
+            "Yield", "Temperature", "AcctBal"]
+    if version == 2:
+        dims.append(Dim(order_attributes(facts), {"n_nationkey": "nationkey", "Year": "Year"},
+                        ["CorruptionIndex", "UrbanPopulation", "RuralPopulation"]))
+        cols += ["GDP", "CorruptionIndex", "UrbanPopulation", "RuralPopulation"]
+    out = star_join(long, dims).select(*cols)
+    return finish_features(out, yield_type="bigint",
+                           round_cols=("Temperature", "GDP") if version == 2 else ("Temperature",),
+                           element_col="Item" if item else None, element=item,
+                           not_null=("CorruptionIndex",) if version == 2 else ())
 
 
 @register("q10_feature_join", "WITH" + SQL_FEATURES
@@ -198,6 +217,37 @@ def q10_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_features(spark, sf_dir, item="BUILDING")
 
 
+SQL_FEATURES_V2 = SQL_FEATURES.replace(
+    'AS "Temperature"\n  FROM lineitem',
+    'AS "Temperature",\n'
+    '         CAST(SUM(CAST(l.l_tax AS DECIMAL(18,2))) AS DOUBLE) / COUNT(l.l_tax) AS "GDP"\n'
+    '  FROM lineitem') + """,
+attrs AS (
+  SELECT c.c_nationkey AS nationkey, CAST(year(o.o_orderdate) AS INTEGER) AS "Year",
+         SUM(CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS "CorruptionIndex",
+         SUM(CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END) AS "UrbanPopulation",
+         SUM(CASE WHEN o.o_orderstatus = 'O' THEN 1 ELSE 0 END) AS "RuralPopulation"
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  GROUP BY 1, 2),
+features_v2 AS (
+  SELECT f.*, """ + sql_round("temp.\"GDP\"", 2) + """ AS "GDP",
+         CAST(a."CorruptionIndex" AS BIGINT) AS "CorruptionIndex",
+         CAST(a."UrbanPopulation" AS BIGINT) AS "UrbanPopulation",
+         CAST(a."RuralPopulation" AS BIGINT) AS "RuralPopulation"
+  FROM features f
+  JOIN nation hub2 ON hub2.n_name = f."Country"
+  JOIN temp ON temp.nationkey = hub2.n_nationkey AND temp."Year" = f."Year"
+  JOIN attrs a ON a.nationkey = hub2.n_nationkey AND a."Year" = f."Year"
+  WHERE a."CorruptionIndex" IS NOT NULL)"""
+
+
+@register("q10b_feature_join_v2", "WITH" + SQL_FEATURES_V2
+          + "\nSELECT * FROM features_v2 WHERE \"Item\" = 'BUILDING'")
+def q10b_feature_join_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-5, FLT-4, FN-6: the six-table star with two-column keys (JOB-11 analogue)."""
+    return order_features(spark, sf_dir, item="BUILDING", version=2)
+
+
 FEATURE_VARS = ["Yield", "Temperature", "AcctBal"]
 
 

@@ -49,16 +49,39 @@ def yearly_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority",
         F.year("o_orderdate").alias("yr"))
     customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    def count_if(cond):
+        return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
+
     return (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
                   .groupBy("c_nationkey", "c_mktsegment", "yr")
                   .agg(money("o_totalprice").alias("v"),
                        F.chr(F.max(F.ascii("o_orderstatus"))).alias("f"),
                        F.max(F.substring("o_orderpriority", 1, 1).try_cast("int"))
-                        .cast("string").alias("n")))
+                        .cast("string").alias("n"),
+                       # per-(nation, year) attributes are summed from these
+                       count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+                       count_if(F.col("o_orderstatus") == "F").alias("finished"),
+                       count_if(F.col("o_orderstatus") == "O").alias("open")))
+
+
+def checkpointed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``yearly_order_facts`` written to the shared checkpoint folder (small, reused)."""
+    checkpoint_dir(spark)
+    return yearly_order_facts(spark, sf_dir).checkpoint(eager=True)
+
+
+def order_attributes(facts: DataFrame) -> DataFrame:
+    """Per (nationkey, Year) attributes summed from the facts: the CPI and
+    urban / rural population stand-ins (urgent, finished and open orders)."""
+    return (facts.groupBy(F.col("c_nationkey").alias("nationkey"), F.col("yr").alias("Year"))
+                 .agg(F.sum("urgent").alias("CorruptionIndex"),
+                      F.sum("finished").alias("UrbanPopulation"),
+                      F.sum("open").alias("RuralPopulation")))
 
 
 def yearly_orders_wide(spark: SparkSession, sf_dir: str,
-                       nation_fits: bool | None = None) -> DataFrame:
+                       nation_fits: bool | None = None,
+                       facts: DataFrame | None = None) -> DataFrame:
     """Wide table in the production-file layout: keys + Y<yr>, Y<yr>F, Y<yr>N.
 
     The facts (nations × segments × years rows) are checkpointed to the
@@ -72,29 +95,39 @@ def yearly_orders_wide(spark: SparkSession, sf_dir: str,
         nation_fits = fits_broadcast(nation, NATION_ROWS)
     if nation_fits:
         nation = F.broadcast(nation)
-    checkpoint_dir(spark)
-    facts = yearly_order_facts(spark, sf_dir).checkpoint(eager=True)
+    if facts is None:
+        facts = checkpointed_facts(spark, sf_dir)
     wide = pivot_years(facts, ["c_nationkey", "c_mktsegment"], "yr", "v", "f", "n")
     return (wide.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
                 .drop("c_nationkey"))
 
 
-def supplier_nation_mean(spark: SparkSession, sf_dir: str, value: str = "l_extendedprice",
-                         out: str = "Temperature") -> DataFrame:
-    """Mean of a lineitem measure per (supplier nation, ship year): (nationkey, Year, out).
+def supplier_nation_means(spark: SparkSession, sf_dir: str,
+                          measures: dict[str, str]) -> DataFrame:
+    """Means of lineitem measures per (supplier nation, ship year): (nationkey, Year, …).
 
-    Pre-aggregates lineitem per (supplier, year) — sum and count — before the
-    supplier join, so the join and the final shuffle see suppliers × years rows,
-    not lineitems; a hot supplier collapses on the map side.
+    ``measures`` maps output name → lineitem column (two-decimal values).
+    Pre-aggregates lineitem per (supplier, year) — exact sums and counts —
+    before the supplier join, so the join and the final shuffle see
+    suppliers × years rows, not lineitems; a hot supplier collapses on the map
+    side. All measures come from the same single pass.
     """
     per_supp = (load(spark, sf_dir, "lineitem")
                 .groupBy("l_suppkey", F.year("l_shipdate").alias("Year"))
-                .agg(F.sum(F.col(value).cast("decimal(18,2)")).alias("s"),
-                     F.count(value).alias("c")))
+                .agg(*[F.sum(F.col(c).cast("decimal(18,2)")).alias(f"s_{o}")
+                       for o, c in measures.items()],
+                     *[F.count(c).alias(f"c_{o}") for o, c in measures.items()]))
     supp = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     return (per_supp.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
                     .groupBy(F.col("s_nationkey").alias("nationkey"), "Year")
-                    .agg((F.sum("s").cast("double") / F.sum("c")).alias(out)))
+                    .agg(*[(F.sum(f"s_{o}").cast("double") / F.sum(f"c_{o}")).alias(o)
+                           for o in measures]))
+
+
+def supplier_nation_mean(spark: SparkSession, sf_dir: str, value: str = "l_extendedprice",
+                         out: str = "Temperature") -> DataFrame:
+    """One lineitem mean per (supplier nation, ship year): (nationkey, Year, out)."""
+    return supplier_nation_means(spark, sf_dir, {out: value})
 
 
 def customer_nation_mean(spark: SparkSession, sf_dir: str, out: str = "AcctBal") -> DataFrame:
