@@ -252,6 +252,8 @@ FEATURE_VARS = ["Yield", "Temperature", "AcctBal"]
 
 
 def _sql_corr_pairs(source: str, cols: list[str], by: list[str], digits: int) -> str:
+    """DuckDB: every ordered pair's corr, NaN → NULL, rounded; ``+ 0.0`` turns the
+    -0.0 DuckDB's round can return into 0.0 (Spark's round never gives -0.0)."""
     keys = ", ".join(f'"{k}"' for k in by)
     parts = []
     for a in cols:
@@ -259,7 +261,7 @@ def _sql_corr_pairs(source: str, cols: list[str], by: list[str], digits: int) ->
             parts.append(
                 f"SELECT {keys + ', ' if keys else ''}'{a}' AS var_x, '{b}' AS var_y, "
                 f"round(CASE WHEN isnan(corr(\"{a}\", \"{b}\")) THEN NULL "
-                f"ELSE corr(\"{a}\", \"{b}\") END, {digits}) AS r "
+                f"ELSE corr(\"{a}\", \"{b}\") END, {digits}) + CAST(0 AS DOUBLE) AS r "
                 f"FROM {source}" + (f" GROUP BY {keys}" if keys else ""))
     return "\nUNION ALL\n".join(parts)
 
@@ -272,6 +274,18 @@ def q13_corr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+FEATURE_VARS_V2 = ["Yield", "Temperature", "GDP", "CorruptionIndex", "UrbanPopulation",
+                   "RuralPopulation"]
+
+
+@register("q13c_corr_features_v2", "WITH" + SQL_FEATURES_V2 + "\n"
+          + _sql_corr_pairs("features_v2", FEATURE_VARS_V2, ["Country"], 4))
+def q13c_corr_features_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-3 on the v2 feature table (JOB-14 analogue): 6 × 6 correlations per country."""
+    return corr_pairs(order_features(spark, sf_dir, version=2), FEATURE_VARS_V2,
+                      by=["Country"], digits=4)
+
+
 # --- Q03..Q09: reshaping, cleaning, unions, semi joins --------------------------------
 
 @register("q03_explode_measures", """
@@ -514,7 +528,7 @@ def q17_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("q18_standardize", """
 SELECT p_partkey, round((p_retailprice - avg(p_retailprice) OVER ())
-       / stddev_samp(p_retailprice) OVER (), 9) AS standardized
+       / stddev_samp(p_retailprice) OVER (), 9) + CAST(0 AS DOUBLE) AS standardized
 FROM part""")
 def q18_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ML-6: StandardScaler with mean and std."""
