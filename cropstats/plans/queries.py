@@ -584,6 +584,17 @@ def q20_pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("explained", F.round("explained", 9))
 
 
+PCA_V2_INPUTS = ["Temperature", "GDP", "CorruptionIndex", "UrbanPopulation", "RuralPopulation"]
+
+
+@register("q19b_pca_features_v2")
+def q19b_pca_features_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOB-15 analogue: PCA(2) of the standardised v2 features, mean PC1/PC2 per
+    country, sign-normalised (K19). No SQL closed form: tested against numpy."""
+    feats = order_features(spark, sf_dir, version=2).checkpoint(eager=True)
+    return pca_by_group(feats, PCA_V2_INPUTS, ["Country"], k=2)
+
+
 def split_bucket() -> F.Column:
     return F.pmod(F.col("l_orderkey") * F.lit(7919), F.lit(100))
 

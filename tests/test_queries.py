@@ -41,7 +41,7 @@ def con():
 def test_every_query_has_an_oracle_or_is_marked():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"q22b_recipe_m1"}
+    assert set(q) - set(o) == {"q22b_recipe_m1", "q19b_pca_features_v2"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables missing")
@@ -89,3 +89,28 @@ def test_q22b_recipe_matches_least_squares_brute_force(spark):
     r2 = 1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2)
     assert got.rmse == pytest.approx(rmse, rel=1e-6)
     assert got.r2 == pytest.approx(r2, rel=1e-6, abs=1e-6)
+
+
+def test_q19b_pca_matches_numpy(spark):
+    """q19b has no SQL oracle: standardise, eigen-decompose, sign-normalise in numpy."""
+    import numpy as np
+
+    from cropstats.plans.queries import PCA_V2_INPUTS, order_features
+
+    got = {r.Country: (r.PC1, r.PC2)
+           for r in entry.queries()["q19b_pca_features_v2"](spark, SF_SMALL).collect()}
+    pdf = order_features(spark, SF_SMALL, version=2).toPandas()
+    x = pdf[PCA_V2_INPUTS].to_numpy(float)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    vals, vecs = np.linalg.eigh(np.cov(z.T))
+    top = vecs[:, np.argsort(vals)[::-1][:2]]
+    for j in range(2):
+        if top[np.abs(top[:, j]).argmax(), j] < 0:
+            top[:, j] *= -1
+    coords = z @ top
+    pdf["PC1"], pdf["PC2"] = coords[:, 0], coords[:, 1]
+    want = pdf.groupby("Country")[["PC1", "PC2"]].mean()
+    assert set(got) == set(want.index)
+    for country, (p1, p2) in got.items():
+        assert p1 == pytest.approx(want.loc[country, "PC1"], abs=1e-8)
+        assert p2 == pytest.approx(want.loc[country, "PC2"], abs=1e-8)
