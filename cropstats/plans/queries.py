@@ -665,6 +665,28 @@ def q22b_recipe_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(model.transform(test), "Yield", digits=6)
 
 
+def _recipe_on_v2(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    features = order_features(spark, sf_dir, version=2).checkpoint(eager=True)
+    train, test = bucket_split(features, F.pmod(F.col("Year") * 31 + F.length("Country"),
+                                                F.lit(100)), 80)
+    model = recipe(name, label="Yield").fit(train)
+    return evaluate(model.transform(test), "Yield", digits=6)
+
+
+@register("q22d_recipe_m2")
+def q22d_recipe_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-4, ML-5, ML-13 (recipe m2) on the v2 features: full dummy sets, min-max
+    scaled populations; RMSE and R² on held-out rows. Tested against numpy."""
+    return _recipe_on_v2(spark, sf_dir, "m2")
+
+
+@register("q22e_recipe_m3")
+def q22e_recipe_m3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-6, ML-7, ML-13 (recipe m3): regression on PCA(2) of the standardised
+    features plus the dummies; RMSE and R² on held-out rows. Tested against numpy."""
+    return _recipe_on_v2(spark, sf_dir, "m3")
+
+
 # --- Q23..Q29: exploration, filters, lookups, catalog, landed files ---------------------
 
 @register("q23_value_counts", 'SELECT p_type, count(*) AS "count" FROM part GROUP BY p_type')

@@ -41,7 +41,8 @@ def con():
 def test_every_query_has_an_oracle_or_is_marked():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"q22b_recipe_m1", "q19b_pca_features_v2"}
+    assert set(q) - set(o) == {"q22b_recipe_m1", "q19b_pca_features_v2", "q22d_recipe_m2",
+                               "q22e_recipe_m3"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables missing")
@@ -114,3 +115,80 @@ def test_q19b_pca_matches_numpy(spark):
     for country, (p1, p2) in got.items():
         assert p1 == pytest.approx(want.loc[country, "PC1"], abs=1e-8)
         assert p2 == pytest.approx(want.loc[country, "PC2"], abs=1e-8)
+
+
+def _v2_split(spark):
+    from pyspark.sql import functions as F
+
+    from cropstats.plans.queries import order_features
+
+    pdf = order_features(spark, SF_SMALL, version=2).withColumn(
+        "b", F.pmod(F.col("Year") * 31 + F.length("Country"), F.lit(100))).toPandas()
+    train, test = pdf[pdf.b < 80], pdf[pdf.b >= 80]
+    test = test[test.Country.isin(train.Country) & test.Item.isin(train.Item)]
+    return train, test
+
+
+def _dummies(df, ref):
+    import numpy as np
+    cols = []
+    for c in ("Country", "Item"):
+        for level in sorted(ref[c].unique()):
+            cols.append((df[c] == level).to_numpy(float))
+    return np.column_stack(cols)
+
+
+def _metrics(y, p):
+    import numpy as np
+    return (np.sqrt(np.mean((y - p) ** 2)),
+            1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2))
+
+
+def test_q22d_recipe_m2_matches_least_squares(spark):
+    import numpy as np
+
+    got = entry.queries()["q22d_recipe_m2"](spark, SF_SMALL).collect()[0]
+    train, test = _v2_split(spark)
+
+    def design(df):
+        scaled = []
+        for c in ("UrbanPopulation", "RuralPopulation"):
+            lo, hi = train[c].min(), train[c].max()
+            scaled.append(((df[c] - lo) / (hi - lo) if hi > lo else df[c] * 0 + 0.5)
+                          .to_numpy(float))
+        num = df[["Temperature", "GDP", "CorruptionIndex"]].to_numpy(float)
+        return np.column_stack([np.ones(len(df)), _dummies(df, train), num] + scaled)
+
+    coef, *_ = np.linalg.lstsq(design(train), train.Yield.to_numpy(float), rcond=None)
+    rmse, r2 = _metrics(test.Yield.to_numpy(float), design(test) @ coef)
+    assert got.rmse == pytest.approx(rmse, rel=1e-4)
+    assert got.r2 == pytest.approx(r2, rel=1e-4, abs=1e-4)
+
+
+def test_q22e_recipe_m3_matches_least_squares(spark):
+    import numpy as np
+
+    got = entry.queries()["q22e_recipe_m3"](spark, SF_SMALL).collect()[0]
+    train, test = _v2_split(spark)
+    num = ["Temperature", "GDP", "CorruptionIndex", "UrbanPopulation", "RuralPopulation"]
+
+    def raw(df):
+        return np.column_stack([_dummies(df, train), df[num].to_numpy(float)])
+
+    xt = raw(train)
+    mean, std = xt.mean(0), xt.std(0, ddof=1)
+    safe = np.where(std > 0, std, 1.0)
+
+    def scaled(df):
+        return np.where(std > 0, (raw(df) - mean) / safe, 0.0)
+
+    vals, vecs = np.linalg.eigh(np.cov(scaled(train).T))
+    top = vecs[:, np.argsort(vals)[::-1][:2]]
+
+    def design(df):
+        return np.column_stack([np.ones(len(df)), scaled(df) @ top, _dummies(df, train)])
+
+    coef, *_ = np.linalg.lstsq(design(train), train.Yield.to_numpy(float), rcond=None)
+    rmse, r2 = _metrics(test.Yield.to_numpy(float), design(test) @ coef)
+    assert got.rmse == pytest.approx(rmse, rel=1e-4)
+    assert got.r2 == pytest.approx(r2, rel=1e-4, abs=1e-4)
