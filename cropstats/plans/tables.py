@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -137,6 +138,11 @@ def customer_nation_mean(spark: SparkSession, sf_dir: str, out: str = "AcctBal")
             .agg((money("c_acctbal") / F.count("c_acctbal")).alias(out)))
 
 
+# Landing checks and writes are serialised within a process, so two queries
+# run from different threads never land the same folder at the same time.
+LANDING_LOCK = threading.RLock()
+
+
 def landed_path(spark: SparkSession, name: str, source: str) -> tuple[str, bool]:
     """Folder for files landed from ``source`` and whether they are complete.
 
