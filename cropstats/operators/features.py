@@ -37,7 +37,7 @@ def finish_features(df: DataFrame, yield_col: str = "Yield",
                     element_col: str | None = "Element", element: str | None = "Yield",
                     not_null: Sequence[str] = (), null_yield: str = "zero",
                     yield_type: str = "int") -> DataFrame:
-    """Post-join cleanup (FN-7, FN-3, FN-6, FLT-2, FLT-4, K13).
+    """Post-join cleanup (FN-7, FN-3, FN-6, FLT-2, FLT-4, PRJ-10, K13).
 
     ``null_yield="zero"`` turns a missing yield into 0 (as the reference),
     ``"drop"`` removes the row instead. Yields are truncated to ``yield_type``.

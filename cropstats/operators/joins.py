@@ -63,7 +63,7 @@ class Dim:
 
 
 def star_join(fact: DataFrame, dims: Sequence[Dim]) -> DataFrame:
-    """Join ``fact`` to each dimension in turn (JON-3/4/5).
+    """Join ``fact`` to each dimension in turn (JON-3/4/5, PRJ-11).
 
     Dimension columns are brought in under the names in ``Dim.select``; the
     dimension's key columns are dropped so no name is duplicated. Catalyst
@@ -92,7 +92,7 @@ def star_join(fact: DataFrame, dims: Sequence[Dim]) -> DataFrame:
 
 def keys_present_in(dim: DataFrame, facts: DataFrame, dim_key: str, fact_key: str,
                     columns: Sequence[str] | None = None) -> DataFrame:
-    """Distinct dimension rows whose key occurs in the facts (FLT-8, AGG-7).
+    """Distinct dimension rows whose key occurs in the facts (FLT-8, AGG-7, DST-1).
 
     Written as a left-semi join: ``SELECT DISTINCT … FROM dim JOIN facts`` is
     not turned into a semi join by Catalyst and would shuffle the whole fact

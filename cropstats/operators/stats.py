@@ -40,6 +40,9 @@ def corr_pairs(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
                include_diagonal: bool = True) -> DataFrame:
     """Long correlation table ``(by…, var_x, var_y, r)`` (STA-2; STA-3 with ``by``).
 
+    With ``by``, every group is computed in the same aggregate; this replaces
+    collecting the table and looping over its first rows (LIM-2).
+
     Only pairs i ≤ j are aggregated; the mirror (j, i) reuses the same value.
     The diagonal is 1.0 wherever the column has spread, NULL otherwise.
     """

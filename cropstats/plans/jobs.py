@@ -57,7 +57,7 @@ def production_long(raw: DataFrame, keep_cpc: bool = False, row_id: bool = False
                     strict_join: bool = False) -> DataFrame:
     """Wide production statistics → long crop-yield rows (JOB-1 / JOB-1b transform).
 
-    Drops the CPC item code (unless ``keep_cpc``), turns ``'004`` into 4,
+    Drops the CPC item code (PRJ-2; unless ``keep_cpc``), turns ``'004`` into 4,
     unpivots value / flag / note per year in one pass, cleans the names and
     calls the area ``Country``.
     """

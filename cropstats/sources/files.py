@@ -110,9 +110,9 @@ def read_station_daily(spark: SparkSession, path: str | Sequence[str],
                        schema: T.StructType = schemas.DAILY_WEATHER) -> DataFrame:
     """Headerless daily CSV per station, gzip or plain; id from the path (SRC-3).
 
-    Replaces the per-station HTTP fetch: the files are landed first, then
-    read in one scan. A gzip file is one task (not splittable), so the
-    parallelism is the file count.
+    Replaces the per-station HTTP fetch (UDF-1): the files are landed first,
+    then read in one scan. A gzip file is one task (not splittable), so the
+    parallelism is the file count, not a manual ``repartition(100)`` (UDF-3).
     """
     paths = [path] if isinstance(path, str) else list(path)
     df = (spark.read.schema(schema).option("header", False)
@@ -122,7 +122,7 @@ def read_station_daily(spark: SparkSession, path: str | Sequence[str],
 
 def read_stations(spark: SparkSession, path: str,
                   schema: str = "id string, country string") -> DataFrame:
-    """Station list, a (gzip) JSON array, reduced to its needed fields (SRC-4).
+    """Station list, a (gzip) JSON array, reduced to its needed fields (SRC-4, UDF-2).
 
     ``NA`` (Namibia) stays a string; only a JSON ``null`` becomes NULL (K9).
     """

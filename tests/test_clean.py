@@ -30,6 +30,7 @@ def test_k7_scale_truncate_toward_zero(spark):
 
 
 def test_k4_nan_scores_become_null_not_zero(spark):
+    """FN-11, FN-12."""
     df = spark.createDataFrame([(float("nan"),), (7.5,), (None,)], "x double")
     out = [r.v for r in df.select(clean.scale_truncate("x", 10).alias("v")).collect()]
     assert out == [None, 75, None]
@@ -67,6 +68,7 @@ def test_rename_and_map_columns_keep_order(spark):
 
 
 def test_null_to_zero_and_year_range(spark):
+    """FN-7, FLT-1, FLT-6."""
     df = spark.createDataFrame([(1959, None), (1960, 5.0), (2022, 1.0), (2023, 2.0)],
                                "Year int, v double")
     assert [r.v for r in df.select(clean.null_to_zero("v").alias("v")).collect()] == \

@@ -33,6 +33,7 @@ def loaded(spark, tmp_path_factory):
 
 
 def test_job1_crop_yield_long(spark, loaded):
+    """JOB-1: PRJ-2, PRJ-4, PRJ-6, PRJ-7, FN-1, FN-2, RSH-2, RSH-5, SNK-1, SRC-6."""
     crop = catalog.table(spark, f"{DB}.crop_yield")
     assert crop.columns == ["AreaCode", "AreaCodeM49", "Country", "ItemCode", "Item",
                             "ElementCode", "Element", "Unit", "Year", "Yield", "YearFlag",
@@ -66,6 +67,7 @@ def test_job1b_keeps_cpc_and_raw_m49(spark, loaded):
 
 
 def test_job4_k15_religion(spark, loaded):
+    """JOB-4: FLT-5, FN-8, FN-9, PRJ-3, PRJ-6, RSH-3."""
     rel = loaded["religion"]
     assert set(r.Country for r in rel.collect()) == {"Germany"}
     rows = {r.Religion: (r.Followers, r.Population) for r in rel.collect()}
@@ -75,6 +77,7 @@ def test_job4_k15_religion(spark, loaded):
 
 
 def test_job5_two_eras_one_scale(spark, loaded):
+    """JOB-5: SRC-2, SRC-5, SET-1, SET-2, PRJ-5, PRJ-9, RSH-4, FN-3, FN-4."""
     cpi = {(r.ISO, r.Year): r.CPI for r in loaded["cpi"].collect()}
     assert cpi[("DEU", 1995)] == 81 and cpi[("DEU", 1996)] == 82   # K7, K16
     assert cpi[("AFG", 1995)] is None and cpi[("AFG", 1996)] is None  # empty, NaN (K4)
@@ -84,6 +87,7 @@ def test_job5_two_eras_one_scale(spark, loaded):
 
 
 def test_job6_job7_rounding_and_bounds(spark, loaded):
+    """JOB-6, JOB-7: FLT-1, PRJ-2, PRJ-3, FN-6."""
     em = loaded["emissions"].collect()
     assert sorted(r.Year for r in em) == [1961, 2022]
     assert [r.Contribution for r in em if r.Year == 1961] == [0.000235]
@@ -97,6 +101,7 @@ def test_job8_k9_codes_keep_na(spark, loaded):
 
 
 def test_job9_weather_only_countries_with_facts(spark, loaded):
+    """JOB-9: FLT-8, AGG-7, DST-1, JON-2, AGG-3, AGG-4, AGG-5, FN-10, UDF-1, UDF-3."""
     w = {(r.ISO2, r.Year): r for r in catalog.table(spark, f"{DB}.weather_data").collect()}
     assert {k[0] for k in w} == {"DE", "AF"}   # NA has no facts, FR no code
     assert w[("DE", 1960)].AverageTemperature == pytest.approx(7.5)
@@ -104,6 +109,7 @@ def test_job9_weather_only_countries_with_facts(spark, loaded):
 
 
 def test_job10_job11_features(spark, loaded):
+    """JOB-10, JOB-11: JON-3, JON-4, JON-5, AGG-6, FN-3, FN-6, FN-7, FN-11, FLT-2, FLT-4, PRJ-10, PRJ-11."""
     v1 = jobs.feature_table(spark, 1, DB)
     assert set(v1.columns) == {"Year", "Country", "Item", "Element", "Unit", "Yield",
                                "Temperature"}
@@ -120,6 +126,7 @@ def test_job10_job11_features(spark, loaded):
 
 
 def test_job12_series_and_r(spark, loaded):
+    """JOB-12: FLT-3, PRJ-1, ORD-1, STA-2."""
     feats = jobs.feature_table(spark, 1, DB)
     series, r = jobs.series_correlation(feats, "Germany", "Wheat")
     assert [row.Year for row in series.collect()] == [1961, 2022, 2023]
@@ -133,6 +140,7 @@ def test_job13_regression_metrics(spark, loaded):
 
 
 def test_job14_correlation_tables(spark, loaded):
+    """JOB-14: STA-2, STA-3 (all groups at once instead of LIM-2's loop)."""
     feats = jobs.feature_table(spark, 1, DB)
     overall, by_group = jobs.correlation_tables(feats, ["Yield", "Temperature"])
     assert overall.count() == 4
@@ -151,6 +159,7 @@ def test_job15_pca_by_country(spark, loaded):
 
 
 def test_job16_explore(spark, loaded):
+    """JOB-16: AGG-1, AGG-2, FLT-3, FLT-7, PRJ-1."""
     raw = spark.read.option("header", True).csv(loaded["paths"]["production"])
     parts = jobs.explore_production(raw, "Wheat", "Germany")
     counts = {r.Item: r["count"] for r in parts["item_counts"].collect()}

@@ -12,6 +12,7 @@ from cropstats.operators import ml
 
 
 def test_ml2_index_order_frequency_then_label(spark):
+    """ML-2, FN-13."""
     df = spark.createDataFrame([(v,) for v in ["b", "a", "c", "c", "b", "d"]], "t string")
     model = ml.categorical(["t"])[0].fit(df)
     assert model.labelsArray[0] == ["b", "c", "a", "d"]
@@ -130,6 +131,7 @@ def test_recipes_build_and_fit(spark):
 
 
 def test_ml8_pca_coordinates_columns(spark):
+    """ML-8, UDF-2 (vector_to_array instead of rdd.map)."""
     df = _pca_frame(spark)
     model = ml.pca_pipeline(["p", "q"], k=2).fit(df)
     out = ml.pca_coordinates(model, df, keep=["g"])

@@ -17,6 +17,7 @@ def _plan(df) -> str:
 
 
 def test_filters_and_projection_reach_the_scan(spark):
+    """FLT-1, FLT-4, FLT-5, FLT-6, PRJ-1."""
     plan = _plan(queries.q25_not_contains(spark, SF_SMALL))
     assert "PushedFilters" in plan
     assert "GreaterThan(p_retailprice,950.0)" in plan
@@ -31,6 +32,7 @@ def test_order_facts_use_hash_aggregate_and_broadcast(spark):
 
 
 def test_hub_join_is_broadcast(spark):
+    """JON-3, JON-4."""
     plan = _plan(queries.q10_feature_join(spark, SF_SMALL))
     assert "BroadcastHashJoin" in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -39,6 +39,7 @@ def test_k20_intended_names_are_used():
 
 
 def test_agg9_series_range_and_lim1_preview(spark):
+    """AGG-9, LIM-1, ORD-1."""
     df = spark.createDataFrame([("a", 3), ("a", 9), ("b", 4)], "k string, v int")
     rng = {r.k: (r.min_v, r.max_v) for r in explore.series_range(df, "v", ["k"]).collect()}
     assert rng == {"a": (3, 9), "b": (4, 4)}

@@ -76,5 +76,6 @@ def test_landing_spreads_a_hot_key_over_several_files(spark, skewed, tmp_path):
 
 
 def test_skew_join_splitting_is_on(spark):
+    """CFG-1, CFG-2: session settings of session.build."""
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
     assert spark.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"

@@ -44,6 +44,7 @@ def test_src3_station_files_gzip_id_from_name(spark, tmp_path):
 
 
 def test_src4_k9_station_list_keeps_namibia(spark, tmp_path):
+    """SRC-4, UDF-2 (no rdd.map of dicts: schema-first JSON read)."""
     df = files.read_stations(spark, fixtures.stations(str(tmp_path)))
     assert df.columns == ["id", "country"]
     assert ("ST004", "NA") in {tuple(r) for r in df.collect()}

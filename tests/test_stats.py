@@ -11,6 +11,7 @@ from cropstats.operators import stats
 
 
 def test_k21_constant_column_and_single_row_give_null(spark):
+    """STA-3 per group in one aggregate (replaces LIM-2's per-group loop)."""
     df = spark.createDataFrame([("g", 1.0, 5.0), ("g", 2.0, 5.0), ("h", 3.0, 1.0)],
                                "g string, x double, c double")
     out = stats.corr_pairs(df, ["x", "c"], by=["g"])
