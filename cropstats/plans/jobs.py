@@ -70,7 +70,7 @@ def production_long(raw: DataFrame, keep_cpc: bool = False, row_id: bool = False
         df = add_row_id(df)
         ids = ["Id"] + ids
     long = unpivot_years(df, id_cols=ids, strict_join=strict_join)
-    return rename(clean_names(long), {"Area": "Country"})
+    return rename(clean_names(long), schemas.RENAMES["production"])
 
 
 def read_production(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +90,7 @@ def load_production(spark: SparkSession, path: str, database: str = DATABASE,
                     fmt: str = "parquet", **kw) -> DataFrame:
     """JOB-1: production statistics → ``crop_yield``."""
     out = production_long(read_production(spark, path), **kw)
-    catalog.save_table(out, _name(database, "crop_yield"), fmt)
+    catalog.save_table(out, _name(database, schemas.TABLES["crop_yield"]), fmt)
     return out
 
 
@@ -98,9 +98,8 @@ def load_urban_population(spark: SparkSession, path: str, database: str = DATABA
                           fmt: str = "parquet") -> DataFrame:
     """JOB-2: urban / rural population → ``urban_population``."""
     df = rename(files.read_delimited(spark, path, schemas.URBAN_POPULATION),
-                {"Entity": "Country", "Urban population": "UrbanPopulation",
-                 "Rural population": "RuralPopulation"})
-    catalog.save_table(df, _name(database, "urban_population"), fmt)
+                schemas.RENAMES["urban_population"])
+    catalog.save_table(df, _name(database, schemas.TABLES["urban_population"]), fmt)
     return df
 
 
@@ -108,9 +107,8 @@ def load_gdp_share(spark: SparkSession, path: str, database: str = DATABASE,
                    fmt: str = "parquet") -> DataFrame:
     """JOB-3: agriculture share of GDP → ``share_of_gdp``."""
     df = rename(files.read_delimited(spark, path, schemas.GDP_SHARE),
-                {"Entity": "Country",
-                 "Agriculture, forestry, and fishing, value added (% of GDP)": "GDP"})
-    catalog.save_table(df, _name(database, "share_of_gdp"), fmt)
+                schemas.RENAMES["share_of_gdp"])
+    catalog.save_table(df, _name(database, schemas.TABLES["share_of_gdp"]), fmt)
     return df
 
 
@@ -123,7 +121,7 @@ def religion_long(sheet: DataFrame) -> DataFrame:
     df = map_other_columns(df, ["Year", "Country"],
                            lambda c: strip_and_cast(c, "[<, ]", "bigint"))
     df = df.withColumn("Year", F.col("Year").try_cast("int"))
-    df = rename(df, {**RELIGIONS, "All Religions": "Population"})
+    df = rename(df, {**RELIGIONS, **schemas.RENAMES["religion_total"]})
     long = explode_measures(df, ["Year", "Country", "Population"], list(RELIGIONS.values()),
                             name_col="Religion", value_col="Followers")
     return long.select("Year", "Country", "Religion", "Followers", "Population")
@@ -134,7 +132,7 @@ def load_religion(spark: SparkSession, path: str, database: str = DATABASE,
     """JOB-4: religious composition (sheet exported as CSV) → ``religious_composition``."""
     sheet = files.read_delimited(spark, path, infer=False)  # text, bound by header name
     out = religion_long(sheet)
-    catalog.save_table(out, _name(database, "religious_composition"), fmt)
+    catalog.save_table(out, _name(database, schemas.TABLES["religious_composition"]), fmt)
     return out
 
 
@@ -149,8 +147,8 @@ def corruption_index(spark: SparkSession, yearly_path: str | Sequence[str], shee
     """
     era1 = files.read_yearly_files(spark, yearly_path, schemas.CPI_COLUMNS,
                                    r"CPI-(\d{4})\.csv", year_col="Year")
-    era1 = era1.select(F.col("country").alias("Country"), F.col("iso").alias("ISO"),
-                       scale_truncate("score", 10).alias("CPI"), "Year")
+    era1 = rename(era1.withColumn("score", scale_truncate("score", 10)),
+                  schemas.RENAMES["cpi_yearly"]).select("Country", "ISO", "CPI", "Year")
     years = range(first_sheet_year, last_sheet_year + 1)
     score_cols = {f"CPI Score {y}": "double" for y in years}
     sheet = files.read_sheet_export(
@@ -161,8 +159,7 @@ def corruption_index(spark: SparkSession, yearly_path: str | Sequence[str], shee
     era2 = explode_measures(sheet, ["Country / Territory", "ISO3"],
                             {y: f"CPI Score {y}" for y in years},
                             name_col="Year", value_col="CPI", name_type="int")
-    era2 = era2.select(F.col("Country / Territory").alias("Country"),
-                       F.col("ISO3").alias("ISO"), "CPI", "Year")
+    era2 = rename(era2, schemas.RENAMES["cpi_sheet"]).select("Country", "ISO", "CPI", "Year")
     return era1.unionByName(era2)
 
 
@@ -170,15 +167,14 @@ def load_corruption(spark: SparkSession, yearly_path: str | Sequence[str], sheet
                     database: str = DATABASE, fmt: str = "parquet") -> DataFrame:
     """JOB-5 → ``corruption_index``."""
     out = corruption_index(spark, yearly_path, sheet_path)
-    catalog.save_table(out, _name(database, "corruption_index"), fmt)
+    catalog.save_table(out, _name(database, schemas.TABLES["corruption_index"]), fmt)
     return out
 
 
 def emissions(raw: DataFrame, after_year: int = 1960) -> DataFrame:
     """JOB-6 transform: years after ``after_year`` (exclusive, K12), rounded to 6 (K3)."""
-    long_name = schemas.EMISSION_CONTRIBUTION.fields[3].name
     df = year_range(raw, "Year", after_year, None, low_inclusive=False)
-    df = rename(df, {"Entity": "Country", "Code": "ISO3", long_name: "Contribution"})
+    df = rename(df, schemas.RENAMES["emissions"])
     return df.withColumn("Contribution", round_to("Contribution", 6))
 
 
@@ -186,7 +182,7 @@ def load_emissions(spark: SparkSession, path: str, database: str = DATABASE,
                    fmt: str = "parquet") -> DataFrame:
     """JOB-6 → ``temperature_change_by_greenhouse_emissions``."""
     out = emissions(files.read_delimited(spark, path, schemas.EMISSION_CONTRIBUTION))
-    catalog.save_table(out, _name(database, "temperature_change_by_greenhouse_emissions"), fmt)
+    catalog.save_table(out, _name(database, schemas.TABLES["emissions"]), fmt)
     return out
 
 
@@ -194,8 +190,7 @@ def surface_temperature(raw: DataFrame, after_year: int = 1960) -> DataFrame:
     """JOB-7 transform: drop the duplicate column (K8), years after 1960, round to 2 (K3)."""
     df = raw.drop("Average surface temperature5")
     df = year_range(df, "year", after_year, None, low_inclusive=False)
-    df = rename(df, {"Entity": "Country", "Code": "ISO3", "year": "Year",
-                     "Average surface temperature4": "Temperature"})
+    df = rename(df, schemas.RENAMES["temperature"])
     return df.withColumn("Temperature", round_to("Temperature", 2))
 
 
@@ -203,7 +198,7 @@ def load_surface_temperature(spark: SparkSession, path: str, database: str = DAT
                              fmt: str = "parquet") -> DataFrame:
     """JOB-7 → ``average_surface_temperature``."""
     out = surface_temperature(files.read_delimited(spark, path, schemas.SURFACE_TEMPERATURE))
-    catalog.save_table(out, _name(database, "average_surface_temperature"), fmt)
+    catalog.save_table(out, _name(database, schemas.TABLES["temperature"]), fmt)
     return out
 
 
@@ -211,9 +206,8 @@ def load_country_codes(spark: SparkSession, path: str, database: str = DATABASE,
                        fmt: str = "parquet") -> DataFrame:
     """JOB-8: country codes hub → ``country_codes``."""
     df = rename(files.read_delimited(spark, path, schemas.COUNTRY_CODES),
-                {"iso2": "ISO2", "iso3": "ISO3", "iso_num": "ISONum", "country": "Country",
-                 "country_common": "CountryCommon"})
-    catalog.save_table(df, _name(database, "country_codes"), fmt)
+                schemas.RENAMES["country_codes"])
+    catalog.save_table(df, _name(database, schemas.TABLES["country_codes"]), fmt)
     return df
 
 
@@ -244,9 +238,9 @@ def load_weather(spark: SparkSession, stations_path: str, daily_path: str,
     """JOB-9 → ``weather_data``."""
     out = country_weather(files.read_stations(spark, stations_path),
                           files.read_station_daily(spark, daily_path),
-                          catalog.table(spark, _name(database, "country_codes")),
-                          catalog.table(spark, _name(database, "crop_yield")))
-    catalog.save_table(out, _name(database, "weather_data"), fmt)
+                          catalog.table(spark, _name(database, schemas.TABLES["country_codes"])),
+                          catalog.table(spark, _name(database, schemas.TABLES["crop_yield"])))
+    catalog.save_table(out, _name(database, schemas.TABLES["weather_data"]), fmt)
     return out
 
 
