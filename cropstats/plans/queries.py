@@ -185,6 +185,7 @@ def order_features(spark: SparkSession, sf_dir: str, item: str | None = None,
     hub_fits = fits_broadcast(nation, NATION_ROWS)
     facts = checkpointed_facts(spark, sf_dir)
     wide = yearly_orders_wide(spark, sf_dir, nation_fits=hub_fits, facts=facts)
+    fact_rows = facts[0]
     long = unpivot_years(wide, id_cols=LONG_KEYS).select(
         "n_nationkey", F.col("n_name").alias("Country"), F.col("c_mktsegment").alias("Item"),
         "Year", "Yield")
@@ -201,7 +202,7 @@ def order_features(spark: SparkSession, sf_dir: str, item: str | None = None,
     cols = ["Year", "Country", "Item", F.col("n_regionkey").alias("Region"),
             "Yield", "Temperature", "AcctBal"]
     if version == 2:
-        dims.append(Dim(order_attributes(facts), {"n_nationkey": "nationkey", "Year": "Year"},
+        dims.append(Dim(order_attributes(fact_rows), {"n_nationkey": "nationkey", "Year": "Year"},
                         ["CorruptionIndex", "UrbanPopulation", "RuralPopulation"]))
         cols += ["GDP", "CorruptionIndex", "UrbanPopulation", "RuralPopulation"]
     out = star_join(long, dims).select(*cols)

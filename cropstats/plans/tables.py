@@ -17,7 +17,7 @@ import hashlib
 import os
 import threading
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cropstats.operators.joins import fits_broadcast
@@ -76,10 +76,19 @@ def yearly_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                        count_if(F.col("o_orderstatus") == "O").alias("open")))
 
 
-def checkpointed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``yearly_order_facts`` written to the shared checkpoint folder (small, reused)."""
+def checkpointed_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int] | None]:
+    """``yearly_order_facts`` written to the shared checkpoint folder, and its years.
+
+    The distinct years (a bounded set) are collected as an observed metric of
+    the same checkpoint job, so the pivot needs no extra job to find them.
+    """
     checkpoint_dir(spark)
-    return yearly_order_facts(spark, sf_dir).checkpoint(eager=True)
+    seen = Observation("fact_years")
+    facts = (yearly_order_facts(spark, sf_dir)
+             .observe(seen, F.collect_set("yr").alias("years"))
+             .checkpoint(eager=True))
+    years = seen.get.get("years")
+    return facts, (sorted(years) if years is not None else None)
 
 
 def order_attributes(facts: DataFrame) -> DataFrame:
@@ -93,23 +102,24 @@ def order_attributes(facts: DataFrame) -> DataFrame:
 
 def yearly_orders_wide(spark: SparkSession, sf_dir: str,
                        nation_fits: bool | None = None,
-                       facts: DataFrame | None = None) -> DataFrame:
+                       facts: tuple[DataFrame, list[int] | None] | None = None) -> DataFrame:
     """Wide table in the production-file layout: keys + Y<yr>, Y<yr>F, Y<yr>N.
 
     The facts (nations × segments × years rows) are checkpointed to the
-    shared checkpoint folder: the pivot first needs the distinct years, and
-    without the checkpoint that would run the whole orders ⋈ customer
-    aggregate twice. ``nation_fits`` passes on a size check the caller has
-    already made on the nation table (otherwise it is made here).
+    shared checkpoint folder, with their distinct years observed in the same
+    job, so the pivot gets its values without another pass and the orders ⋈
+    customer aggregate runs once. ``facts`` passes on facts the caller has
+    already checkpointed; ``nation_fits`` a size check the caller has already
+    made on the nation table (otherwise both are done here).
     """
     nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     if nation_fits is None:
         nation_fits = fits_broadcast(nation, NATION_ROWS)
     if nation_fits:
         nation = F.broadcast(nation)
-    if facts is None:
-        facts = checkpointed_facts(spark, sf_dir)
-    wide = pivot_years(facts, ["c_nationkey", "c_mktsegment"], "yr", "v", "f", "n")
+    fact_rows, years = facts if facts is not None else checkpointed_facts(spark, sf_dir)
+    wide = pivot_years(fact_rows, ["c_nationkey", "c_mktsegment"], "yr", "v", "f", "n",
+                       years=years)
     return (wide.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
                 .drop("c_nationkey"))
 
