@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cropstats.functions.clean import (
@@ -314,11 +314,12 @@ def q03b_explode_years(spark: SparkSession, sf_dir: str) -> DataFrame:
               .join(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"),
                     F.col("o_custkey") == F.col("c_custkey"))
               .groupBy("c_nationkey", "yr").count())
-    # nations × years rows: checkpointed so the pivot's lookup of the distinct
-    # years does not run the orders ⋈ customer join a second time
+    # nations × years rows, checkpointed; the distinct years are observed in
+    # the same job, so the pivot needs no second pass over orders ⋈ customer
     checkpoint_dir(spark)
-    counts = counts.checkpoint(eager=True)
-    wide = counts.groupBy("c_nationkey").pivot("yr").sum("count")
+    seen = Observation("count_years")
+    counts = counts.observe(seen, F.collect_set("yr").alias("years")).checkpoint(eager=True)
+    wide = counts.groupBy("c_nationkey").pivot("yr", sorted(seen.get["years"])).sum("count")
     years = [c for c in wide.columns if c != "c_nationkey"]
     return explode_measures(wide, ["c_nationkey"], {int(y): y for y in years},
                             name_col="Year", value_col="Value", name_type="int")
