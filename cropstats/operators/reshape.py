@@ -39,11 +39,6 @@ def classify_year_columns(columns: Iterable[str],
     return dict(sorted(out.items()))
 
 
-def year_columns(columns: Iterable[str]) -> list[str]:
-    """All columns that belong to some year."""
-    return [c for c in columns if YEAR_COLUMN.match(c)]
-
-
 def year_of(c: Column | str, letters: str = "YFN") -> Column:
     """``Y1961F`` → 1961 as int (RSH-5)."""
     col = F.col(c) if isinstance(c, str) else c

@@ -145,11 +145,6 @@ def supplier_nation_means(spark: SparkSession, sf_dir: str,
                            .alias(o) for o in measures]))
 
 
-def supplier_nation_mean(spark: SparkSession, sf_dir: str, value: str = "l_extendedprice",
-                         out: str = "Temperature") -> DataFrame:
-    """One lineitem mean per (supplier nation, ship year): (nationkey, Year, out)."""
-    return supplier_nation_means(spark, sf_dir, {out: value})
-
 
 def customer_nation_mean(spark: SparkSession, sf_dir: str, out: str = "AcctBal") -> DataFrame:
     """Mean account balance per customer nation: (nationkey, out)."""
