@@ -3,9 +3,14 @@
 Each query takes ``(spark, sf_dir)`` and reads whole tables from
 ``sf_dir``; ``ORACLE`` holds the equivalent DuckDB SQL over the same tables
 (pre-registered as views). Computed columns carry the same alias on both
-sides. Money is summed as ``decimal(18,2)`` on both sides so float order does
-not matter; other floats are rounded where the two engines' arithmetic could
-differ in the last bits.
+sides. Results are compared exactly, so sums never depend on the order
+partial results are combined in: money is summed as integer cents in Spark
+and as ``DECIMAL(18,2)`` in DuckDB (the same exact total, the same nearest
+double); averages of two-decimal readings use Spark's ``decimal`` average,
+which the oracle reproduces in integer arithmetic (``_sql_half_up_div``);
+``sql_round`` rounds in DuckDB the way Spark's ``round`` does. Queries
+without a SQL closed form (regression recipes, PCA of several features) have
+no oracle and are tested against numpy in ``tests/test_queries.py``.
 """
 
 from __future__ import annotations
