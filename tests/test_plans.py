@@ -48,3 +48,13 @@ def test_corr_by_group_is_one_aggregate(spark):
 def test_country_dim_is_semi_join(spark):
     plan = _plan(queries.q09_country_dim(spark, SF_SMALL))
     assert "LeftSemi" in plan
+
+
+def test_no_query_plans_a_cross_join(spark):
+    """No registered query may use a Cartesian product or a nested-loop join."""
+    import __spark_entry__ as entry
+
+    for name, fn in entry.queries().items():
+        plan = _plan(fn(spark, SF_SMALL))
+        assert "CartesianProduct" not in plan, name
+        assert "BroadcastNestedLoopJoin" not in plan, name
