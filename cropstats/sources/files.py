@@ -75,6 +75,13 @@ def read_yearly_files(spark: SparkSession, path: str | Sequence[str],
         names = tuple(next(csv.reader([row["line"]], delimiter=sep)))
         if all(n in names for n in columns):
             layouts.setdefault(names, []).append(row["path"])
+    found = sum(len(f) for f in layouts.values())
+    if found != n_files:
+        # never drop a file's rows silently: every file needs a usable header
+        with_header = {f for fs in layouts.values() for f in fs}
+        missing = [f for f in raw_files(lines) if f not in with_header]
+        raise ValueError(f"no header naming {list(columns)} in: {missing[:5]}"
+                         f"{' …' if len(missing) > 5 else ''}")
     parts = []
     for names, files in layouts.items():
         fields = [T.StructField(n, T.StringType()) for n in _dedupe(names)]
@@ -92,6 +99,11 @@ def read_yearly_files(spark: SparkSession, path: str | Sequence[str],
     return out
 
 
+def raw_files(df: DataFrame) -> list[str]:
+    """The files behind a file-source DataFrame (from the file listing, no scan)."""
+    return list(df.inputFiles())
+
+
 def _dedupe(names: Sequence[str]) -> list[str]:
     seen: dict[str, int] = {}
     out = []

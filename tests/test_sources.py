@@ -70,3 +70,14 @@ def test_catalog_roundtrip_database_table(spark, tmp_path):
     out = str(tmp_path / "files")
     catalog.save_files(df, out, fmt="parquet")
     assert os.path.isdir(out) and spark.read.parquet(out).count() == 2
+
+
+def test_k16_yearly_file_without_header_is_an_error_not_a_silent_drop(spark, tmp_path):
+    """SRC-2: a file lacking a wanted column must fail the read, not vanish."""
+    import pytest
+
+    d = fixtures.cpi_yearly(str(tmp_path))
+    with open(os.path.join(d, "CPI-1997.csv"), "w") as f:
+        f.write("country,rank\nGermany,1\n")
+    with pytest.raises(ValueError, match="CPI-1997"):
+        files.read_yearly_files(spark, d, schemas.CPI_COLUMNS, r"CPI-(\d{4})\.csv")
