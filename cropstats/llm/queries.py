@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cropstats.llm import packing, scratch, token_files
+from cropstats.llm import exact_dedup, html_text, packing, scratch, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.fresh_path(spark, "token-ids")
     token_files.write(table(spark, sf_dir, "documents"), path, byte_bpe())
@@ -30,9 +34,27 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op5_token_ids_orc": op5_token_ids_orc,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL can express.
+ORACLE: dict[str, str] = {
+    "op2_exact_dedup": """
+        WITH normal AS (
+            SELECT doc_id, coalesce(length(text), 0) AS size,
+                   sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS text_sha256
+            FROM documents),
+        best AS (
+            SELECT text_sha256, count(*) AS group_size, first(doc_id ORDER BY size DESC, doc_id) AS keep_id
+            FROM normal GROUP BY text_sha256)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+        FROM normal JOIN best USING (text_sha256)""",
+}
