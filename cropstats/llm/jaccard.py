@@ -29,7 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropstats.llm import batches, scratch
@@ -145,30 +145,41 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return batches.mapped(rows, collect, "cls long, members binary").dropDuplicates(["cls"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets are as similar as the threshold."""
+def _compared(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (``a``, ``b``) with ``apart``, how many shingles only one of the sets has, and whether they are similar."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            a, b = (np.array(part.column(k).to_pylist(), dtype=np.int64) for k in (0, 1))
-            keep = np.zeros(len(a), dtype=bool)
-            for k, (x, y) in enumerate(zip(part.column(2), part.column(3), strict=True)):
-                u, v = (np.frombuffer(z.as_buffer(), dtype=U64) for z in (x, y))
-                if min(len(u), len(v)) * den >= max(len(u), len(v)) * num:
-                    joined = np.concatenate((u, v))
-                    joined.sort(kind="stable")
-                    common = int((joined[1:] == joined[:-1]).sum())
-                    keep[k] = den * common >= num * (len(joined) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            apart, similar = [], []
+            for x, y in zip(part.column(2), part.column(3), strict=True):
+                joined = np.frombuffer(x.as_buffer().to_pybytes() + y.as_buffer().to_pybytes(), dtype=U64)
+                joined = np.sort(joined, kind="stable")
+                common = int((joined[1:] == joined[:-1]).sum())
+                apart.append(len(joined) - 2 * common)
+                similar.append(den * common >= num * (len(joined) - common))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(apart, type=pa.int64()), pa.array(similar, type=pa.bool_())], names=["a", "b", "apart", "similar"])
 
     left, right = sets.select(F.col("cls").alias("a"), F.col("members").alias("left")), sets.select(F.col("cls").alias("b"), F.col("members").alias("right"))
-    return batches.mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), compare, "a long, b long")
+    return batches.mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), compare, "a long, b long, apart long, similar boolean")
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of the groups whose members are not all in one component."""
+    named = labels.select(F.col("node").alias("cls"), F.col("component").alias("label"))
+    alike = Window.partitionBy("key")
+    marked = rows.drop("component").join(named, "cls", "left").withColumn("component", F.coalesce("label", "cls")).drop("label")
+    return marked.withColumn("least", F.min("component").over(alike)).withColumn("most", F.max("component").over(alike)).where("least < most").drop("least", "most")
 
 
 def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest id reachable by links).
 
     Two documents link when ``den * |intersection| >= num * |union|``.
+
+    Comparing each member of a group with its first one also tells how far each
+    lies from it. In later rounds a pair whose distances from the first one
+    differ by more than similar sets can differ is not compared: the number of
+    shingles that only one of two sets has is a metric.
     """
     measured, signed = _signed(docs, words, num, den)
     members = scratch.stored(_classes(scratch.stored(measured, "set-sizes")), "set-classes")
@@ -176,33 +187,32 @@ def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     shared = scratch.stored(signed.withColumn("low", F.min("doc_id").over(alike)).withColumn("high", F.max("doc_id").over(alike)).where("low < high").select("key", "doc_id"), "shared-signatures")
     named = members.where("cls IS NOT NULL").select("doc_id", "cls", "n_shingles").dropDuplicates(["doc_id"])
     by_class = shared.join(named, "doc_id").select("key", "cls", "n_shingles").distinct()
-    group = by_class.withColumn("size", F.count("*").over(alike)).withColumn("place", F.row_number().over(alike.orderBy("cls"))).where("size > 1")
-    group = scratch.stored(group, "signature-groups")
+    group = scratch.stored(by_class.withColumn("lead", F.first(F.struct("cls", "n_shingles")).over(alike.orderBy("cls"))).withColumn("size", F.count("*").over(alike)).withColumn("place", F.row_number().over(alike.orderBy("cls"))).where("size > 1"), "signature-groups")
     sets = scratch.stored(_sets(docs, group.select("cls").distinct(), words), "shingle-sets")
-    links = labels = None
-    checked = None
-    low, high = 1, 1
-    while True:
-        at = group.where(F.col("size") > low)
-        if labels is not None:
-            at = at.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-            at = at.withColumn("least", F.min("component").over(alike)).withColumn("most", F.max("component").over(alike)).where("least < most")
-            at = scratch.stored(at, "open-groups")
-            if at.isEmpty():
-                break
-        else:
-            at = at.withColumn("component", F.col("cls"))
-        centre = at.where(F.col("place").between(low, high)).select("key", F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-        pairs = at.join(centre, "key").where((F.col("place") > F.col("pb")) & (F.col("component") != F.col("cb")) & (F.least("n_shingles", "nb") * den >= F.greatest("n_shingles", "nb") * num))
+
+    def near(a: str, b: str) -> Column:
+        return F.least(a, b) * den >= F.greatest(a, b) * num
+
+    to_lead = group.where((F.col("place") > 1) & near("n_shingles", "lead.n_shingles")).select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct()
+    compared = scratch.stored(_compared(to_lead, sets, num, den), "compared")
+    links = compared.where("similar").select("a", "b")
+    labels = components(links)
+    distance = compared.select(F.col("a").alias("cls"), F.col("b").alias("first"), "apart")
+    rows = _open(group.select("key", "cls", "n_shingles", "size", "place", F.col("lead.cls").alias("first")), labels)
+    rows = scratch.stored(rows.join(distance, ["cls", "first"], "left").withColumn("apart", F.when(F.col("cls") == F.col("first"), 0).otherwise(F.col("apart"))), "open-groups")
+    low, high = 2, 5
+    while not rows.where(F.col("size") > low).isEmpty():
+        at = rows.where(F.col("size") > low)
+        centre = at.where(F.col("place").between(low, high)).select("key", F.col("cls").alias("b"), F.col("n_shingles").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"), F.col("apart").alias("apart_b"))
+        # a member or centre too unlike the first in size has no distance, and is compared
+        reach = F.coalesce(F.abs(F.col("apart") - F.col("apart_b")) * (den + num) <= (F.col("n_shingles") + F.col("nb")) * (den - num), F.lit(True))
+        pairs = at.join(centre, (at["key"] == centre["key"]) & (F.col("place") > F.col("pb")) & (F.col("component") != F.col("cb")) & near("n_shingles", "nb") & reach)
         pairs = pairs.select(F.greatest("cls", "b").alias("a"), F.least("cls", "b").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        pairs = scratch.stored(pairs, "pairs")
-        found = scratch.stored(_similar(pairs, sets, num, den), "similar")
-        links = found if links is None else links.unionByName(found)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        if labels is None or not found.isEmpty():
+        found = scratch.stored(_compared(pairs, sets, num, den).where("similar").select("a", "b"), "similar")
+        if not found.isEmpty():
+            links = links.unionByName(found)
             labels = components(links)
+            rows = scratch.stored(_open(rows, labels), "open-groups")
         low, high = high + 1, 4 * high + 1
     return members.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("component", "cls").alias("component_id"))
 
