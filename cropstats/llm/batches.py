@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 PIECE_BYTES = 4 << 20
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` whose workers find this package where the driver found it.
+def importable(df: DataFrame) -> None:
+    """Let Python workers find this package where the driver found it.
 
     On a cluster the package is installed or sent with ``--py-files``; this only
     helps where the driver put its folder on the path by itself.
@@ -22,6 +23,11 @@ def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterato
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
+
+
+def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with workers that can import this package."""
+    importable(df)
     return df.mapInArrow(function, schema)
 
 

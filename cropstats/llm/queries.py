@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cropstats.llm import exact_dedup, html_text, jaccard, packing, scratch, token_files
+from cropstats.llm import exact_dedup, hnsw, html_text, jaccard, packing, quality, scratch, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,20 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, ["doc_id"]).select("row.doc_id", "held_out", "score", "predicted")
+
+
 def op5_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.fresh_path(spark, "token-ids")
     token_files.write(table(spark, sf_dir, "documents"), path, byte_bpe())
@@ -43,7 +54,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw_neighbours": op1_hnsw_neighbours,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_ids_orc": op5_token_ids_orc,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
