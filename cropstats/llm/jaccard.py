@@ -141,7 +141,8 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
         for part in batches.pieces(parts, "text"):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words).tobytes() for t in batches.utf8(part, "text")], type=pa.binary())], names=["cls", "members"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text")).join(needed, "cls", "left_semi")
+    rows = scratch.in_slots(docs.select("doc_id", "text"), scratch.slots(needed.select(F.col("cls").alias("doc_id"))))
+    rows = rows.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text")).join(needed, "cls", "left_semi")
     return batches.mapped(rows, collect, "cls long, members binary").dropDuplicates(["cls"])
 
 
@@ -188,7 +189,7 @@ def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     named = members.where("cls IS NOT NULL").select("doc_id", "cls", "n_shingles").dropDuplicates(["doc_id"])
     by_class = shared.join(named, "doc_id").select("key", "cls", "n_shingles").distinct()
     group = scratch.stored(by_class.withColumn("lead", F.first(F.struct("cls", "n_shingles")).over(alike.orderBy("cls"))).withColumn("size", F.count("*").over(alike)).withColumn("place", F.row_number().over(alike.orderBy("cls"))).where("size > 1"), "signature-groups")
-    sets = scratch.stored(_sets(docs, group.select("cls").distinct(), words), "shingle-sets")
+    sets = scratch.stored(_sets(docs, scratch.stored(group.select("cls").distinct(), "classes-in-groups"), words), "shingle-sets")
 
     def near(a: str, b: str) -> Column:
         return F.least(a, b) * den >= F.greatest(a, b) * num
@@ -220,5 +221,7 @@ def groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
 def deduplicated(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` without those of a group's documents other than its smallest id; all columns are kept."""
     found = groups(docs, words, num, den)
-    away = found.where("component_id < doc_id").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    away = scratch.stored(found.where("component_id < doc_id").select("doc_id").distinct(), "similar-away")
+    taken = scratch.slots(away)
+    near = scratch.in_slots(docs, taken).join(away, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scratch.in_slots(docs, taken, outside=True).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(near)

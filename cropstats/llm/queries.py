@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropstats.llm import exact_dedup, hnsw, html_text, jaccard, packing, quality, scratch, token_files
+from cropstats.llm import exact_dedup, hnsw, html_text, jaccard, packing, quality, scratch, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_token_ids_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, path))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_ids_orc": op5_token_ids_orc,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_html_extraction": op10_html_extraction,

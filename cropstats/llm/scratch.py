@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,10 +33,30 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def partitions(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions the session asks for, ``least`` at least."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Hash slots of :func:`slots`: the broadcast has this many rows at most, at any size of the corpus.
+SLOTS = 1 << 18
+
+
+def slots(ids: DataFrame) -> DataFrame:
+    """The hash slots that hold any of the ids (column ``doc_id``); a table of at most ``SLOTS`` rows."""
+    return ids.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS)).cast("int").alias("__slot")).distinct()
+
+
+def in_slots(docs: DataFrame, found: DataFrame, outside: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose id may be among those of ``found``, or those whose id surely is not.
+
+    This only saves shuffling: a join on the id has to follow inside. With few
+    ids most rows need not move; with very many, all slots are taken and all
+    rows move.
+    """
+    slotted = docs.withColumn("__slot", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS)).cast("int"))
+    return slotted.join(F.broadcast(found), "__slot", "left_anti" if outside else "left_semi").drop("__slot")
