@@ -93,7 +93,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.known = _Known(max(vocabulary.values()) + 1)
+        self.known = Known(max(vocabulary.values()) + 1)
         # a byte-level vocabulary spells each byte as one character
         self.token_bytes = np.zeros(max(vocabulary.values()) + 2, dtype=np.int64)
         for token, i in vocabulary.items():
@@ -138,9 +138,7 @@ class Encoder:
             offset, count = self.known.find(distinct)
         counts = count[inverse]
         after = np.cumsum(counts)
-        at = np.repeat(offset[inverse] - (after - counts), counts)
-        at += np.arange(len(at))
-        ids = self.known.ids[at].astype("<u4")
+        ids = self.known.gather(offset[inverse], counts)
         # ids before each text: those of the pieces that start before it
         cuts = np.concatenate(([0], after))[np.searchsorted(starts, bounds)]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
@@ -178,36 +176,47 @@ class Encoder:
         return np.frombuffer(ids, dtype=np.uint32)[at], sizes
 
 
-class _Known:
-    """Ids of pieces by the pieces' hashes: sorted arrays, about 30 bytes a piece."""
+class Known:
+    """Ids of pieces by the pieces' hashes, with more values for each: sorted arrays, about 30 bytes a piece."""
 
-    def __init__(self, vocabulary: int):
-        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+    def __init__(self, vocabulary: int, more: int = 0):
+        self.kind, self.more = np.uint16 if vocabulary <= 1 << 16 else np.uint32, more
         self.clear()
 
     def clear(self) -> None:
         self.ids = np.empty(0, dtype=self.kind)
-        self.main = self.fresh = (np.empty(0, dtype=U64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32))
+        self.main = self.fresh = self._empty()
+
+    def _empty(self) -> tuple[np.ndarray, ...]:
+        return (np.empty(0, dtype=U64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), *[np.empty(0) for _ in range(self.more)])
 
     def size(self) -> int:
         return len(self.main[0]) + len(self.fresh[0])
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the ids of each hash start, and how many there are; -1 for an unknown one."""
-        offset, count = np.zeros(len(hashes), dtype=np.int64), np.full(len(hashes), -1, dtype=np.int64)
-        for keys, starts, sizes in (self.main, self.fresh):
+    def find(self, hashes: np.ndarray) -> list[np.ndarray]:
+        """For each hash where its ids start, how many there are (-1: unknown), and its other values."""
+        out = [np.zeros(len(hashes), dtype=np.int64), np.full(len(hashes), -1, dtype=np.int64), *[np.zeros(len(hashes)) for _ in range(self.more)]]
+        for keys, *values in (self.main, self.fresh):
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
                 hit = keys[at] == hashes
-                offset[hit], count[hit] = starts[at[hit]], sizes[at[hit]]
-        return offset, count
+                for x, v in zip(out, values, strict=True):
+                    x[hit] = v[at[hit]]
+        return out
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, *more: np.ndarray) -> None:
         starts = np.cumsum(sizes) - sizes + len(self.ids)
         self.ids = np.concatenate((self.ids, ids.astype(self.kind)))
-        self.fresh = _merged(self.fresh, (hashes, starts, sizes.astype(np.int32)))
+        self.fresh = _merged(self.fresh, (hashes, starts, sizes.astype(np.int32), *more))
         if len(self.fresh[0]) > _FRESH:
-            self.main, self.fresh = _merged(self.main, self.fresh), (np.empty(0, dtype=U64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32))
+            self.main, self.fresh = _merged(self.main, self.fresh), self._empty()
+
+    def gather(self, offset: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The ids of pieces one after the other."""
+        after = np.cumsum(counts)
+        at = np.repeat(offset - (after - counts), counts)
+        at += np.arange(len(at))
+        return self.ids[at].astype("<u4")
 
 
 def _merged(a: tuple, b: tuple) -> tuple:

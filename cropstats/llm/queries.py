@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropstats.llm import exact_dedup, hnsw, html_text, jaccard, packing, quality, scratch, suffix_dedup, token_files
+from cropstats.llm import exact_dedup, hnsw, html_text, jaccard, nbest, packing, passages, quality, scratch, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -49,6 +53,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), byte_bpe())
 
 
+def piece_bpe() -> str:
+    """Path of the public SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.segmentations(table(spark, sf_dir, "documents"), piece_bpe())
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
@@ -60,10 +75,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw_neighbours": op1_hnsw_neighbours,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_token_ids_orc": op5_token_ids_orc,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_nbest_segmentation": op8_nbest_segmentation,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
 }
