@@ -39,7 +39,7 @@ from cropstats.llm.hashing import BYTE_VALUES, U64, prefix, spans
 PERIOD, COVER = 13, (0, 1, 3, 9)
 _BLOCK = 1 << 20
 #: Bytes of surroundings sorted at a time.
-BUCKET = 1 << 20
+BUCKET = 4 << 20
 
 
 def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
@@ -178,75 +178,116 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return batches.mapped(docs.select("doc_id", "text"), find, "key long, doc_id long")
 
 
-_AROUND = "key long, around binary, doc_id long, first long, low long, high long"
+_AROUND = "key long, mark long, doc_id long, first long, high long, around binary"
+
+
+def _pick(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of several stretches, one after the other."""
+    stops = np.cumsum(sizes)
+    at = np.repeat(starts - (stops - sizes), sizes)
+    at += np.arange(len(at))
+    return flat[at]
+
+
+def _binary(flat: np.ndarray, sizes: np.ndarray, valid: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    mask = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [mask, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat.tobytes())])
 
 
 def _surroundings(joined: DataFrame, length: int, gram: int) -> DataFrame:
     """The surroundings of shared anchors, one row each; without bytes where a smaller id of the same batch settles it."""
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches.pieces(parts, "text"):
-            least: dict[tuple[int, bytes], int] = {}
-            rows = []
-            for doc_id, text, shared in zip(part.column(0).to_pylist(), batches.utf8(part, "text"), part.column(2), strict=True):
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            texts = batches.utf8(part, "text")
+            whole = np.frombuffer(b"".join(texts), dtype=np.uint8)
+            before = 0
+            for doc_id, text, shared in zip(part.column(0).to_pylist(), texts, part.column(2), strict=True):
                 place, key = anchors(text, length, gram)
                 keep = np.isin(key.view(np.int64), shared.values.to_numpy(zero_copy_only=False))
-                for p, k in zip(place[keep].tolist(), key[keep].view(np.int64).tolist(), strict=True):
-                    begin = max(p + gram - length, 0)
-                    around = text[begin:p + length]
-                    rows.append((k, around, doc_id, begin, 0, min(p - begin, len(around) - length)))
-                    if least.get((k, around), doc_id) >= doc_id:
-                        least[k, around] = doc_id
-            if rows:
-                rows = [(k, around if least[k, around] == doc_id else None, doc_id, begin, low, high) for k, around, doc_id, begin, low, high in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "around", "doc_id", "first", "low", "high"])
+                place, key = place[keep], key[keep]
+                begin, end = np.maximum(place + gram - length, 0), np.minimum(place + length, len(text))
+                mark = np.empty(len(place), dtype=U64)
+                for at in range(0, len(text) if len(place) else 0, _BLOCK):
+                    some = slice(*np.searchsorted(begin, (at, at + _BLOCK)))
+                    block = np.frombuffer(text, dtype=np.uint8)[at:at + _BLOCK + 2 * length]
+                    mark[some] = spans(prefix(BYTE_VALUES[block]), begin[some] - at, end[some] - at)
+                for c, v in zip(columns, (key.view(np.int64), mark.view(np.int64), np.full(len(key), doc_id, dtype=np.int64), begin, np.minimum(place - begin, end - begin - length), np.stack((begin + before, end - begin))), strict=True):
+                    c.append(v)
+                before += len(text)
+            key, mark, ids, first, high = (np.concatenate(c) for c in columns[:5])
+            starts, sizes = np.concatenate(columns[5], axis=1)
+            if not len(key):
+                continue
+            order = np.lexsort((ids, mark, key))
+            new = np.ones(len(order), dtype=bool)
+            new[1:] = (key[order[1:]] != key[order[:-1]]) | (mark[order[1:]] != mark[order[:-1]])
+            least = np.empty(len(order), dtype=np.int64)
+            least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            valid = ids == least
+            sizes = np.where(valid, sizes, 0)
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in (key, mark, ids, first, high)], _binary(_pick(whole, starts, sizes), sizes, valid)], names=["key", "mark", "doc_id", "first", "high", "around"])
 
     return batches.mapped(joined, cut, _AROUND)
 
 
 def _settle(rows: DataFrame, length: int) -> DataFrame:
-    """Runs of window starts to remove, from surroundings that come with all rows of an anchor together."""
+    """Runs of window starts to remove, from surroundings sorted by anchor, mark of the surroundings, and id."""
 
     def settle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for part in parts:
-            for row in zip(*[part.column(k).to_pylist() for k in range(6)], strict=True):
-                if size >= BUCKET and held[-1][0] != row[0]:
-                    yield _bucket(held, length)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[1])
+            held.append(part)
+            size += part.nbytes
+            if size >= BUCKET:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                key = whole.column("key").to_numpy()
+                change = np.flatnonzero(key[1:] != key[:-1])
+                if len(change):
+                    stop = int(change[-1]) + 1
+                    yield _bucket(whole.slice(0, stop), length)
+                    whole = whole.slice(stop)
+                held, size = whole.to_batches(), whole.nbytes
         if held:
-            yield _bucket(held, length)
+            yield _bucket(pa.Table.from_batches(held), length)
 
     return batches.mapped(rows, settle, "doc_id long, low long, high long")
 
 
-def _bucket(rows: list[tuple], length: int) -> pa.RecordBatch:
-    out: list[tuple[int, int, int]] = []
-    least: dict[tuple[int, bytes], int] = {}
-    for key, around, doc_id, _, _, _ in rows:
-        least[key, around] = min(doc_id, least.get((key, around), doc_id))
-    variants: dict[int, int] = {}
-    for key, _ in least:
-        variants[key] = variants.get(key, 0) + 1
-    sorted_: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-    back: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-    for key, around, doc_id, first, low, high in rows:
-        if doc_id > least[key, around]:
-            out.append((doc_id, first + low, first + high))
-        elif variants[key] > 1:
-            sorted_[key, around] = (doc_id, low, high)
-            back.setdefault((key, around), []).append((doc_id, first))
-    if sorted_:
-        names = list(sorted_)
-        owners, low, high = (np.array(x, dtype=np.int64) for x in zip(*sorted_.values(), strict=True))
-        for i, a, b in repeats([n[1] for n in names], owners, low, high, length):
-            out += [(doc_id, first + a, first + b) for doc_id, first in back[names[i]]]
-    columns = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["doc_id", "low", "high"])
+def _bucket(rows: pa.Table, length: int) -> pa.RecordBatch:
+    key, mark, ids, first, high = (rows.column(k).to_numpy() for k in range(5))
+    new_key = np.ones(len(key), dtype=bool)
+    new_key[1:] = key[1:] != key[:-1]
+    new = new_key.copy()
+    new[1:] |= mark[1:] != mark[:-1]
+    group = np.cumsum(new) - 1
+    lead = np.flatnonzero(new)  # rows come in the order of ids
+    later = ids > ids[lead][group]
+    out = [np.stack((ids[later], first[later], first[later] + high[later]))]
+    per_key = np.bincount(np.cumsum(new_key) - 1, weights=new).astype(np.int64)
+    open_ = np.flatnonzero(per_key[np.cumsum(new_key)[lead] - 1] > 1)  # groups of keys with several surroundings
+    if len(open_):
+        chosen = lead[open_]
+        around = pa.concat_arrays(rows.column(5).chunks).take(pa.array(chosen))
+        runs = repeats([x.as_buffer().to_pybytes() for x in around], ids[chosen], np.zeros(len(chosen), dtype=np.int64), high[chosen], length)
+        if runs:
+            # the runs hold wherever the first document has these surroundings
+            number, low, top = np.array(runs, dtype=np.int64).T
+            place = np.full(int(group[-1]) + 1, -1, dtype=np.int64)
+            place[open_] = np.arange(len(open_))
+            own = np.flatnonzero(~later & (place[group] >= 0))
+            mine = place[group[own]]
+            begin, end = np.searchsorted(number, mine), np.searchsorted(number, mine, side="right")
+            times = end - begin
+            row = np.repeat(own, times)
+            stops = np.cumsum(times)
+            run = np.arange(int(times.sum())) - np.repeat(stops - times - begin, times)
+            out.append(np.stack((ids[row], first[row] + low[run], first[row] + top[run])))
+    found = np.concatenate(out, axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["doc_id", "low", "high"])
 
 
 def removals(docs: DataFrame, length: int = 50, gram: int = 18) -> DataFrame:
@@ -258,8 +299,8 @@ def removals(docs: DataFrame, length: int = 50, gram: int = 18) -> DataFrame:
     by_doc = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     around = scratch.stored(_surroundings(rows.join(by_doc, "doc_id").select("doc_id", "text", "keys"), length, gram), "surroundings")
     open_ = around.where("around IS NOT NULL")
-    dealt = open_.repartition(scratch.partitions(docs), "key").sortWithinPartitions("key")
-    settled = around.where("around IS NULL").select("doc_id", (F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))
+    dealt = open_.repartition(scratch.partitions(docs), "key").sortWithinPartitions("key", "mark", "doc_id")
+    settled = around.where("around IS NULL").select("doc_id", F.col("first").alias("low"), (F.col("first") + F.col("high")).alias("high"))
     return scratch.stored(_settle(dealt, length).unionByName(settled), "removals")
 
 
