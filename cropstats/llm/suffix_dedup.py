@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from cropstats.llm import batches, scratch
 from cropstats.llm.hashing import BYTE_VALUES, U64, prefix, spans
 
-#: Period and residues of a perfect difference cover: every difference modulo 13 is one of two residues.
-PERIOD, COVER = 13, (0, 1, 3, 9)
+#: Period and residues of a perfect difference cover: every difference modulo 7 is one of two residues.
+PERIOD, COVER = 7, (0, 1, 3)
 _BLOCK = 1 << 20
 #: Bytes of surroundings sorted at a time.
 BUCKET = 4 << 20
