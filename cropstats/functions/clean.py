@@ -64,11 +64,13 @@ def strip_and_cast(c: ColumnOrName, pattern: str, to: str = "int") -> Column:
 
     ``'004`` with pattern ``[']`` gives 4; ``< 10,000`` with ``[<, ]`` gives
     10000. Text that is still not a number becomes NULL instead of failing.
-    Integral targets go through ``double`` first so ``12.0`` is 12 (K6).
+    Integral targets go through an exact decimal first, so ``12.0`` is 12 (K6)
+    and no digit of a ``bigint`` is lost; text beyond it goes through ``double``.
     """
     stripped = F.regexp_replace(_col(c).cast("string"), pattern, "")
     if to in ("int", "bigint", "smallint", "tinyint", "long", "integer", "short"):
-        return stripped.try_cast("double").try_cast(to)
+        return F.coalesce(stripped.try_cast("decimal(38,10)").try_cast(to),
+                          stripped.try_cast("double").try_cast(to))
     return stripped.try_cast(to)
 
 

@@ -78,6 +78,8 @@ def build_features(crop_yield: DataFrame, country_codes: DataFrame, temperature:
         Dim(temperature, {"ISO3": "ISO3", "Year": "Year"}, ["Temperature"]),
     ]
     v2 = corruption is not None
+    if v2 and (gdp is None or population is None):
+        raise ValueError("the second version needs corruption, gdp and population together")
     if v2:
         dims += [
             Dim(corruption, {"ISO3": "ISO", "Year": "Year"}, ["CPI"]),
@@ -90,7 +92,7 @@ def build_features(crop_yield: DataFrame, country_codes: DataFrame, temperature:
     if v2:
         joined = joined.withColumnRenamed("CPI", "CorruptionIndex")
         cols += ["CorruptionIndex", "GDP", "UrbanPopulation", "RuralPopulation"]
-    return finish_features(joined.select(*cols), null_yield=null_yield,
+    return finish_features(joined.select(*cols), null_yield=null_yield, yield_type="bigint",
                            round_cols=("Temperature", "GDP") if v2 else ("Temperature",),
                            not_null=("CorruptionIndex",) if v2 else ())
 

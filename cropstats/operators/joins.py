@@ -35,20 +35,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
 
 
-def filter_to_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str,
-                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Keep rows of ``df`` whose ``key`` is in ``keys`` — only when that is cheap.
-
-    With a key list of proven small size this is a broadcast left-semi join:
-    a map-side filter before any shuffle. A larger key list would need a
-    shuffle of every row of ``df`` just to filter it; then ``df`` is returned
-    unchanged and the caller's later inner join on the (aggregated, much
-    smaller) result does the filtering instead.
+def filter_to_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFrame:
+    """Keep the rows of ``df`` whose ``key`` is in ``keys``, whatever their number.
+
+    A left-semi join: Spark broadcasts the key list when its size in bytes
+    allows that, and shuffles both sides otherwise. The rows are the same.
     """
-    if not fits_broadcast(keys, max_rows):
-        return df
-    small = F.broadcast(keys.select(F.col(keys_col).alias("__fk")).distinct())
-    return df.join(small, F.col(key) == F.col("__fk"), "left_semi")
+    listed = keys.select(F.col(keys_col).alias("__fk")).distinct()
+    return df.join(listed, F.col(key) == F.col("__fk"), "left_semi")
 
 
 @dataclass

@@ -50,26 +50,26 @@ def money(c: str):
 def yearly_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long facts (c_nationkey, c_mktsegment, yr, v, f, n): the crop-yield analogue.
 
-    v = order total, f = highest status code (flag), n = highest priority
-    level as text (note). Every aggregate buffer is fixed-width (decimal sum,
-    max of ints), so the plan is a partial + final *hash* aggregate; ``max`` of
-    a string would force a sort-based aggregate that sorts every joined order
-    on the map side. ``chr(max(ascii(s)))`` equals ``max(s)`` for one-letter
-    codes. The per-year aggregate runs before anything is joined to nation.
+    v = order total, f = highest status (flag), n = highest priority (note),
+    both as whole strings. The first aggregate keeps status and priority as
+    keys, so it is a hash aggregate with fixed-width buffers; ``max`` of a
+    string, which sorts, only sees its few rows per group. The per-year
+    aggregate runs before anything is joined to nation.
     """
     orders = load(spark, sf_dir, "orders").select(
         "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority",
         F.year("o_orderdate").alias("yr"))
     customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     def count_if(cond):
-        return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
+        return F.sum(F.when(cond, F.col("orders")).otherwise(F.lit(0)))
 
     return (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+                  .groupBy("c_nationkey", "c_mktsegment", "yr", "o_orderstatus", "o_orderpriority")
+                  .agg(F.sum(cents("o_totalprice")).alias("cents"), F.count("*").alias("orders"))
                   .groupBy("c_nationkey", "c_mktsegment", "yr")
-                  .agg(money("o_totalprice").alias("v"),
-                       F.chr(F.max(F.ascii("o_orderstatus"))).alias("f"),
-                       F.max(F.substring("o_orderpriority", 1, 1).try_cast("int"))
-                        .cast("string").alias("n"),
+                  .agg((F.sum("cents").cast("double") / F.lit(100.0)).alias("v"),
+                       F.max("o_orderstatus").alias("f"),
+                       F.max("o_orderpriority").alias("n"),
                        # per-(nation, year) attributes are summed from these
                        count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
                        count_if(F.col("o_orderstatus") == "F").alias("finished"),
@@ -166,7 +166,11 @@ def landed_path(spark: SparkSession, name: str, source: str) -> tuple[str, bool]
     them. Completeness is a marker written after the last file.
     """
     base = checkpoint_dir(spark)
-    digest = hashlib.sha1(f"{name}|{source}".encode()).hexdigest()[:16]
+    # files and their times are part of the name, so a refreshed source lands anew
+    state = [f"{r[0]}|{r[1]}|{r[2]}" for r in
+             spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
+             .select("path", "modificationTime", "length").orderBy("path").collect()]
+    digest = hashlib.sha1("\n".join([name, source, *state]).encode()).hexdigest()[:16]
     path = f"{base.rstrip('/')}/landed/{name}-{digest}"
     marker = f"{path}/_landed_marker"
     local = marker[len("file:"):] if marker.startswith("file:") else marker

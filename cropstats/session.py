@@ -75,13 +75,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and is visible to every
-    executor. Only when it is unset (local runs, tests) do we create one.
+    executor. Only in local mode (tests) do we create one when it is unset;
+    elsewhere a folder of this machine would be lost on the others.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="cropstats-ckpt-")
     sc.setCheckpointDir(configured)

@@ -15,10 +15,6 @@ from pyspark.sql import types as T
 
 from cropstats import schemas
 
-# Upper bound on the number of files a layout-grouped read will handle; the
-# header rows (one per file) are brought to the driver, so this bounds them.
-MAX_YEARLY_FILES = 100_000
-
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str],
                    schema: T.StructType | str | None = None, header: bool = True,
@@ -46,8 +42,7 @@ def _file_path() -> F.Column:
 
 def read_yearly_files(spark: SparkSession, path: str | Sequence[str],
                       columns: Mapping[str, str], year_regex: str,
-                      year_col: str = "Year", sep: str = ",",
-                      max_files: int = MAX_YEARLY_FILES) -> DataFrame:
+                      year_col: str = "Year", sep: str = ",") -> DataFrame:
     """One delimited file per year, the year taken from the file path (SRC-2, SET-1).
 
     ``columns`` maps wanted column name → type. Files may order their
@@ -61,8 +56,6 @@ def read_yearly_files(spark: SparkSession, path: str | Sequence[str],
     paths = [path] if isinstance(path, str) else list(path)
     lines = spark.read.option("recursiveFileLookup", True).text(paths)
     n_files = len(lines.inputFiles())
-    if n_files > max_files:
-        raise ValueError(f"{n_files} files exceed the bound of {max_files}")
     mentions = F.lit(True)
     for name in columns:
         mentions = mentions & F.col("value").contains(name)
@@ -142,7 +135,7 @@ def read_stations(spark: SparkSession, path: str,
 
 
 def read_sheet_export(spark: SparkSession, path: str, columns: Mapping[str, str],
-                      key_col: str, key_regex: str, max_columns: int = 256) -> DataFrame:
+                      key_col: str, key_regex: str) -> DataFrame:
     """A sheet saved as delimited text whose header sits below a preamble (SRC-5).
 
     Stands in for ``read_excel(sheet, header=n)``: the file is read as text
@@ -152,14 +145,17 @@ def read_sheet_export(spark: SparkSession, path: str, columns: Mapping[str, str]
     ``^[A-Z]{3}$`` for ISO3), which drops preamble, header and footer rows.
     Cells are cast with ``try_cast``, so an empty or non-numeric score is NULL.
     """
-    raw_schema = T.StructType([T.StructField(f"_c{i}", T.StringType())
-                               for i in range(max_columns)])
-    raw = spark.read.schema(raw_schema).option("header", False).csv(path)
-    cells = F.array(*[F.col(f"_c{i}") for i in range(max_columns)])
-    found = raw.where(F.array_contains(cells, key_col)).limit(1).collect()
+    # the header's own width decides how many columns are read; lines that mention
+    # the key column outside a header cell are passed over
+    lines = spark.read.text(path).where(F.col("value").contains(key_col))
+    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    found = lines.where(F.array_contains(cells, key_col)).limit(1).collect()
     if not found:
         raise ValueError(f"no header row naming {key_col!r} in {path}")
-    header = list(found[0])
+    header = next(csv.reader([found[0]["value"]]))
+    raw_schema = T.StructType([T.StructField(f"_c{i}", T.StringType())
+                               for i in range(len(header))])
+    raw = spark.read.schema(raw_schema).option("header", False).csv(path)
     pos = {}
     for i, name in enumerate(header):
         if name is not None and name not in pos:
