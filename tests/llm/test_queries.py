@@ -1,0 +1,127 @@
+"""The operators on small frames with nulls, empty texts, ties, repeated rows and clashing column names."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import pytest
+import public_tokenizers
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cropstats.llm import exact_dedup, hnsw, html_text, jaccard, nbest, packing, passages, queries, quality, scratch, suffix_dedup, token_files
+
+WORDS = [f"word{i}" for i in range(300)]
+LONG = " ".join(WORDS)
+PASSAGE = " ".join(f"p{i}" for i in range(70))
+SCHEMA = "doc_id long, text string, kept string, key int, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    texts = [(0, LONG), (1, LONG + " "), (2, None), (3, ""), (4, " \n"), (5, LONG.replace("word7 ", "other ")), (6, "short text"), (7, " ".join(WORDS[100:180]) + " " + PASSAGE),
+             (8, "x y z " + PASSAGE + " tail"), (8, "x y z " + PASSAGE + " tail"), (None, LONG), (9, "y" * 3000)]
+    return spark.createDataFrame([(i, t, "k", 1, 5) for i, t in texts], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_exact_dedup(docs, none):
+    got = {(r.doc_id, r.kept): r for r in exact_dedup.groups(docs).collect()}
+    assert got[1, True].keep_id == 1 and got[0, False].group_size == 3  # the longer original stays; the row without id is the third
+    assert got[4, True].group_size == 3 and got[4, True].keep_id == 4 and got[2, False].keep_id == 4
+    assert sum(r.kept for r in exact_dedup.groups(docs).where("doc_id = 8").collect()) == 1
+    assert got[6, True].text_sha256 == hashlib.sha256(b"shorttext").hexdigest()
+    stays = exact_dedup.deduplicated(docs)
+    assert stays.columns == docs.columns and sorted(r.doc_id for r in stays.collect()) == [1, 4, 5, 6, 7, 8, 9]
+    assert rows(exact_dedup.groups(none)) == [] and rows(exact_dedup.deduplicated(none)) == []
+
+
+def test_ngram_join(docs, none):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(docs, 4, 85, 100).collect()}
+    assert got[0] == (297, 0) and got[1] == (297, 0) and got[5][1] == 0
+    assert got[2] == (0, 2) and got[3] == (0, 3) and got[6] == (1, 6) and got[None][1] is None
+    assert jaccard.groups(docs, 4, 85, 100).count() == docs.count()
+    assert {r.doc_id for r in jaccard.deduplicated(docs).collect()} == {0, 2, 3, 4, 6, 7, 8, 9, None}
+    assert rows(jaccard.groups(none)) == []
+
+
+def test_passages(docs, none):
+    got = {r.doc_id: r for r in passages.deduplicated(docs).collect()}
+    assert got[8].text.split() == ["x", "y", "z", "tail"] and got[8].n_chars == len(got[8].text) and "p0" in got[7].text
+    assert got[0].text == LONG and got[1].text.strip() == "" and got[None].text == LONG and got[9].text == "y" * 3000
+    assert passages.deduplicated(docs).columns == docs.columns and rows(passages.digests(none)) == []
+
+
+def test_suffix_dedup(docs, none):
+    seen: dict[str, int] = {}
+    given = {r.doc_id: r.text or "" for r in docs.where("doc_id IS NOT NULL").collect()}
+    got = {r.doc_id: r for r in suffix_dedup.digests(docs).collect()}
+    for i, t in sorted(given.items()):
+        gone = set()
+        for p in range(len(t) - 49):
+            if seen.setdefault(t[p:p + 50], i) < i:
+                gone |= set(range(p, p + 50))
+        kept = "".join(c for k, c in enumerate(t) if k not in gone)
+        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(t), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    assert got[None].n_removed == 0 and rows(suffix_dedup.digests(none)) == []
+
+
+def test_token_files_and_packing(spark, docs, none):
+    path = scratch.fresh_path(spark, "test-ids")
+    token_files.write(docs, path, queries.byte_bpe())
+    got = token_files.digests(token_files.read(spark, path)).orderBy("start").collect()
+    assert len(got) == docs.count() and [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+    assert [r.doc_id for r in got] == sorted((r.doc_id for r in got), key=lambda i: -1 if i is None else i)
+    placed = packing.pack(docs, queries.byte_bpe(), capacity=256).collect()
+    assert sum(r.length for r in placed) == sum(r.n_tokens for r in got)
+    for s in {r.sequence_id for r in placed}:
+        inside = sorted((r.offset, r.length) for r in placed if r.sequence_id == s)
+        assert [o for o, _ in inside] == [sum(n for _, n in inside[:k]) for k in range(len(inside))] and sum(n for _, n in inside) <= 256
+    assert rows(packing.pack(none, queries.byte_bpe())) == []
+
+
+def test_quality_scores_every_row(spark, docs, none):
+    labels = spark.createDataFrame([(0, 1), (6, 1), (9, 0), (9, 0), (3, None), (None, 1), (7, 1), (8, 0), (5, 1)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    got = quality.scored(docs, model, docs.columns).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
+    assert rows(quality.scored(none, quality.train(none, labels), ["doc_id"])) == []
+
+
+def test_neighbours(spark):
+    vectors = [(i, [float(i % 7), 1.0, float(i)]) for i in range(40)] + [(40, None), (41, [0.0] * 3), (42, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
+    vectors += [(i, [9.0, 9.0, 9.0]) for i in range(50, 80)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("vector", F.lit(1))
+    got = hnsw.nearest(frame, F.col("vec_id") % 10 == 0, k=5).collect()
+    usable = [(i, v) for i, v in vectors if i is not None and v and any(v) and v[0] == v[0]]
+    for q, v in [x for x in usable if x[0] % 10 == 0]:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q)[:5]
+        assert [(r.vec_id, -r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(i, s) for s, i in best]
+
+
+def test_segmentations_and_pages(spark, docs, none):
+    found = nbest.segmentations(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert all(r.decodes for r in found) and [r.n_tokens for r in found if r.doc_id == 2] == [0]
+    assert rows(nbest.segmentations(none, public_tokenizers.path("piece_bpe_32k.model"))) == []
+    pages = spark.createDataFrame([(1, None, None, "x"), (1, "u", "<p>One, two.</p>", "x")], "page_id long, url string, html string, text string")
+    assert sorted((r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [("", 0), ("One, two.", 9)]
+
+
+def test_pipeline_stages_on_small_tables(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    stage = docs
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        stage = scratch.stored(function(spark, stage, "/root/testdata/sf0.001"), name)
+        assert stage.columns == docs.columns
+    given = {r.doc_id: r.text for r in docs.collect()}
+    normal = [re.sub("[\x20\x09-\x0d]", "", given[r.doc_id]) for r in stage.collect()]
+    assert 0 < len(normal) < len(given) and len(set(normal)) == len(normal)
