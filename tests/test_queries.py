@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cropstats.plans.queries import ORACLE, QUERIES
 from tests.conftest import SF_SMALL
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
@@ -39,18 +40,19 @@ def con():
 
 
 def test_every_query_has_an_oracle_or_is_marked():
-    q, o = entry.queries(), entry.oracle_sql()
+    q, o = QUERIES, ORACLE
+    assert set(q) <= set(entry.queries()) and set(o) <= set(entry.oracle_sql())
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"q22b_recipe_m1", "q19b_pca_features_v2", "q22d_recipe_m2",
                                "q22e_recipe_m3"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables missing")
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
-    rel = con.execute(entry.oracle_sql()[name])
+    rel = con.execute(ORACLE[name])
     cols = [d[0] for d in rel.description]
     want = _rows(cols, rel.fetchall())
     assert sorted(df.columns) == sorted(cols)
