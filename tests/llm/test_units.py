@@ -70,11 +70,17 @@ def test_equal_windows_have_equal_anchors():
 
 
 def test_compact_windows_cover_every_subsequence_once():
-    values = np.array([5, 3, 8, 3, 9, 1, 7, 2], dtype=np.uint64)
-    windows = passages.compact_windows(values, 1)
-    for i, j in itertools.combinations_with_replacement(range(len(values)), 2):
-        inside = [(low, at, high) for low, at, high in windows if low <= i <= at <= j <= high]
-        assert len(inside) == 1 and inside[0][1] == i + int(values[i:j + 1].argmin())
+    rng = np.random.default_rng(3)
+    for size, least in ((8, 1), (40, 1), (40, 4), (40, 7), (7, 7), (6, 7)):
+        values = rng.integers(0, 30, 2 * size).astype(np.uint64) << np.uint64(32)
+        low, high = np.array([0, size]), np.array([size, 2 * size])
+        windows = list(zip(*passages.compact_windows(values, low, high, least), strict=True))
+        for start, stop in zip(low, high, strict=True):
+            for i, j in itertools.combinations_with_replacement(range(start, stop), 2):
+                inside = [at for low_, at, high_ in windows if low_ <= i <= at <= j <= high_]
+                if j - i + 1 >= least:
+                    assert inside == [i + int(values[i:j + 1].argmin())]
+        assert all(high_ - low_ + 1 >= least and (low_ < size) == (high_ < size) for low_, _, high_ in windows)
 
 
 def test_passages_are_found_and_clean_text_is_left():
