@@ -74,21 +74,41 @@ def word_spans(data: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(data: bytes, table: np.ndarray = BYTE_VALUES) -> np.ndarray:
-    """64-bit hash of every word of ``data``; works through long texts in blocks cut at white space."""
-    if len(data) <= _STEP:
-        start, end = word_spans(data)
-        return spans(prefix(table[np.frombuffer(data, dtype=np.uint8)]), start, end)
-    parts, at = [], 0
+def hashed_words(data: bytes, table: np.ndarray = BYTE_VALUES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and start byte of every word of ``data``; works through long texts in blocks cut at white space."""
+    parts, at = [(np.empty(0, dtype=U64), np.empty(0, dtype=np.int64))], 0
     while at < len(data):
         stop = min(at + _STEP, len(data))
         while stop < len(data) and not SPACE[data[stop]]:
             stop += 1
         block = data[at:stop]
         start, end = word_spans(block)
-        parts.append(spans(prefix(table[np.frombuffer(block, dtype=np.uint8)]), start, end))
+        parts.append((spans(prefix(table[np.frombuffer(block, dtype=np.uint8)]), start, end), start + at))
         at = stop
-    return np.concatenate(parts)
+    if len(parts) == 2:
+        return parts[1]
+    hashes, starts = zip(*parts, strict=True)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def word_hashes(data: bytes, table: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """64-bit hash of every word of ``data``."""
+    return hashed_words(data, table)[0]
+
+
+def shingles_of_all(texts: list[bytes], n: int, short_whole: bool) -> list[np.ndarray]:
+    """:func:`shingle_hashes` of every text with A-Z lower-cased, computed for all texts at once."""
+    if not texts:
+        return []
+    words, at = hashed_words(b"\n".join(texts).lower())
+    sizes = np.array([len(x) + 1 for x in texts], dtype=np.int64)
+    edges = np.concatenate(([0], np.searchsorted(at, np.cumsum(sizes)))).tolist()
+    every = shingle_hashes(words, n, short_whole=False)  # some reach over the end of a text; these are left out
+    out = []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        whole = high - low >= n or not short_whole
+        out.append(every[low:max(high - n + 1, low)] if whole else shingle_hashes(words[low:high], n, short_whole))
+    return out
 
 
 def shingle_hashes(words: np.ndarray, n: int, short_whole: bool) -> np.ndarray:

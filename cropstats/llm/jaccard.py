@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from cropstats.llm import batches, scratch
 from cropstats.llm.components import components
-from cropstats.llm.hashing import U64, mix, shingle_hashes, word_hashes
+from cropstats.llm.hashing import U64, mix, shingle_hashes, shingles_of_all, word_hashes
 
 _PART, _FULL, _TAG = U64(0x8CB92BA72F3D8DD7), U64(0x2545F4914F6CDD1D), U64(0xD1B54A32D192ED03)
 
@@ -44,6 +44,11 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(word_hashes(text.lower()), words, short_whole=True))
 
 
+def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
+    """:func:`shingle_set` of every text."""
+    return [np.unique(s) for s in shingles_of_all(texts, words, short_whole=True)]
+
+
 @cache
 def band_end(start: int, num: int, den: int) -> int:
     return start * den // num
@@ -103,8 +108,7 @@ def _signed(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     def measure(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches.pieces(parts, "text"):
             sizes, marks = [], []
-            for text in batches.utf8(part, "text"):
-                s = shingle_set(text, words)
+            for s in shingle_sets(batches.utf8(part, "text"), words):
                 sizes.append(len(s))
                 with np.errstate(over="ignore"):
                     marks.append((int(np.sum(mix(s ^ _FULL), dtype=U64).astype(np.int64)), int(np.sum(mix(s + _TAG), dtype=U64).astype(np.int64))))
@@ -113,8 +117,7 @@ def _signed(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame,
     def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches.pieces(parts, "text"):
             keys, ids, seen = [], [], set()
-            for doc_id, text in zip(part.column(0).to_pylist(), batches.utf8(part, "text"), strict=True):
-                s = shingle_set(text, words)
+            for doc_id, s in zip(part.column(0).to_pylist(), shingle_sets(batches.utf8(part, "text"), words), strict=True):
                 if doc_id is None or (mark := s.tobytes()) in seen:
                     continue  # a class member signed already stands for this one
                 seen.add(mark)
@@ -139,7 +142,7 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
 
     def collect(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches.pieces(parts, "text"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, words).tobytes() for t in batches.utf8(part, "text")], type=pa.binary())], names=["cls", "members"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(batches.utf8(part, "text"), words)], type=pa.binary())], names=["cls", "members"])
 
     rows = scratch.in_slots(docs.select("doc_id", "text"), scratch.slots(needed.select(F.col("cls").alias("doc_id"))))
     rows = rows.select(F.col("doc_id").cast("long").alias("cls"), F.col("text").cast("string").alias("text")).join(needed, "cls", "left_semi")

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from cropstats.llm import bpe, hnsw, html_text, jaccard, nbest, packing, passages, quality, suffix_dedup
+from cropstats.llm import bpe, hashing, hnsw, html_text, jaccard, nbest, packing, passages, quality, suffix_dedup
 from cropstats.llm.hashing import shingle_hashes, word_hashes
 
 
@@ -69,6 +69,14 @@ def test_equal_windows_have_equal_anchors():
     assert len(suffix_dedup.anchors(b"short", 50, 18)[0]) == 0
 
 
+def test_shingles_of_all_texts_are_those_of_each():
+    texts = [b"", b"One two three", b"a b c d e f g", b"   ", b"x", b"A B\tc\nd e", b"long " * 300_000]
+    for short in (True, False):
+        got = hashing.shingles_of_all(texts, 4, short)
+        for text, s in zip(texts, got, strict=True):
+            assert s.tolist() == hashing.shingle_hashes(hashing.word_hashes(text.lower()), 4, short).tolist()
+
+
 def test_compact_windows_cover_every_subsequence_once():
     rng = np.random.default_rng(3)
     for size, least in ((8, 1), (40, 1), (40, 4), (40, 7), (7, 7), (6, 7)):
