@@ -103,6 +103,64 @@ def test_passages_are_found_and_clean_text_is_left():
     assert passages.matched_spans(passages.shingles(a, 5), passages.shingles(b"x y", 5), 46, 5, 0.8) == []
 
 
+def brute_spans(a: list[str], b: list[str], least: int, words: int, similarity: float) -> set[int]:
+    """Words of ``a`` in stretches that reach the similarity with some stretch of ``b``, the ends of both being matches; by trying all."""
+    x, y = ([tuple(t[k:k + words]) for k in range(len(t) - words + 1)] for t in (a, b))
+    in_x, in_y = set(x), set(y)
+    ends = [k for k, s in enumerate(x) if s in in_y]
+    marks = [k for k, s in enumerate(y) if s in in_x]
+    gone: set[int] = set()
+    for i, j in itertools.combinations(ends, 2):
+        mine = set(x[i:j + 1])
+        if j - i + 1 < least or gone >= set(range(i, j + words)):
+            continue
+        for k, m in itertools.combinations(marks, 2):
+            if similarity * (j - i + 1) <= m - k + 1 <= (j - i + 1) / similarity:
+                other = set(y[k:m + 1])
+                common = len(mine & other)
+                if {x[i], x[j]} <= other and {y[k], y[m]} <= mine and common >= similarity * (len(mine) + len(other) - common):
+                    gone |= set(range(i, j + words))
+                    break
+    return gone
+
+
+def test_changed_passages_are_found_as_by_brute_force():
+    rng = random.Random(11)
+    found_any = 0
+    for case in range(45):
+        size, changes = rng.randint(14, 34), case % 3 + 1
+        passage = [f"p{k}" for k in range(size)]
+        other = list(passage)
+        for c in range(changes):
+            at = rng.randrange(1, len(other) - 1)
+            kind = (case // 3 + c) % 3
+            other[at:at + (kind != 1)] = [] if kind == 2 else [f"n{case}.{c}"]
+        a = [f"a{k}" for k in range(rng.randint(0, 9))] + passage + [f"b{k}" for k in range(rng.randint(0, 9))]
+        b = [f"c{k}" for k in range(rng.randint(0, 9))] + other + [f"d{k}" for k in range(rng.randint(0, 9))]
+        for x, y in ((a, b), (b, a)):
+            spans = passages.matched_spans(*(passages.shingles(" ".join(t).encode(), 2) for t in (x, y)), 12, 2, 0.8)
+            got = {k for s, e in spans for k in range(s, e)}
+            assert got == brute_spans(x, y, 12, 2, 0.8)
+            found_any += bool(got)
+    assert 20 < found_any < 90
+
+
+@pytest.mark.parametrize("change", ["changed", "inserted", "deleted"])
+def test_one_change_in_the_middle_of_a_short_passage(change):
+    passage = [f"p{k}" for k in range(70)]
+    other = passage[:35] + {"changed": ["new"], "inserted": ["new", "p35"], "deleted": []}[change] + passage[36:]
+    a, b = (passages.shingles(" ".join(t).encode(), 5) for t in (["x"] * 9 + other + ["y"], ["z"] * 20 + passage))
+    assert passages.matched_spans(a, b, 46, 5, 0.8) == [(9, 9 + len(other))]
+
+
+def test_gaps_repeated_lines_and_stray_matches_do_not_part_a_passage():
+    passage = [f"p{k}" for k in range(300)]
+    line = passage[20:40]
+    a = passage[:150] + [f"n{k}" for k in range(20)] + passage[150:]
+    b = line + ["u"] + line + ["v"] + passage[100:110] + ["w"] + passage + line
+    assert passages.matched_spans(*(passages.shingles(" ".join(t).encode(), 5) for t in (a, b)), 46, 5, 0.8) == [(0, 320)]
+
+
 def brute_segmentations(lattice: nbest.Lattice, text: str, n: int) -> list[float]:
     text = nbest.normal(text)
 
