@@ -61,6 +61,29 @@ def test_passages(docs, none):
     assert passages.deduplicated(docs).columns == docs.columns and rows(passages.digests(none)) == []
 
 
+def removed(spark, texts: dict[int, str]) -> dict[int, int]:
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.n_removed for r in passages.digests(frame).collect()}
+
+
+def own(name: str, n: int) -> str:
+    return " ".join(f"{name}.{j}" for j in range(n))
+
+
+def test_exact_passages_behind_unlike_first_documents(spark):
+    passage = [f"p{j}" for j in range(100)]
+    # every context of the passage has first holders, none of which holds 50 words of it
+    texts = {i: f"{own(f'u{i}', 60)} {' '.join(passage[i % 7 * 10:i % 7 * 10 + 40])} {own(f'v{i}', 60)}" for i in range(21)}
+    texts |= {i: f"{own(f'u{i}', 60)} {' '.join(passage)} {own(f'v{i}', 60)}" for i in (50, 51)}
+    # W holds A and B, X holds A, B and C, Y holds B and C, which is a passage only with C
+    for k in range(8):
+        a, b, c = own(f"a{k}", 60), own(f"b{k}", 48), own(f"c{k}", 3)
+        texts |= {100 + k: f"{a} {b}", 200 + k: f"{a} {b} {c}", 300 + k: f"y y {b} {c} z z"}
+    got = removed(spark, texts)
+    assert got.pop(51) == 100 and [got.pop(300 + k) for k in range(8)] == [51] * 8
+    assert all(got.pop(200 + k) >= 108 for k in range(8)) and not any(got.values())
+
+
 def test_suffix_dedup(docs, none):
     seen: dict[str, int] = {}
     given = {r.doc_id: r.text or "" for r in docs.where("doc_id IS NOT NULL").collect()}
