@@ -7,7 +7,8 @@ id. For the rest, text length, punctuation and link text are summed per path;
 a path's ratio is its text per block, weighted by punctuation and lessened by
 links. Ratios are smoothed over neighbouring blocks, fused with the path's own,
 and paths above a threshold taken from their spread are content. Blocks under
-the nearest common element of the content blocks are the article.
+the nearest common element of the content blocks are the article; it widens to
+an ``article`` or ``main`` element that holds them all, which decides nothing else.
 
 Defined cases: null html counts as empty and gives an empty text; a page
 without article gives an empty text; broken or cut-off tags end where the page
@@ -179,16 +180,17 @@ def main_text(page: str) -> str:
     content = [b for b in found if b.path in chosen]
     if not content:
         return ""
-    common = content[0].above
+    common = content[0].above[:-1]
     for b in content:
         n = 0
         while n < min(len(common), len(b.above)) and common[n] == b.above[n]:
             n += 1
         common = common[:n]
-    articles = {i for b in content for i in b.above if tags[i] in ("article", "main")}
-    if articles:
-        keep = [b for b in found if articles.intersection(b.above)]
-    elif common and tags[common[-1]] not in ("html", "body"):
+    # an article element that holds all content is kept whole
+    whole = next((n for n, i in enumerate(common) if tags[i] in ("article", "main")), None)
+    if whole is not None:
+        common = common[:whole + 1]
+    if common and tags[common[-1]] not in ("html", "body"):
         keep = [b for b in found if b.above[: len(common)] == common]
     else:
         first, last = found.index(content[0]), len(found) - 1 - found[::-1].index(content[-1])

@@ -225,6 +225,14 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+def test_main_text_is_chosen_by_ratios_not_by_the_article_element():
+    body = [f"Sentence {k}, which is long enough to count, ends here. And a second one, as long, follows it." for k in range(6)]
+    teaser = "A teaser, quite long as teasers go, that says: read on, there is more. It is one block, no more."
+    page = f"<body><div><p>{'</p><p>'.join(body)}</p></div><article><p>{teaser}</p></article></body>"
+    assert set(body) <= set(html_text.main_text(page).split("\n"))
+    assert html_text.main_text(f"<body><div><h1>Title</h1><p>{body[0]}</p><p>Short.</p></div></body>").split("\n") == ["Title", body[0], "Short."]
+
+
 def test_shingles_of_short_texts():
     assert len(shingle_hashes(word_hashes(b"a b"), 4, True)) == 1 and len(shingle_hashes(word_hashes(b"a b"), 4, False)) == 0
     assert len(shingle_hashes(word_hashes(b" \n"), 4, True)) == 0 and zlib.crc32(b"") == 0
