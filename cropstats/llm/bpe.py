@@ -11,6 +11,7 @@ which ``tests/llm/test_bpe.py`` checks.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from array import array
 from functools import cache
@@ -91,7 +92,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # the library takes added tokens out of a text first, the longest where several begin
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens that take in or ask for what is beside them are not supported")
+        self.added = {t.content: i for i, t in added.items()}
+        self.cuts = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.added, key=len, reverse=True))) if added else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.known = Known(max(vocabulary.values()) + 1)
         # a byte-level vocabulary spells each byte as one character
@@ -101,6 +107,14 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if self.cuts is None or not any(self.cuts.search(t) for t in texts):
+            return self._plain(texts)
+        pieces: list[list[str]] = [[x for x in self.cuts.split(t) if x is not None] for t in texts]
+        plain = iter(self._plain([x for p in pieces for x in p if x not in self.added]))
+        return [np.concatenate([np.array([self.added[x]], dtype="<u4") if x in self.added else next(plain) for x in p]) for p in pieces]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without added tokens."""
         out: list[np.ndarray] = []
         group: list[str] = []
         held = 0

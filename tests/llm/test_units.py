@@ -24,6 +24,16 @@ def test_bpe_ids_are_the_librarys():
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), bpe.Encoder(path)
+    texts = ["a<|endoftext|> b", "", "<|endoftext|>", "x", "<|endoftext|><|endoftext|>it's\n <|endoftext| >", "a " * 300_000 + " <|endoftext|>b c"]
+    assert [x.tolist() for x in encoder.ids(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.ids(["a<|endoftext|> b"])[0].tolist() == [64, 50256, 275]
+
+
 def test_word_hashes_of_long_texts_do_not_depend_on_blocks(monkeypatch):
     text = b"ab cd\tef " * 5000
     whole = word_hashes(text)
