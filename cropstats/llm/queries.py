@@ -1,4 +1,4 @@
-"""The queries of the ten operators over the whole given tables."""
+"""The queries of the operators over the whole given tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropstats.llm import exact_dedup, hnsw, html_text, jaccard, nbest, packing, passages, quality, scratch, suffix_dedup, token_files
+from cropstats.llm import exact_dedup, hnsw, html_text, jaccard, merkle, nbest, packing, passages, quality, scratch, suffix_dedup, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hnsw_neighbours": op1_hnsw_neighbours,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nbest_segmentation": op8_nbest_segmentation,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -97,4 +102,52 @@ ORACLE: dict[str, str] = {
             FROM normal GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM normal JOIN best USING (text_sha256)""",
+    "op13_merkle_manifest": """
+        WITH RECURSIVE given AS (
+            SELECT row_number() OVER () AS id, doc_id, source, lang, n_chars, text,
+                   list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                               lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                                        lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) AS crc
+            FROM documents),
+        head AS (
+            SELECT id, doc_id, source, text, crc,
+                   coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                   || coalesce(octet_length(encode(lang)) || ':' || lang, '-') || coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars, '-') AS first
+            FROM given),
+        hashed AS (
+            SELECT id, doc_id, source, sha256(first || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+                   CASE WHEN xor(crc, 4294967295) & 1 = 0 THEN sha256(first || coalesce(octet_length(encode(replace(text, chr(10), ''))) || ':' || replace(text, chr(10), ''), '-')) END AS tampered
+            FROM head),
+        leaves AS (
+            SELECT id, doc_id, source, leaf, coalesce(tampered, leaf) AS given_leaf,
+                   row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n
+            FROM hashed),
+        tree AS (
+            SELECT source, 0 AS level, place, leaf AS hash, n FROM leaves
+            UNION ALL
+            SELECT source, level + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)), any_value((n + 2) // 3) FROM tree WHERE n > 1 GROUP BY source, level, place // 3),
+        tops AS (
+            SELECT source, hash AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, place, subroot AS hash, n FROM tops
+            UNION ALL
+            SELECT level + 1, place // 3, sha256(string_agg(hash, '' ORDER BY place)), any_value((n + 2) // 3) FROM top WHERE n > 1 GROUP BY level, place // 3),
+        steps AS (
+            SELECT source, level, place, false AS upper, hash FROM tree WHERE n > 1 UNION ALL SELECT s.source, t.level + s.height, t.place, true, t.hash
+            FROM top t CROSS JOIN (SELECT source, height, place FROM tops) s WHERE t.n > 1),
+        runs AS (
+            SELECT source, level, place, upper,
+                   coalesce(string_agg(hash, '' ORDER BY place) OVER (PARTITION BY source, level, place // 3 ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                   coalesce(string_agg(hash, '' ORDER BY place) OVER (PARTITION BY source, level, place // 3 ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+            FROM steps),
+        folds AS (
+            SELECT l.id, l.source, 0 AS level, l.place, l.given_leaf AS hash, '' AS proof, t.height, t.place AS above
+            FROM leaves l JOIN tops t ON l.source IS NOT DISTINCT FROM t.source
+            UNION ALL
+            SELECT f.id, f.source, f.level + 1, r.place // 3, sha256(r.before || f.hash || r.after), f.proof || r.before || r.after, f.height, f.above
+            FROM folds f JOIN runs r ON f.source IS NOT DISTINCT FROM r.source AND f.level = r.level AND r.place = CASE WHEN f.level = f.height THEN f.above ELSE f.place END),
+        ends AS (SELECT id, max_by(hash, level) AS folded_root, sha256(max_by(proof, level)) AS proof_sha256 FROM folds GROUP BY id)
+        SELECT l.doc_id, l.leaf, t.subroot, (SELECT hash FROM top WHERE n = 1) AS root, e.proof_sha256, e.folded_root,
+               e.folded_root = (SELECT hash FROM top WHERE n = 1) AS verified
+        FROM leaves l JOIN ends e USING (id) JOIN tops t ON l.source IS NOT DISTINCT FROM t.source""",
 }
