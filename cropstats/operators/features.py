@@ -1,10 +1,11 @@
 """Feature tables: facts joined through the country-code hub (JOB-10, JOB-11).
 
-Shape of the plan: the long yield facts join the code hub (broadcast after a
-size check), then one or more (ISO3, Year) attribute tables. Attribute tables
-that are aggregates (mean temperature) are left to AQE: they are small after
-the partial/final aggregate and get broadcast at run time; if not, the join
-stays sort-merge with skew splitting on.
+Shape of the plan: the long yield facts join the code hub, then one or more
+(ISO3, Year) attribute tables. Nothing is counted in advance: a side is
+broadcast when its size in bytes, from the files, the table statistics
+(``catalog.analyze_table``) or the finished stage below it, is under Spark's
+threshold; otherwise the join stays sort-merge with skew splitting on. Filters on
+element and item, and null checks, go through the joins to the facts' scan.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def finish_features(df: DataFrame, yield_col: str = "Yield",
                     round_cols: Sequence[str] = ("Temperature",), digits: int = 2,
                     element_col: str | None = "Element", element: str | None = "Yield",
                     not_null: Sequence[str] = (), null_yield: str = "zero",
-                    yield_type: str = "int") -> DataFrame:
+                    yield_type: str = "bigint") -> DataFrame:
     """Post-join cleanup (FN-7, FN-3, FN-6, FLT-2, FLT-4, PRJ-10, K13).
 
     ``null_yield="zero"`` turns a missing yield into 0 (as the reference),
@@ -61,8 +62,8 @@ def finish_features(df: DataFrame, yield_col: str = "Yield",
 
 def build_features(crop_yield: DataFrame, country_codes: DataFrame, temperature: DataFrame,
                    corruption: DataFrame | None = None, gdp: DataFrame | None = None,
-                   population: DataFrame | None = None, hub_rows: int = 10_000,
-                   null_yield: str = "zero") -> DataFrame:
+                   population: DataFrame | None = None, null_yield: str = "zero",
+                   element: str | None = "Yield") -> DataFrame:
     """Feature table v1 (temperature only) or v2 (all attributes).
 
     Column names follow the catalog tables of the loaders (``plans.jobs``):
@@ -74,7 +75,7 @@ def build_features(crop_yield: DataFrame, country_codes: DataFrame, temperature:
     facts = crop_yield.select("Year", "Country", "Item", "Element", "Unit", "Yield",
                               "AreaCodeM49")
     dims = [
-        Dim(country_codes, {"AreaCodeM49": "ISONum"}, ["ISO3"], broadcast_rows=hub_rows),
+        Dim(country_codes, {"AreaCodeM49": "ISONum"}, ["ISO3"]),
         Dim(temperature, {"ISO3": "ISO3", "Year": "Year"}, ["Temperature"]),
     ]
     v2 = corruption is not None
@@ -92,7 +93,7 @@ def build_features(crop_yield: DataFrame, country_codes: DataFrame, temperature:
     if v2:
         joined = joined.withColumnRenamed("CPI", "CorruptionIndex")
         cols += ["CorruptionIndex", "GDP", "UrbanPopulation", "RuralPopulation"]
-    return finish_features(joined.select(*cols), null_yield=null_yield, yield_type="bigint",
+    return finish_features(joined.select(*cols), null_yield=null_yield, element=element,
                            round_cols=("Temperature", "GDP") if v2 else ("Temperature",),
                            not_null=("CorruptionIndex",) if v2 else ())
 

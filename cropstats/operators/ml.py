@@ -16,11 +16,12 @@ from pyspark.ml.feature import (
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
+    StringIndexerModel,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -131,12 +132,24 @@ def key_bucket(*keys: str) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(100))
 
 
+def digest_bucket(*keys: str) -> Column:
+    """Bucket in [0, 100) from the MD5 digits of ``keys``, the same in Spark and in SQL (ML-11).
+
+    Each key is written as its byte count, ``:`` and itself, or ``-`` if NULL, so
+    no two key tuples share a text. The first eight digits are taken modulo 100.
+    """
+    texts = [F.col(f"`{k}`").cast("string") for k in keys]
+    parts = [F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.conv(F.substring(F.md5(F.concat(*parts)), 1, 8), 16, 10).cast("bigint") % 100
+
+
 def evaluate(predictions: DataFrame, label: str, prediction: str = "prediction",
              digits: int | None = None) -> DataFrame:
     """RMSE and R² in one aggregate, as a one-row DataFrame (ML-12).
 
     Same definitions as ``RegressionEvaluator``: RMSE = sqrt(mean((y − ŷ)²)),
-    R² = 1 − Σ(y − ŷ)² / Σ(y − ȳ)².
+    R² = 1 − Σ(y − ŷ)² / Σ(y − ȳ)². Rows without a prediction or label do not
+    count; ``linear.LinearMap.score`` and ``scored_rows`` observe how many those are.
     """
     y = F.col(label).cast("double")
     err = (y - F.col(prediction)) * (y - F.col(prediction))
@@ -144,7 +157,39 @@ def evaluate(predictions: DataFrame, label: str, prediction: str = "prediction",
     r2 = F.lit(1.0) - F.try_divide(F.sum(err), F.count(y) * F.var_pop(y))
     if digits is not None:
         rmse, r2 = F.round(rmse, digits), F.round(r2, digits)
-    return predictions.where(y.isNotNull()).agg(rmse.alias("rmse"), r2.alias("r2"))
+    known = y.isNotNull() & F.col(prediction).isNotNull()
+    return predictions.where(known).agg(rmse.alias("rmse"), r2.alias("r2"))
+
+
+def scored_rows(model: PipelineModel, df: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """``model.transform(df)``, with the rows that its stages skip observed by reason (ML-10, K18).
+
+    ``counts`` gets ``given``, ``skipped_null`` (a NULL or NaN input) and
+    ``skipped_unseen`` (a label that the indexers did not see).
+    """
+    if counts is not None:
+        null, unseen = F.lit(False), F.lit(False)
+        made = {c for s in model.stages for c in _names(s, "outputCol")}
+        for stage in model.stages:
+            for i, c in enumerate(_names(stage, "inputCol")):
+                if c in made:
+                    continue
+                null = null | F.col(f"`{c}`").isNull()
+                if isinstance(stage, StringIndexerModel):
+                    unseen = unseen | ~F.col(f"`{c}`").cast("string").isin(list(stage.labelsArray[i]))
+                elif dict(df.dtypes)[c] in ("double", "float"):
+                    null = null | F.isnan(f"`{c}`")
+        df = df.observe(counts, F.count(F.lit(1)).alias("given"), F.count(F.when(null, 1)).alias("skipped_null"),
+                        F.count(F.when(~null & unseen, 1)).alias("skipped_unseen"))
+    return model.transform(df)
+
+
+def _names(stage, param: str) -> list[str]:
+    """A stage's input or output columns, by its single or plural parameter."""
+    for p in (param + "s", param):
+        if stage.hasParam(p) and stage.isDefined(p):
+            return list(stage.getOrDefault(p)) if p.endswith("s") else [stage.getOrDefault(p)]
+    return []
 
 
 def pca_pipeline(inputs: Sequence[str], k: int = 2, categorical_cols: Sequence[str] = (),

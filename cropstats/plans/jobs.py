@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cropstats import schemas
@@ -24,7 +24,7 @@ from cropstats.functions.clean import (
     truncate_int,
     year_range,
 )
-from cropstats.operators import explore, features, ml, stats, weather
+from cropstats.operators import explore, features, linear, ml, stats, weather
 from cropstats.operators.joins import filter_to_keys, keys_present_in
 from cropstats.operators.reshape import add_row_id, explode_measures, unpivot_years
 from cropstats.session import checkpoint_dir
@@ -269,27 +269,56 @@ def series_correlation(feature_df: DataFrame, country: str, item: str,
     return series, r
 
 
+def _split(data: DataFrame, train_percent: int, seed: int | None,
+           key_cols: Sequence[str] | None) -> tuple[DataFrame, DataFrame]:
+    if key_cols:
+        return ml.bucket_split(data, ml.digest_bucket(*key_cols), train_percent)
+    train, test = ml.split(data, (train_percent / 100, 1 - train_percent / 100), seed)
+    return train, test
+
+
 def regression(feature_df: DataFrame, recipe_name: str = "m2", train_percent: int = 80,
                seed: int | None = 42, key_cols: Sequence[str] | None = None) -> DataFrame:
     """JOB-13: fit a recipe on the training split, RMSE and R² on the rest.
 
-    With ``key_cols`` the split is a hash of those columns (same rows on
-    every run and layout); otherwise ``randomSplit`` with ``seed`` (K17).
-    The input is checkpointed first: the fits read it several times, and a
-    partition recomputed after a lost executor is read back from the
-    checkpoint in the same order, so even ``randomSplit`` assigns it the
-    same rows again.
+    One row: ``rmse``, ``r2``, and of the held-out rows how many were ``given``,
+    ``skipped_null`` and ``skipped_unseen``. With ``key_cols`` the split is a
+    hash of those columns (same rows on every run and layout); otherwise
+    ``randomSplit`` with ``seed`` (K17). The input is checkpointed first: fit
+    and scoring read it, and a partition recomputed after a lost executor is
+    read back in the same order, so even ``randomSplit`` assigns it the same
+    rows again.
     """
     checkpoint_dir(feature_df.sparkSession)
-    data = feature_df.checkpoint(eager=True)  # read by several fit passes
-    if key_cols:
-        train, test = ml.bucket_split(data, ml.key_bucket(*key_cols), train_percent)
-    else:
-        train, test = ml.split(data, (train_percent / 100, 1 - train_percent / 100), seed)
-    if train.limit(1).count() == 0:  # nothing to fit on: metrics are undefined
-        return data.sparkSession.createDataFrame([(None, None)], "rmse double, r2 double")
-    model = ml.recipe(recipe_name).fit(train)
-    return ml.evaluate(model.transform(test), "Yield")
+    data = feature_df.checkpoint(eager=True)
+    train, test = _split(data, train_percent, seed, key_cols)
+    spark = data.sparkSession
+    try:
+        model = linear.recipe(train, recipe_name)
+    except linear.NoRows:  # nothing to fit on: metrics are undefined
+        return spark.createDataFrame([(None, None, test.count(), None, None)],
+                                     "rmse double, r2 double, given long, skipped_null long, skipped_unseen long")
+    counts = Observation(f"scored_{recipe_name}")
+    row = ml.evaluate(model.score(test, counts), "Yield").first()
+    seen = counts.get
+    return spark.createDataFrame([(row["rmse"], row["r2"], seen["given"], seen["skipped_null"], seen["skipped_unseen"])],
+                                 "rmse double, r2 double, given long, skipped_null long, skipped_unseen long")
+
+
+SCORED = ["Year", "Country", "Item", "Temperature", "Yield", "prediction"]
+
+
+def scored_table(feature_df: DataFrame, recipe_name: str = "m2", fit_on: DataFrame | None = None,
+                 keep: bool = False) -> tuple[DataFrame, Observation]:
+    """JOB-13: the features with the prediction of a recipe fitted on them, or on ``fit_on``.
+
+    The second value has the rows ``given``, ``skipped_null`` and
+    ``skipped_unseen`` once the first was run. ``keep`` keeps those rows, with a
+    NULL prediction.
+    """
+    counts = Observation(f"scored_{recipe_name}")
+    model = linear.recipe(feature_df if fit_on is None else fit_on, recipe_name)
+    return model.score(feature_df, counts, keep).select(*SCORED), counts
 
 
 FEATURE_COLUMNS = ["Yield", "Temperature", "GDP", "CorruptionIndex", "UrbanPopulation",
@@ -309,7 +338,9 @@ PCA_NUMERIC = ["Temperature", "GDP", "CorruptionIndex", "UrbanPopulation", "Rura
 def pca_by_country(feature_df: DataFrame, with_categories: bool = True) -> DataFrame:
     """JOB-15: mean PC1/PC2 per country, with or without one-hot country and item."""
     cats = ["Country", "Item"] if with_categories else []
-    return ml.pca_by_group(feature_df, PCA_NUMERIC, ["Country"], k=2, categorical_cols=cats)
+    coordinates, _, _ = linear.components(linear.gram(feature_df, PCA_NUMERIC, cats), 2)
+    return (coordinates.score(feature_df).groupBy("Country")
+            .agg(F.avg("PC1").alias("PC1"), F.avg("PC2").alias("PC2")))
 
 
 def explore_production(raw: DataFrame, item: str, area: str) -> dict[str, DataFrame]:

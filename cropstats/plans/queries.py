@@ -33,19 +33,17 @@ from cropstats.functions.clean import (
     scale_truncate,
     strip_and_cast,
 )
+from cropstats.operators import linear
 from cropstats.operators.explore import members, value_counts, with_series_range
-from cropstats.operators.features import finish_features
 from cropstats.operators.joins import (
-    Dim,
     filter_to_keys,
-    fits_broadcast,
     keys_present_in,
-    star_join,
 )
 from cropstats.operators.ml import (
     assemble,
     bucket_split,
     categorical,
+    digest_bucket,
     evaluate,
     linear_regression,
     minmax,
@@ -64,22 +62,20 @@ from cropstats.operators.weather import (
     station_year,
     stations_with_country,
 )
+from cropstats.plans.jobs import SCORED, regression, scored_table
 from cropstats.plans.tables import (
     LANDING_LOCK,
-    NATION_ROWS,
-    checkpointed_facts,
-    customer_nation_mean,
-    order_attributes,
-    supplier_nation_means,
     land_csv,
     landed_path,
     load,
     mark_landed,
     money,
+    star_features,
     yearly_orders_wide,
 )
 from cropstats.schemas import FLAG_VALUES
 from cropstats.session import checkpoint_dir, scratch_path
+from cropstats.sources import models
 from cropstats.sources.catalog import databases, ensure_database, save_table, table
 from cropstats.streaming.stations import ingest_station_files
 from cropstats.sources.files import (
@@ -134,26 +130,25 @@ long AS (
   LEFT JOIN facts ON facts.c_nationkey = k.c_nationkey
        AND facts.c_mktsegment = k.c_mktsegment AND facts.yr = y.yr)"""
 
-SQL_FEATURES = SQL_FACTS + """,
+SQL_FEATURES = """
+facts AS (
+  SELECT c.c_nationkey, c.c_mktsegment AS "Item", CAST(year(o.o_orderdate) AS INTEGER) AS "Year",
+         o.o_orderstatus AS "Element",
+         CAST(SUM(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS v
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  GROUP BY 1, 2, 3, 4),
+shipped AS (
+  SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS "Year", SUM(l_quantity) AS units
+  FROM lineitem GROUP BY 1, 2),
 temp AS (
-  SELECT s.s_nationkey AS nationkey, CAST(year(l.l_shipdate) AS INTEGER) AS "Year",
-         CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(l.l_extendedprice)
-           AS "Temperature"
-  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  GROUP BY 1, 2),
-attr AS (
-  SELECT c_nationkey AS nationkey,
-         CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) / COUNT(c_acctbal) AS "AcctBal"
-  FROM customer GROUP BY 1),
+  SELECT s.s_nationkey AS nationkey, "Year", AVG(units) AS "Temperature"
+  FROM shipped JOIN supplier s ON l_suppkey = s.s_suppkey GROUP BY 1, 2),
 features AS (
-  SELECT long."Year", long.n_name AS "Country", long.c_mktsegment AS "Item",
-         hub.n_regionkey AS "Region",
-         CASE WHEN long."Yield" IS NULL THEN 0 ELSE CAST(trunc(long."Yield") AS BIGINT) END AS "Yield",
-         """ + sql_round('temp."Temperature"', 2) + """ AS "Temperature", attr."AcctBal"
-  FROM long
-  JOIN nation hub ON hub.n_nationkey = long.n_nationkey
-  JOIN temp ON temp.nationkey = long.n_nationkey AND temp."Year" = long."Year"
-  JOIN attr ON attr.nationkey = long.n_nationkey)"""
+  SELECT facts."Year", n.n_name AS "Country", "Item", "Element", 'USD' AS "Unit",
+         CAST(trunc(v) AS BIGINT) AS "Yield", """ + sql_round('temp."Temperature"', 2) + """ AS "Temperature"
+  FROM facts JOIN nation n ON n.n_nationkey = c_nationkey
+  JOIN temp ON temp.nationkey = c_nationkey AND temp."Year" = facts."Year"
+  WHERE "Element" = 'F')"""
 
 LONG_KEYS = ["n_nationkey", "n_name", "c_mktsegment"]
 
@@ -174,75 +169,35 @@ def q02_unpivot_three_melts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Q10/Q13: features through the hub, correlations per group ---------------------
 
-def order_features(spark: SparkSession, sf_dir: str, item: str | None = None,
-                   version: int = 1) -> DataFrame:
-    """Yearly facts through the nation hub to yearly and per-nation attributes.
-
-    ``version=1`` (JOB-10 analogue): hub, mean "temperature" per (nation,
-    year), mean account balance per nation. ``version=2`` (JOB-11 analogue,
-    the six-table star of JON-5): adds the "GDP" mean from the same lineitem
-    pass and the per-(nation, year) order attributes summed from the already
-    checkpointed facts; rows without a CorruptionIndex are dropped (FLT-4).
-    The hub's size is checked once and used for both of its joins.
-    """
-    nation = load(spark, sf_dir, "nation")
-    hub_fits = fits_broadcast(nation, NATION_ROWS)
-    facts = checkpointed_facts(spark, sf_dir)
-    wide = yearly_orders_wide(spark, sf_dir, nation_fits=hub_fits, facts=facts)
-    fact_rows = facts[0]
-    long = unpivot_years(wide, id_cols=LONG_KEYS).select(
-        "n_nationkey", F.col("n_name").alias("Country"), F.col("c_mktsegment").alias("Item"),
-        "Year", "Yield")
-    yearly = {"Temperature": "l_extendedprice"}
-    if version == 2:
-        yearly["GDP"] = "l_tax"
-    dims = [
-        Dim(F.broadcast(nation) if hub_fits else nation, {"n_nationkey": "n_nationkey"},
-            ["n_regionkey"]),
-        Dim(supplier_nation_means(spark, sf_dir, yearly),
-            {"n_nationkey": "nationkey", "Year": "Year"}, list(yearly)),
-        Dim(customer_nation_mean(spark, sf_dir), {"n_nationkey": "nationkey"}, ["AcctBal"]),
-    ]
-    cols = ["Year", "Country", "Item", F.col("n_regionkey").alias("Region"),
-            "Yield", "Temperature", "AcctBal"]
-    if version == 2:
-        dims.append(Dim(order_attributes(fact_rows), {"n_nationkey": "nationkey", "Year": "Year"},
-                        ["CorruptionIndex", "UrbanPopulation", "RuralPopulation"]))
-        cols += ["GDP", "CorruptionIndex", "UrbanPopulation", "RuralPopulation"]
-    out = star_join(long, dims).select(*cols)
-    return finish_features(out, yield_type="bigint",
-                           round_cols=("Temperature", "GDP") if version == 2 else ("Temperature",),
-                           element_col="Item" if item else None, element=item,
-                           not_null=("CorruptionIndex",) if version == 2 else ())
-
-
 @register("q10_feature_join", "WITH" + SQL_FEATURES
           + "\nSELECT * FROM features WHERE \"Item\" = 'BUILDING'")
 def q10_feature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-3/4/5, AGG-6, FN-3/6/7, FLT-2: feature table for one item."""
-    return order_features(spark, sf_dir, item="BUILDING")
+    """JOB-10, JON-3/4/5, AGG-6, FN-3/6/7/11, FLT-2: ``build_features`` for one item.
+
+    Lazy: the item and element filters reach the scans of customer and orders.
+    """
+    return star_features(spark, sf_dir).where(F.col("Item") == "BUILDING")
 
 
-SQL_FEATURES_V2 = SQL_FEATURES.replace(
-    'AS "Temperature"\n  FROM lineitem',
-    'AS "Temperature",\n'
-    '         CAST(SUM(CAST(l.l_tax AS DECIMAL(18,2))) AS DOUBLE) / COUNT(l.l_tax) AS "GDP"\n'
-    '  FROM lineitem') + """,
+SQL_FEATURES_V2 = SQL_FEATURES + """,
+gdp AS (
+  SELECT s.s_nationkey AS nationkey, CAST(year(l.l_shipdate) AS INTEGER) AS "Year",
+         CAST(SUM(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(l.l_extendedprice)
+           AS "GDP"
+  FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY 1, 2),
 attrs AS (
   SELECT c.c_nationkey AS nationkey, CAST(year(o.o_orderdate) AS INTEGER) AS "Year",
-         SUM(CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS "CorruptionIndex",
-         SUM(CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END) AS "UrbanPopulation",
-         SUM(CASE WHEN o.o_orderstatus = 'O' THEN 1 ELSE 0 END) AS "RuralPopulation"
+         nullif(count(CASE WHEN o.o_orderpriority = '1-URGENT' THEN 1 END), 0) AS "CorruptionIndex",
+         count(CASE WHEN o.o_orderstatus = 'F' THEN 1 END) AS "UrbanPopulation",
+         count(CASE WHEN o.o_orderstatus = 'O' THEN 1 END) AS "RuralPopulation"
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   GROUP BY 1, 2),
 features_v2 AS (
-  SELECT f.*, """ + sql_round("temp.\"GDP\"", 2) + """ AS "GDP",
-         CAST(a."CorruptionIndex" AS BIGINT) AS "CorruptionIndex",
-         CAST(a."UrbanPopulation" AS BIGINT) AS "UrbanPopulation",
-         CAST(a."RuralPopulation" AS BIGINT) AS "RuralPopulation"
+  SELECT f.*, """ + sql_round("gdp.\"GDP\"", 2) + """ AS "GDP", a."CorruptionIndex",
+         a."UrbanPopulation", a."RuralPopulation"
   FROM features f
   JOIN nation hub2 ON hub2.n_name = f."Country"
-  JOIN temp ON temp.nationkey = hub2.n_nationkey AND temp."Year" = f."Year"
+  JOIN gdp ON gdp.nationkey = hub2.n_nationkey AND gdp."Year" = f."Year"
   JOIN attrs a ON a.nationkey = hub2.n_nationkey AND a."Year" = f."Year"
   WHERE a."CorruptionIndex" IS NOT NULL)"""
 
@@ -250,11 +205,11 @@ features_v2 AS (
 @register("q10b_feature_join_v2", "WITH" + SQL_FEATURES_V2
           + "\nSELECT * FROM features_v2 WHERE \"Item\" = 'BUILDING'")
 def q10b_feature_join_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-5, FLT-4, FN-6: the six-table star with two-column keys (JOB-11 analogue)."""
-    return order_features(spark, sf_dir, item="BUILDING", version=2)
+    """JOB-11, JON-5, FLT-4, FN-6: ``build_features`` over the six-table star, two-column keys."""
+    return star_features(spark, sf_dir, version=2).where(F.col("Item") == "BUILDING")
 
 
-FEATURE_VARS = ["Yield", "Temperature", "AcctBal"]
+FEATURE_VARS = ["Yield", "Temperature"]
 
 
 def _sql_corr_pairs(source: str, cols: list[str], by: list[str], digits: int) -> str:
@@ -275,8 +230,8 @@ def _sql_corr_pairs(source: str, cols: list[str], by: list[str], digits: int) ->
 @register("q13_corr_by_group", "WITH" + SQL_FEATURES + "\n"
           + _sql_corr_pairs("features", FEATURE_VARS, ["Country"], 4))
 def q13_corr_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STA-3: all 3×3 correlations per country in one grouped aggregate."""
-    return corr_pairs(order_features(spark, sf_dir), FEATURE_VARS, by=["Country"], digits=4)
+    """STA-3: the correlations per country in one grouped aggregate."""
+    return corr_pairs(star_features(spark, sf_dir), FEATURE_VARS, by=["Country"], digits=4)
 
 
 
@@ -288,7 +243,7 @@ FEATURE_VARS_V2 = ["Yield", "Temperature", "GDP", "CorruptionIndex", "UrbanPopul
           + _sql_corr_pairs("features_v2", FEATURE_VARS_V2, ["Country"], 4))
 def q13c_corr_features_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STA-3 on the v2 feature table (JOB-14 analogue): 6 × 6 correlations per country."""
-    return corr_pairs(order_features(spark, sf_dir, version=2), FEATURE_VARS_V2,
+    return corr_pairs(star_features(spark, sf_dir, version=2), FEATURE_VARS_V2,
                       by=["Country"], digits=4)
 
 
@@ -381,7 +336,7 @@ def q08_union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     the query reads them back with the year taken from the path.
     """
     with LANDING_LOCK:
-        base, done = landed_path(spark, "orders-by-year", sf_dir)
+        base, done = landed_path(spark, "orders-by-year", sf_dir, ["orders"])
         if not done:
             orders = load(spark, sf_dir, "orders").select(
                 "o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("yr"))
@@ -593,14 +548,111 @@ def q20_pca_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PCA_V2_INPUTS = ["Temperature", "GDP", "CorruptionIndex", "UrbanPopulation", "RuralPopulation"]
+CATEGORIES = ["Country", "Item"]
+
 
+def _sql_design(source: str, numeric: list[str], categories: list[str], label: str | None) -> str:
+    """CTEs: levels, means and the Gram matrix (a list of lists, the label last) of a design.
 
-@register("q19b_pca_features_v2")
+    Columns: 1, the levels of each category by frequency, the centred numeric
+    columns. ``width`` has the number of levels of each category.
+    """
+    values = [*numeric, *([label] if label else [])]
+    names = ", ".join(f'"{c}"' for c in [*categories, *values])
+    ctes = [f"train AS (SELECT row_number() OVER () AS rid, {names} FROM {source})",
+            "mu AS (SELECT count(*) AS n" + "".join(f', avg("{x}") AS m{j}' for j, x in enumerate(numeric)) + " FROM train)"]
+    for k, c in enumerate(categories):
+        ctes.append(f'lv{k} AS (SELECT "{c}", row_number() OVER (ORDER BY count(*) DESC, "{c}") AS idx FROM train GROUP BY 1)')
+    before = ["1"]
+    for k in range(len(categories)):
+        before.append(f"{before[-1]} + (SELECT count(*) FROM lv{k})")
+    parts = ["SELECT rid, 1 AS i, CAST(1 AS DOUBLE) AS x FROM train"]
+    parts += [f'SELECT rid, {before[k]} + idx, 1 FROM train JOIN lv{k} USING ("{c}")' for k, c in enumerate(categories)]
+    parts += [f'SELECT rid, {before[-1]} + {j + 1}, "{x}" - ' + (f"m{j}" if j < len(numeric) else "0") + " FROM train, mu" for j, x in enumerate(values)]
+    ctes += ["design AS (" + " UNION ALL ".join(parts) + ")", f"width AS (SELECT {before[-1]} + {len(numeric)} AS k)",
+             "products AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM design a JOIN design b USING (rid) GROUP BY 1, 2)",
+             f"grid AS (SELECT a.i, b.j FROM (SELECT unnest(range(1, k + 1)) AS i FROM width) a, (SELECT unnest(range(1, k + {1 + bool(label)})) AS j FROM width) b)",
+             "lines AS (SELECT i, list(coalesce(v, 0) ORDER BY j) AS r FROM grid LEFT JOIN products USING (i, j) GROUP BY i)",
+             "gram AS (SELECT list(r ORDER BY i) AS m FROM lines)"]
+    return ",\n".join(ctes)
+
+
+def _sql_least_squares(source: str, numeric: list[str]) -> str:
+    """CTEs that solve the normal equations of ``source`` by elimination: ``coef`` has the list ``b``."""
+    return _sql_design(source, numeric, CATEGORIES, "Yield") + """,
+elim AS (
+  SELECT 0 AS step, m, list_transform(m, lambda r, i: r[i]) AS d FROM gram
+  UNION ALL
+  SELECT step + 1,
+         CASE WHEN m[step + 1][step + 1] <= 1e-9 * d[step + 1]
+              THEN list_transform(m, lambda r, i: list_transform(r, lambda z, j: CASE WHEN i = step + 1 OR j = step + 1 THEN 0 ELSE z END))
+              ELSE list_transform(m, lambda r, i: CASE WHEN i = step + 1 THEN list_transform(r, lambda z: z / m[step + 1][step + 1])
+                   ELSE list_transform(r, lambda z, j: z - r[step + 1] * m[step + 1][j] / m[step + 1][step + 1]) END) END, d
+  FROM elim WHERE step < len(d)),
+coef AS (SELECT list_transform(m, lambda r: r[len(r)]) AS b FROM elim WHERE step = len(d))"""
+
+
+def _sql_scored(source: str, numeric: list[str]) -> str:
+    """A SELECT of ``source`` with ``prediction`` (NULL where a level is unseen), after ``_sql_least_squares``."""
+    terms = " + ".join(f'b[1 + (SELECT count(*) FROM lv0) + (SELECT count(*) FROM lv1) + {j + 1}] * (s."{x}" - m{j})' for j, x in enumerate(numeric))
+    return f"""SELECT s.*, b[1] + b[1 + lv0.idx] + b[1 + (SELECT count(*) FROM lv0) + lv1.idx] + {terms} AS prediction
+FROM {source} s LEFT JOIN lv0 USING ("Country") LEFT JOIN lv1 USING ("Item"), mu, coef"""
+
+
+def _sql_spectrum(source: str, numeric: list[str], categories: list[str], k: int) -> str:
+    """CTEs of the first ``k`` principal components of a standardised design: ``pc<j>`` has vector ``v``; ``st`` scale and mean."""
+    product = "list_transform(a, lambda r: list_transform(r, lambda z, j: list_sum(list_transform(r, lambda y, i: y * a[i][j]))))"
+    sql = _sql_design(source, numeric, categories, None) + """,
+cov AS (SELECT n, list_transform(m[2:], lambda r, i: list_transform(r[2:], lambda z, j: (z - m[1][i + 1] * m[1][j + 1] / n) / (n - 1))) AS c,
+               list_transform(m[1][2:], lambda z: z / n) AS mean FROM gram, mu),
+st AS (SELECT list_transform(c, lambda r, i: CASE WHEN r[i] > 1e-24 THEN 1 / sqrt(r[i]) ELSE 0 END) AS scale, mean, c FROM cov),
+rest0 AS (SELECT list_transform(c, lambda r, i: list_transform(r, lambda z, j: z * scale[i] * scale[j])) AS a FROM st)"""
+    for j in range(k):
+        sql += f""",
+sq{j} AS (
+  SELECT 0 AS step, a FROM rest{j}
+  UNION ALL
+  SELECT step + 1, {product}
+  FROM (SELECT step, list_transform(a, lambda r: list_transform(r, lambda z: z / list_max(list_transform(a, lambda q: list_max(list_transform(q, lambda y: abs(y))))))) AS a FROM sq{j}) WHERE step < 40),
+col{j} AS (SELECT a[list_position(nn, list_max(nn))] AS u FROM (SELECT a, list_transform(a, lambda r: list_sum(list_transform(r, lambda z: z * z))) AS nn FROM sq{j} WHERE step = 40)),
+pc{j} AS (
+  SELECT list_transform(u, lambda z: z / sqrt(list_sum(list_transform(u, lambda y: y * y)))
+         * CASE WHEN u[list_position(list_transform(u, lambda y: abs(y)), list_max(list_transform(u, lambda y: abs(y))))] < 0 THEN -1 ELSE 1 END) AS v FROM col{j}),
+val{j} AS (SELECT list_sum(list_transform(a, lambda r, i: v[i] * list_sum(list_transform(r, lambda z, j: z * v[j])))) AS e FROM rest{j}, pc{j}),
+rest{j + 1} AS (SELECT list_transform(a, lambda r, i: list_transform(r, lambda z, j: z - e * v[i] * v[j])) AS a FROM rest{j}, pc{j}, val{j})"""
+    return sql
+
+
+def _sql_pca_means(categories: list[str]) -> str:
+    """Mean coordinates per country of the v2 features."""
+    offset = " + ".join(["0", *[f"(SELECT count(*) FROM lv{k})" for k in range(len(categories))]])
+    coordinate = lambda j: " + ".join(
+        [*[f"pc{j}.v[{' + '.join(['0', *[f'(SELECT count(*) FROM lv{i})' for i in range(k)]])} + lv{k}.idx] * scale[{' + '.join(['0', *[f'(SELECT count(*) FROM lv{i})' for i in range(k)]])} + lv{k}.idx]" for k in range(len(categories))],
+         *[f'pc{j}.v[{offset} + {i + 1}] * scale[{offset} + {i + 1}] * (f."{x}" - m{i})' for i, x in enumerate(PCA_V2_INPUTS)]])
+    shift = lambda j: f"list_sum(list_transform(pc{j}.v, lambda z, i: z * scale[i] * mean[i]))"
+    joins = "".join(f' JOIN lv{k} USING ("{c}")' for k, c in enumerate(categories))
+    return ("WITH RECURSIVE" + SQL_FEATURES_V2 + ",\n" + _sql_spectrum("features_v2", PCA_V2_INPUTS, categories, 2) + """
+SELECT "Country", """ + ", ".join(f"round(avg({coordinate(j)} - {shift(j)}), 6) + CAST(0 AS DOUBLE) AS \"PC{j + 1}\"" for j in range(2))
+            + f"\nFROM features_v2 f{joins}, st, mu, pc0, pc1 GROUP BY 1")
+
+
+def _pca_means(spark: SparkSession, sf_dir: str, categories: list[str]) -> DataFrame:
+    features = star_features(spark, sf_dir, version=2)
+    spectrum, _, _ = linear.components(linear.gram(features, PCA_V2_INPUTS, categories), 2)
+    return (spectrum.score(features).groupBy("Country")
+            .agg(F.round(F.avg("PC1"), 6).alias("PC1"), F.round(F.avg("PC2"), 6).alias("PC2")))
+
+
+@register("q19b_pca_features_v2", _sql_pca_means([]))
 def q19b_pca_features_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOB-15 analogue: PCA(2) of the standardised v2 features, mean PC1/PC2 per
-    country, sign-normalised (K19). No SQL closed form: tested against numpy."""
-    feats = order_features(spark, sf_dir, version=2).checkpoint(eager=True)
-    return pca_by_group(feats, PCA_V2_INPUTS, ["Country"], k=2)
+    """ML-6/7, AGG-8, JOB-15: PCA(2) of the standardised v2 features, mean PC1/PC2 per country (K19)."""
+    return _pca_means(spark, sf_dir, [])
+
+
+@register("q19c_pca_with_categories", _sql_pca_means(CATEGORIES))
+def q19c_pca_with_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-4, JOB-15 with the one-hot country and item beside the numeric features."""
+    return _pca_means(spark, sf_dir, CATEGORIES)
 
 
 def split_bucket() -> F.Column:
@@ -663,36 +715,88 @@ def q22c_regression_covariate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.round("prediction", 4).alias("prediction"))
 
 
-@register("q22b_recipe_m1")
-def q22b_recipe_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML-13 (recipe m1), ML-11, ML-12 on the feature table: RMSE and R² on held-out rows."""
-    features = order_features(spark, sf_dir).checkpoint(eager=True)  # fed to several fits
-    train, test = bucket_split(features, F.pmod(F.col("Year") * 31 + F.length("Country"),
-                                                F.lit(100)), 80)
-    model = recipe("m1", label="Yield").fit(train)
-    return evaluate(model.transform(test), "Yield", digits=6)
+SPLIT_KEYS = ["Year", "Country", "Item"]
+M1_NUMERIC = ["Temperature"]
 
 
-def _recipe_on_v2(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    features = order_features(spark, sf_dir, version=2).checkpoint(eager=True)
-    train, test = bucket_split(features, F.pmod(F.col("Year") * 31 + F.length("Country"),
-                                                F.lit(100)), 80)
-    model = recipe(name, label="Yield").fit(train)
-    return evaluate(model.transform(test), "Yield", digits=6)
+def sql_bucket(keys: list[str]) -> str:
+    """``ml.digest_bucket`` in SQL."""
+    parts = ", ".join(f"""coalesce(octet_length(encode(CAST("{k}" AS VARCHAR))) || ':' || CAST("{k}" AS VARCHAR), '-')""" for k in keys)
+    return f"(CAST('0x' || substr(md5(concat({parts})), 1, 8) AS BIGINT) % 100)"
 
 
-@register("q22d_recipe_m2")
+def _sql_recipe(features: str, source: str, numeric: list[str]) -> str:
+    """Metrics of a least-squares fit on the buckets below 80, over the other rows."""
+    return ("WITH RECURSIVE" + features + f",\nhalf AS (SELECT *, {sql_bucket(SPLIT_KEYS)} AS bucket FROM {source}),\n"
+            "fit_rows AS (SELECT * FROM half WHERE bucket < 80),\ntest_rows AS (SELECT * FROM half WHERE bucket >= 80),\n"
+            + _sql_least_squares("fit_rows", numeric) + ",\np AS (" + _sql_scored("test_rows", numeric) + """)
+SELECT round(sqrt(avg((CAST("Yield" AS DOUBLE) - prediction) ** 2)), 2) AS rmse,
+       round(1 - sum((CAST("Yield" AS DOUBLE) - prediction) ** 2) / (count(prediction) * var_pop(CASE WHEN prediction IS NOT NULL THEN "Yield" END)), 6) AS r2,
+       count(*) AS given, CAST(0 AS BIGINT) AS skipped_null, count(*) - count(prediction) AS skipped_unseen
+FROM p""")
+
+
+def _recipe_metrics(spark: SparkSession, sf_dir: str, name: str, version: int) -> DataFrame:
+    out = regression(star_features(spark, sf_dir, version=version), name, key_cols=SPLIT_KEYS)
+    return out.withColumns({"rmse": F.round("rmse", 2), "r2": F.round("r2", 6)})
+
+
+@register("q22b_recipe_m1", _sql_recipe(SQL_FEATURES, "features", M1_NUMERIC))
+def q22b_recipe_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOB-13, ML-11/12/13 (recipe m1): RMSE and R² on held-out rows, with the rows given and skipped."""
+    return _recipe_metrics(spark, sf_dir, "m1", 1)
+
+
+@register("q22d_recipe_m2", _sql_recipe(SQL_FEATURES_V2, "features_v2", PCA_V2_INPUTS))
 def q22d_recipe_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML-4, ML-5, ML-13 (recipe m2) on the v2 features: full dummy sets, min-max
-    scaled populations; RMSE and R² on held-out rows. Tested against numpy."""
-    return _recipe_on_v2(spark, sf_dir, "m2")
+    """JOB-13, ML-4/5/13 (recipe m2) on the v2 features: full dummy sets and all five measures."""
+    return _recipe_metrics(spark, sf_dir, "m2", 2)
 
 
 @register("q22e_recipe_m3")
 def q22e_recipe_m3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ML-6, ML-7, ML-13 (recipe m3): regression on PCA(2) of the standardised
-    features plus the dummies; RMSE and R² on held-out rows. Tested against numpy."""
-    return _recipe_on_v2(spark, sf_dir, "m3")
+    """JOB-13, ML-6/7/13 (recipe m3): regression on PCA(2) of the standardised
+    features plus the dummies. Tested against numpy."""
+    return _recipe_metrics(spark, sf_dir, "m3", 2)
+
+
+def _sql_scored_table(features: str, source: str, numeric: list[str]) -> str:
+    return ("WITH RECURSIVE" + features + ",\n" + _sql_least_squares(source, numeric) + ",\np AS (" + _sql_scored(source, numeric)
+            + """)\nSELECT "Year", "Country", "Item", "Temperature", "Yield", round(prediction, 1) + CAST(0 AS DOUBLE) AS prediction FROM p""")
+
+
+@register("q33_scored_m1", _sql_scored_table(SQL_FEATURES, "features", M1_NUMERIC))
+def q33_scored_m1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOB-13, ML-10: the scored table of recipe m1, fitted on all rows."""
+    scored, _ = scored_table(star_features(spark, sf_dir), "m1")
+    return scored.withColumn("prediction", F.round("prediction", 1))
+
+
+@register("q33b_scored_m2", _sql_scored_table(SQL_FEATURES_V2, "features_v2", PCA_V2_INPUTS))
+def q33b_scored_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOB-13, ML-10: the scored table of recipe m2 on the v2 features."""
+    scored, _ = scored_table(star_features(spark, sf_dir, version=2), "m2")
+    return scored.withColumn("prediction", F.round("prediction", 1))
+
+
+def _sql_model_reused() -> str:
+    return ("WITH RECURSIVE" + SQL_FEATURES + f",\nhalf AS (SELECT *, {sql_bucket(SPLIT_KEYS)} AS bucket FROM features),\n"
+            "fit_rows AS (SELECT * FROM half WHERE bucket < 80),\ntest_rows AS (SELECT * FROM half WHERE bucket >= 80),\n"
+            + _sql_least_squares("fit_rows", M1_NUMERIC) + ",\np AS (" + _sql_scored("test_rows", M1_NUMERIC) + """)
+SELECT "Year", "Country", "Item", "Temperature", "Yield", round(prediction, 1) + CAST(0 AS DOUBLE) AS prediction
+FROM p WHERE prediction IS NOT NULL""")
+
+
+@register("q22f_model_reused", _sql_model_reused())
+def q22f_model_reused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ML-10: recipe m1 as one fitted pipeline, stored, loaded and applied to other rows."""
+    checkpoint_dir(spark)
+    features = star_features(spark, sf_dir).checkpoint()  # read by several fit passes
+    train, test = bucket_split(features, digest_bucket(*SPLIT_KEYS), 80)
+    model = recipe("m1").fit(train)
+    version = models.save(train, model, "order-features-m1", ["Country", "Item", "Temperature"])
+    scored = models.load(spark, "order-features-m1", version).score(test)
+    return scored.select(*SCORED[:-1], F.round("prediction", 1).alias("prediction"))
 
 
 # --- Q23..Q29: exploration, filters, lookups, catalog, landed files ---------------------
@@ -776,7 +880,7 @@ def land_station_files(spark: SparkSession, sf_dir: str) -> str:
     ``daily/``).
     """
     with LANDING_LOCK:
-        base, done = landed_path(spark, "station-daily", sf_dir)
+        base, done = landed_path(spark, "station-daily", sf_dir, ["events"])
         if not done:
             v = F.col("value").cast("double")
             none = F.lit(None)
@@ -890,7 +994,7 @@ def q31_sheet_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-5: a table saved as a sheet export — title and total rows around the
     data, a header in every part file — read back by header name and key pattern."""
     with LANDING_LOCK:
-        base, done = landed_path(spark, "supplier-sheet", sf_dir)
+        base, done = landed_path(spark, "supplier-sheet", sf_dir, ["supplier"])
         if not done:
             supp = load(spark, sf_dir, "supplier").select(
                 F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name", "s_nationkey",

@@ -4,28 +4,28 @@ The crop jobs (``plans.jobs``) run on the reference's own inputs; the driver
 only ships a TPC-H-like star schema, so each reference role gets a stand-in
 (see FIXTURES.md §3):
 
-- production facts (country × item × year)  → order totals per nation × segment × year
+- production file (wide, years as columns)  → order totals per nation × segment
+- yield facts (country × item × element × year) → order totals per nation × segment × status × year
 - country-code hub                           → nation
-- temperature by country-year                → mean extended price per supplier nation × ship year
-- per-country attribute                      → mean account balance per customer nation
+- temperature readings per country and year  → units shipped per supplier and year
+- share of GDP                               → mean extended price per supplier nation and year
+- corruption index, population               → urgent, finished and open orders per nation and year
 - stations and daily readings                → users (per event type) and events
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from cropstats.operators.joins import fits_broadcast
+from cropstats.operators.features import build_features, mean_temperature
 from cropstats.operators.reshape import pivot_years
 from cropstats.session import checkpoint_dir
 
-NATION_ROWS = 10_000  # bound for broadcasting the nation hub
-
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -48,7 +48,7 @@ def money(c: str):
 
 
 def yearly_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long facts (c_nationkey, c_mktsegment, yr, v, f, n): the crop-yield analogue.
+    """Long facts (c_nationkey, c_mktsegment, yr, v, f, n): what the wide table is pivoted from.
 
     v = order total, f = highest status (flag), n = highest priority (note),
     both as whole strings. The first aggregate keeps status and priority as
@@ -60,68 +60,127 @@ def yearly_order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority",
         F.year("o_orderdate").alias("yr"))
     customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    def count_if(cond):
-        return F.sum(F.when(cond, F.col("orders")).otherwise(F.lit(0)))
-
     return (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
                   .groupBy("c_nationkey", "c_mktsegment", "yr", "o_orderstatus", "o_orderpriority")
-                  .agg(F.sum(cents("o_totalprice")).alias("cents"), F.count("*").alias("orders"))
+                  .agg(F.sum(cents("o_totalprice")).alias("cents"))
                   .groupBy("c_nationkey", "c_mktsegment", "yr")
                   .agg((F.sum("cents").cast("double") / F.lit(100.0)).alias("v"),
                        F.max("o_orderstatus").alias("f"),
-                       F.max("o_orderpriority").alias("n"),
-                       # per-(nation, year) attributes are summed from these
-                       count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
-                       count_if(F.col("o_orderstatus") == "F").alias("finished"),
-                       count_if(F.col("o_orderstatus") == "O").alias("open")))
+                       F.max("o_orderpriority").alias("n")))
 
 
-def checkpointed_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[int] | None]:
-    """``yearly_order_facts`` written to the shared checkpoint folder, and its years.
+def yearly_orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide table in the production-file layout: keys + Y<yr>, Y<yr>F, Y<yr>N.
 
-    The distinct years (a bounded set) are collected as an observed metric of
-    the same checkpoint job, so the pivot needs no extra job to find them.
+    A saved table, as the production file is: pivoted and written once per
+    source, then read. The distinct years (a bounded set) are observed while
+    the facts are written, so the pivot needs no job to find them.
     """
-    checkpoint_dir(spark)
-    seen = Observation("fact_years")
-    facts = (yearly_order_facts(spark, sf_dir)
+    with LANDING_LOCK:
+        base, done = landed_path(spark, "orders-wide", sf_dir, ["orders", "customer", "nation"])
+        if not done:
+            seen = Observation("fact_years")
+            (yearly_order_facts(spark, sf_dir)
              .observe(seen, F.collect_set("yr").alias("years"))
-             .checkpoint(eager=True))
-    years = seen.get.get("years")
-    return facts, (sorted(years) if years is not None else None)
+             .write.mode("overwrite").parquet(f"{base}/facts"))
+            wide = pivot_years(spark.read.parquet(f"{base}/facts"),
+                               ["c_nationkey", "c_mktsegment"], "yr", "v", "f", "n",
+                               years=sorted(seen.get.get("years") or []))
+            nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+            (wide.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).drop("c_nationkey")
+             .write.mode("overwrite").parquet(f"{base}/wide"))
+            mark_landed(spark, base)
+    return spark.read.parquet(f"{base}/wide")
 
 
-def order_attributes(facts: DataFrame) -> DataFrame:
-    """Per (nationkey, Year) attributes summed from the facts: the CPI and
-    urban / rural population stand-ins (urgent, finished and open orders)."""
-    return (facts.groupBy(F.col("c_nationkey").alias("nationkey"), F.col("yr").alias("Year"))
-                 .agg(F.sum("urgent").alias("CorruptionIndex"),
-                      F.sum("finished").alias("UrbanPopulation"),
-                      F.sum("open").alias("RuralPopulation")))
+# --- stand-ins of the catalog tables that ``build_features`` joins ---------------
 
+def nation_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
-def yearly_orders_wide(spark: SparkSession, sf_dir: str,
-                       nation_fits: bool | None = None,
-                       facts: tuple[DataFrame, list[int] | None] | None = None) -> DataFrame:
-    """Wide table in the production-file layout: keys + Y<yr>, Y<yr>F, Y<yr>N.
 
-    The facts (nations × segments × years rows) are checkpointed to the
-    shared checkpoint folder, with their distinct years observed in the same
-    job, so the pivot gets its values without another pass and the orders ⋈
-    customer aggregate runs once. ``facts`` passes on facts the caller has
-    already checkpointed; ``nation_fits`` a size check the caller has already
-    made on the nation table (otherwise both are done here).
+def crop_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yield facts: order totals per nation, segment (item), year and status (element).
+
+    Element and item are grouping keys, so a filter on either reaches the scan.
+    """
+    orders = load(spark, sf_dir, "orders").select(
+        "o_custkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("Year"))
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    totals = (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+                    .groupBy(F.col("c_nationkey").alias("AreaCodeM49"), "Year",
+                             F.col("c_mktsegment").alias("Item"),
+                             F.col("o_orderstatus").alias("Element"))
+                    .agg(money("o_totalprice").alias("Yield")))
+    names = nation_names(spark, sf_dir)
+    return (totals.join(names, F.col("AreaCodeM49") == F.col("n_nationkey"))
+                  .select("AreaCodeM49", "Year", F.col("n_name").alias("Country"), "Item",
+                          "Element", F.lit("USD").alias("Unit"), "Yield"))
+
+
+def country_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hub: nation key → nation name, in place of M49 code → ISO3."""
+    return nation_names(spark, sf_dir).select(F.col("n_nationkey").alias("ISONum"),
+                                              F.col("n_name").alias("ISO3"))
+
+
+def surface_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings as text, several per country and year: units shipped per supplier and year.
+
+    Quantities are whole numbers, so their sums and means are the same in any order.
     """
-    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    if nation_fits is None:
-        nation_fits = fits_broadcast(nation, NATION_ROWS)
-    if nation_fits:
-        nation = F.broadcast(nation)
-    fact_rows, years = facts if facts is not None else checkpointed_facts(spark, sf_dir)
-    wide = pivot_years(fact_rows, ["c_nationkey", "c_mktsegment"], "yr", "v", "f", "n",
-                       years=years)
-    return (wide.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-                .drop("c_nationkey"))
+    shipped = (load(spark, sf_dir, "lineitem")
+               .groupBy("l_suppkey", F.year("l_shipdate").alias("Year"))
+               .agg(F.sum("l_quantity").alias("units")))
+    supp = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    return (shipped.join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
+                   .join(nation_names(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey"))
+                   .select(F.col("n_name").alias("Country"), "Year", F.col("n_name").alias("ISO3"),
+                           F.col("units").cast("string").alias("Temperature")))
+
+
+def gdp_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Code, Year, GDP): mean extended price per supplier nation and ship year."""
+    means = supplier_nation_means(spark, sf_dir, {"GDP": "l_extendedprice"})
+    return (means.join(nation_names(spark, sf_dir), F.col("nationkey") == F.col("n_nationkey"))
+                 .select(F.col("n_name").alias("Code"), "Year", "GDP"))
+
+
+def _orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders per nation and year: all, urgent, finished, open."""
+    orders = load(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("Year"))
+    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    one = lambda cond: F.count(F.when(cond, 1))
+    return (orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+                  .groupBy("c_nationkey", "Year")
+                  .agg(one(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+                       one(F.col("o_orderstatus") == "F").alias("finished"),
+                       one(F.col("o_orderstatus") == "O").alias("open"))
+                  .join(nation_names(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")))
+
+
+def corruption_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ISO, Year, CPI): urgent orders, NULL where there are none."""
+    return _orders_by_nation(spark, sf_dir).select(
+        F.col("n_name").alias("ISO"), "Year", F.nullif("urgent", F.lit(0)).alias("CPI"))
+
+
+def urban_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Code, Year, UrbanPopulation, RuralPopulation): finished and open orders."""
+    return _orders_by_nation(spark, sf_dir).select(
+        F.col("n_name").alias("Code"), "Year", F.col("finished").alias("UrbanPopulation"),
+        F.col("open").alias("RuralPopulation"))
+
+
+def star_features(spark: SparkSession, sf_dir: str, version: int = 1,
+                  element: str = "F") -> DataFrame:
+    """JOB-10 (``version=1``) or JOB-11 (``version=2``) on the stand-ins, by the shipped builder."""
+    temperature = mean_temperature(surface_temperature(spark, sf_dir))
+    more = ([corruption_index(spark, sf_dir), gdp_share(spark, sf_dir),
+             urban_population(spark, sf_dir)] if version == 2 else [])
+    return build_features(crop_yield(spark, sf_dir), country_codes(spark, sf_dir), temperature,
+                          *more, element=element)
 
 
 def supplier_nation_means(spark: SparkSession, sf_dir: str,
@@ -146,41 +205,30 @@ def supplier_nation_means(spark: SparkSession, sf_dir: str,
 
 
 
-def customer_nation_mean(spark: SparkSession, sf_dir: str, out: str = "AcctBal") -> DataFrame:
-    """Mean account balance per customer nation: (nationkey, out)."""
-    return (load(spark, sf_dir, "customer")
-            .groupBy(F.col("c_nationkey").alias("nationkey"))
-            .agg((money("c_acctbal") / F.count("c_acctbal")).alias(out)))
-
-
 # Landing checks and writes are serialised within a process, so two queries
 # run from different threads never land the same folder at the same time.
 LANDING_LOCK = threading.RLock()
 
 
-def landed_path(spark: SparkSession, name: str, source: str) -> tuple[str, bool]:
-    """Folder for files landed from ``source`` and whether they are complete.
+def landed_path(spark: SparkSession, name: str, source: str,
+                names: Sequence[str]) -> tuple[str, bool]:
+    """Folder for files landed from tables ``names`` of ``source``, and whether they are complete.
 
     Landed inputs live below the shared checkpoint folder under a name
-    derived from the source, so repeated reads of the same source reuse
-    them. Completeness is a marker written after the last file.
+    derived from the source's files (path, time, length: a refreshed source
+    lands anew), so repeated reads of the same source reuse them. The files are
+    counted and hashed in Spark; one row reaches the driver. Completeness is a
+    marker written after the last file.
     """
-    base = checkpoint_dir(spark)
-    # files and their times are part of the name, so a refreshed source lands anew
-    state = [f"{r[0]}|{r[1]}|{r[2]}" for r in
-             spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source)
-             .select("path", "modificationTime", "length").orderBy("path").collect()]
-    digest = hashlib.sha1("\n".join([name, source, *state]).encode()).hexdigest()[:16]
-    path = f"{base.rstrip('/')}/landed/{name}-{digest}"
-    marker = f"{path}/_landed_marker"
-    local = marker[len("file:"):] if marker.startswith("file:") else marker
-    if marker.startswith("file:") or "://" not in marker:
-        return path, os.path.isdir(local)  # local folder: no Spark job needed
-    try:
-        done = spark.read.text(marker).count() == 1
-    except Exception:  # noqa: BLE001  (missing folder: not landed yet)
-        done = False
-    return path, done
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+             .load([f"{source.rstrip('/')}/{n}.parquet" for n in names]))
+    state = files.agg(F.count("*"), F.sum(F.xxhash64("path", "modificationTime", "length")
+                                          .cast("decimal(20,0)"))).first()
+    digest = hashlib.sha1(f"{name}|{source}|{state[0]}|{state[1]}".encode()).hexdigest()[:16]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/landed/{name}-{digest}"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_landed_marker")
+    fs = marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path, fs.exists(marker)
 
 
 def mark_landed(spark: SparkSession, path: str) -> None:

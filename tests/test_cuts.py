@@ -42,7 +42,7 @@ def test_large_yields_are_kept_and_parts_of_a_version_are_refused(spark):
 def test_a_refreshed_source_lands_anew(spark, tmp_path):
     source = str(tmp_path / "src")
     spark.range(3).write.parquet(f"{source}/t.parquet")
-    before = landed_path(spark, "n", source)[0]
-    assert landed_path(spark, "n", source)[0] == before
+    before = landed_path(spark, "n", source, ["t"])[0]
+    assert landed_path(spark, "n", source, ["t"])[0] == before
     spark.range(30).select(F.col("id") + 1).write.mode("overwrite").parquet(f"{source}/t.parquet")
-    assert landed_path(spark, "n", source)[0] != before
+    assert landed_path(spark, "n", source, ["t"])[0] != before

@@ -42,6 +42,32 @@ def test_hub_join_is_broadcast(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_feature_filters_reach_the_scans(spark):
+    """FLT-2: element and item go through builder, joins and aggregate to the scans."""
+    for query in (queries.q10_feature_join, queries.q10b_feature_join_v2):
+        plan = _plan(query(spark, SF_SMALL))
+        assert "EqualTo(o_orderstatus,F)" in plan and "EqualTo(c_mktsegment,BUILDING)" in plan
+
+
+def test_feature_joins_count_nothing_in_advance(spark):
+    """JON-5: building the six-table star runs no job."""
+    tracker = spark.sparkContext.statusTracker()
+    group = "no-job-before-the-action"
+    spark.sparkContext.setJobGroup(group, "plan only")
+    try:
+        queries.q10b_feature_join_v2(spark, SF_SMALL).explain("simple")
+        # what does run is the footer read of a file for its schema
+        assert not [j for j in tracker.getJobIdsForGroup(group) if (tracker.getJobInfo(j) or 0) and len(tracker.getJobInfo(j).stageIds) > 1]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_unpivot_reads_the_saved_wide_table_only(spark):
+    """RSH-2: one scan, one Generate, no exchange."""
+    plan = _plan(queries.q01_unpivot_years(spark, SF_SMALL)).split("\n\n")[0]
+    assert plan.count("Scan parquet") == 1 and "Generate" in plan and "Exchange" not in plan
+
+
 def test_corr_by_group_is_one_aggregate(spark):
     df = queries.q13_corr_by_group(spark, SF_SMALL)
     plan = _plan(df)
