@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,8 +25,15 @@ def series_range(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def with_series_range(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
-    """Each row with its group's min and max (equi-join on the group keys)."""
-    return df.join(series_range(df, value, by), on=list(by), how="inner")
+    """Each row with its series' min and max (AGG-9): a window over the series, one scan.
+
+    A series is one country's values of one item, a row per year, so a
+    window's rows are few; use ``series_range`` on groups of any size.
+    """
+    if not by:
+        raise ValueError("name the columns that tell series apart, or use series_range")
+    series = Window.partitionBy(*by)
+    return df.withColumns({f"min_{value}": F.min(value).over(series), f"max_{value}": F.max(value).over(series)})
 
 
 def preview(df: DataFrame, n: int = 20, order_by: Sequence[str] = ()) -> DataFrame:

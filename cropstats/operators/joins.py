@@ -1,11 +1,9 @@
 """Join helpers (JON-2..JON-5, FLT-8).
 
-Broadcast policy: a side is broadcast only after its row count has been
-checked against a bound (``bounded_broadcast``); otherwise the join is left to
-the planner, where AQE turns it into a broadcast at run time if the
-materialised side is small, or keeps a sort-merge join (with skew splitting)
-if it is not. Derived aggregates are never counted up front: that would run
-them twice.
+Nothing is counted or hinted when a query is planned. A side is broadcast when
+its size in bytes is known to be under Spark's threshold: from the files, from
+table statistics (``catalog.analyze_table``), or at run time, when AQE sees the
+finished stage below a join. Otherwise the join shuffles, with skew splitting.
 """
 
 from __future__ import annotations
@@ -16,25 +14,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A country-code hub has ~250 rows; stations lists ~40k. Anything larger than
-# this is joined by shuffle.
-DEFAULT_BROADCAST_ROWS = 100_000
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows.
-
-    Reads at most ``max_rows + 1`` rows, so it is cheap on a dimension table
-    and never scans a large one in full.
-    """
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df
-
-
 def filter_to_keys(df: DataFrame, key: str, keys: DataFrame, keys_col: str) -> DataFrame:
     """Keep the rows of ``df`` whose ``key`` is in ``keys``, whatever their number.
 
@@ -53,35 +32,29 @@ class Dim:
     on: Mapping[str, str]
     select: Sequence[str] = field(default_factory=tuple)
     how: str = "inner"
-    broadcast_rows: int | None = None  # check and broadcast if within bound
 
 
 def star_join(fact: DataFrame, dims: Sequence[Dim]) -> DataFrame:
     """Join ``fact`` to each dimension in turn (JON-3/4/5, PRJ-11).
 
-    Dimension columns are brought in under the names in ``Dim.select``; the
-    dimension's key columns are dropped so no name is duplicated. Catalyst
-    prunes columns and pushes filters to each scan; inner-join keys get
-    ``IS NOT NULL`` filters inferred.
+    Dimension columns are brought in under the names in ``Dim.select``, and a
+    later dimension may join on one of them. All renames are in one projection
+    above the joins, so the optimiser sees plain inner joins: it prunes
+    columns, pushes filters to each scan, infers ``IS NOT NULL`` for the keys, and
+    where tables have statistics orders the joins by cost.
     """
+    at = {c: c for c in fact.columns}
     out = fact
     for i, d in enumerate(dims):
-        side = d.df
-        if d.broadcast_rows is not None:
-            side = bounded_broadcast(side, d.broadcast_rows)
-        alias = f"__d{i}"
-        keep = list(d.select)
-        right = side.select(*[F.col(f"`{c}`").alias(f"{alias}_{c}") for c in
-                              dict.fromkeys(list(d.on.values()) + keep)])
-        cond = None
-        for left_col, right_col in d.on.items():
-            c = F.col(f"`{left_col}`") == right[f"`{alias}_{right_col}`"]
-            cond = c if cond is None else cond & c
+        own = {c: f"__d{i}_{c}" for c in dict.fromkeys([*d.on.values(), *d.select])}
+        right = d.df.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+        cond = F.lit(True)
+        for k, (left_col, right_col) in enumerate(d.on.items()):
+            equal = F.col(f"`{at[left_col]}`") == F.col(f"`{own[right_col]}`")
+            cond = equal if k == 0 else cond & equal
         out = out.join(right, cond, d.how)
-        out = out.select(*[F.col(f"`{c}`") for c in out.columns
-                           if not c.startswith(alias + "_")],
-                         *[F.col(f"`{alias}_{c}`").alias(c) for c in keep])
-    return out
+        at |= {c: own[c] for c in d.select}
+    return out.select(*[F.col(f"`{a}`").alias(c) for c, a in at.items()])
 
 
 def keys_present_in(dim: DataFrame, facts: DataFrame, dim_key: str, fact_key: str,

@@ -73,8 +73,9 @@ def analyze(spark: SparkSession, database: str, fmt: str = "parquet",
     v1 = catalog.table(spark, f"{database}.features_v1")
     v2 = catalog.table(spark, f"{database}.features_v2")
     if series:
-        points, r = jobs.series_correlation(v1, *series)
+        points, ranges, r = jobs.series_correlation(v1, *series)
         save(points, "series_points")
+        save(ranges, "series_range")
         save(r, "series_r")
     overall, by_group = jobs.correlation_tables(v2)
     save(overall, "correlations_overall")
@@ -83,6 +84,8 @@ def analyze(spark: SparkSession, database: str, fmt: str = "parquet",
          "correlations_temperature_yield")
     save(jobs.pca_by_country(v2, with_categories=True), "pca_by_country")
     save(jobs.pca_by_country(v2, with_categories=False), "pca_by_country_numeric")
+    for name in recipes:
+        save(jobs.scored_table(v1 if name == "m1" else v2, name)[0], f"scored_{name}")
     metrics = None
     for name in recipes:
         data = v1 if name == "m1" else v2

@@ -51,6 +51,14 @@ def _name(database: str, table: str) -> str:
     return f"{database}.{table}"
 
 
+def _saved(df: DataFrame, database: str, table: str, fmt: str, **layout) -> DataFrame:
+    """``df`` written as a catalog table with statistics; the table, so nothing reads the input again."""
+    name = _name(database, table)
+    catalog.save_table(df, name, fmt, **layout)
+    catalog.analyze_table(df.sparkSession, name)
+    return catalog.table(df.sparkSession, name)
+
+
 # --- loaders ----------------------------------------------------------------------
 
 def production_long(raw: DataFrame, keep_cpc: bool = False, row_id: bool = False,
@@ -87,11 +95,26 @@ def read_production(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_production(spark: SparkSession, path: str, database: str = DATABASE,
-                    fmt: str = "parquet", **kw) -> DataFrame:
-    """JOB-1: production statistics → ``crop_yield``."""
+                    fmt: str = "parquet", buckets: int | None = None,
+                    years: Sequence[int] | None = None, **kw) -> DataFrame:
+    """JOB-1: production statistics → ``crop_yield``.
+
+    With ``buckets`` the table is laid out by year and, inside, by the area
+    code of the hub join, so a join with a hub of as many buckets shuffles
+    neither side. With ``years`` only those years are written again; the table's
+    other years stay.
+    """
     out = production_long(read_production(spark, path), **kw)
-    catalog.save_table(out, _name(database, schemas.TABLES["crop_yield"]), fmt)
-    return out
+    table = schemas.TABLES["crop_yield"]
+    keys = (buckets, ["AreaCodeM49"]) if buckets else None
+    if years is not None:
+        catalog.replace_partitions(out.where(F.col("Year").isin([int(y) for y in years])),
+                                   _name(database, table), fmt, ["Year"], keys)
+        catalog.analyze_table(spark, _name(database, table))
+        return catalog.table(spark, _name(database, table))
+    if not buckets:
+        return _saved(out, database, table, fmt)
+    return _saved(out, database, table, fmt, partition_by=["Year"], bucket_by=keys, sort_by=keys[1])
 
 
 def load_urban_population(spark: SparkSession, path: str, database: str = DATABASE,
@@ -99,8 +122,7 @@ def load_urban_population(spark: SparkSession, path: str, database: str = DATABA
     """JOB-2: urban / rural population → ``urban_population``."""
     df = rename(files.read_delimited(spark, path, schemas.URBAN_POPULATION),
                 schemas.RENAMES["urban_population"])
-    catalog.save_table(df, _name(database, schemas.TABLES["urban_population"]), fmt)
-    return df
+    return _saved(df, database, schemas.TABLES["urban_population"], fmt)
 
 
 def load_gdp_share(spark: SparkSession, path: str, database: str = DATABASE,
@@ -108,8 +130,7 @@ def load_gdp_share(spark: SparkSession, path: str, database: str = DATABASE,
     """JOB-3: agriculture share of GDP → ``share_of_gdp``."""
     df = rename(files.read_delimited(spark, path, schemas.GDP_SHARE),
                 schemas.RENAMES["share_of_gdp"])
-    catalog.save_table(df, _name(database, schemas.TABLES["share_of_gdp"]), fmt)
-    return df
+    return _saved(df, database, schemas.TABLES["share_of_gdp"], fmt)
 
 
 def religion_long(sheet: DataFrame) -> DataFrame:
@@ -132,8 +153,7 @@ def load_religion(spark: SparkSession, path: str, database: str = DATABASE,
     """JOB-4: religious composition (sheet exported as CSV) → ``religious_composition``."""
     sheet = files.read_delimited(spark, path, infer=False)  # text, bound by header name
     out = religion_long(sheet)
-    catalog.save_table(out, _name(database, schemas.TABLES["religious_composition"]), fmt)
-    return out
+    return _saved(out, database, schemas.TABLES["religious_composition"], fmt)
 
 
 def corruption_index(spark: SparkSession, yearly_path: str | Sequence[str], sheet_path: str,
@@ -167,8 +187,7 @@ def load_corruption(spark: SparkSession, yearly_path: str | Sequence[str], sheet
                     database: str = DATABASE, fmt: str = "parquet") -> DataFrame:
     """JOB-5 → ``corruption_index``."""
     out = corruption_index(spark, yearly_path, sheet_path)
-    catalog.save_table(out, _name(database, schemas.TABLES["corruption_index"]), fmt)
-    return out
+    return _saved(out, database, schemas.TABLES["corruption_index"], fmt)
 
 
 def emissions(raw: DataFrame, after_year: int = 1960) -> DataFrame:
@@ -182,8 +201,7 @@ def load_emissions(spark: SparkSession, path: str, database: str = DATABASE,
                    fmt: str = "parquet") -> DataFrame:
     """JOB-6 → ``temperature_change_by_greenhouse_emissions``."""
     out = emissions(files.read_delimited(spark, path, schemas.EMISSION_CONTRIBUTION))
-    catalog.save_table(out, _name(database, schemas.TABLES["emissions"]), fmt)
-    return out
+    return _saved(out, database, schemas.TABLES["emissions"], fmt)
 
 
 def surface_temperature(raw: DataFrame, after_year: int = 1960) -> DataFrame:
@@ -198,17 +216,16 @@ def load_surface_temperature(spark: SparkSession, path: str, database: str = DAT
                              fmt: str = "parquet") -> DataFrame:
     """JOB-7 → ``average_surface_temperature``."""
     out = surface_temperature(files.read_delimited(spark, path, schemas.SURFACE_TEMPERATURE))
-    catalog.save_table(out, _name(database, schemas.TABLES["temperature"]), fmt)
-    return out
+    return _saved(out, database, schemas.TABLES["temperature"], fmt)
 
 
 def load_country_codes(spark: SparkSession, path: str, database: str = DATABASE,
-                       fmt: str = "parquet") -> DataFrame:
-    """JOB-8: country codes hub → ``country_codes``."""
+                       fmt: str = "parquet", buckets: int | None = None) -> DataFrame:
+    """JOB-8: country codes hub → ``country_codes``; ``buckets`` as in ``load_production``."""
     df = rename(files.read_delimited(spark, path, schemas.COUNTRY_CODES),
                 schemas.RENAMES["country_codes"])
-    catalog.save_table(df, _name(database, schemas.TABLES["country_codes"]), fmt)
-    return df
+    layout = {"bucket_by": (buckets, ["ISONum"]), "sort_by": ["ISONum"]} if buckets else {}
+    return _saved(df, database, schemas.TABLES["country_codes"], fmt, **layout)
 
 
 def country_weather(stations: DataFrame, daily: DataFrame, country_codes: DataFrame,
@@ -217,15 +234,13 @@ def country_weather(stations: DataFrame, daily: DataFrame, country_codes: DataFr
     """JOB-9 transform: station readings → country-year weather.
 
     Countries = codes that occur in the yield facts (semi join); stations of
-    those countries (broadcast after a size check); readings of those
-    stations; per station-year, then per country-year.
+    those countries; readings of those stations; per station-year, then per
+    country-year.
     """
     countries = keys_present_in(country_codes, crop_yield, "ISONum", "AreaCodeM49",
                                 ["ISO2", "ISONum", "CountryCommon"])
     station_country = weather.stations_with_country(stations, countries)
-    # readings of wanted stations only: a map-side filter when the station list
-    # is small; otherwise the inner join in country_year filters the
-    # per-station-year figures after the aggregate
+    # readings of wanted stations only, before they are aggregated
     readings = filter_to_keys(daily, "StationId", station_country, "id")
     per_station = weather.station_year(readings, "StationId", "Date", first_year, last_year)
     return weather.country_year(
@@ -240,8 +255,7 @@ def load_weather(spark: SparkSession, stations_path: str, daily_path: str,
                           files.read_station_daily(spark, daily_path),
                           catalog.table(spark, _name(database, schemas.TABLES["country_codes"])),
                           catalog.table(spark, _name(database, schemas.TABLES["crop_yield"])))
-    catalog.save_table(out, _name(database, schemas.TABLES["weather_data"]), fmt)
-    return out
+    return _saved(out, database, schemas.TABLES["weather_data"], fmt)
 
 
 # --- analysis --------------------------------------------------------------------
@@ -259,14 +273,15 @@ def feature_table(spark: SparkSession, version: int = 2, database: str = DATABAS
                                    t("urban_population"), null_yield=null_yield)
 
 
-def series_correlation(feature_df: DataFrame, country: str, item: str,
-                       x: str = "Temperature", y: str = "Yield") -> tuple[DataFrame, DataFrame]:
-    """JOB-12: one country-item series with its range, and Pearson r of x and y."""
+def series_correlation(feature_df: DataFrame, country: str, item: str, x: str = "Temperature",
+                       y: str = "Yield") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """JOB-12: one country-item series, the range of both its values, and Pearson r of x and y."""
     series = features.select_series(feature_df, {"Country": country, "Item": item},
-                                    ["Year", y, x], order_by=["Year"])
+                                    ["Year", y, x])
+    ranges = series.agg(*[f(c).alias(f"{n}_{c}") for c in (y, x) for n, f in (("min", F.min), ("max", F.max))])
     r = stats.corr_pairs(series, [x, y], include_diagonal=False).where(
         (F.col("var_x") == x) & (F.col("var_y") == y)).select("r")
-    return series, r
+    return series.orderBy("Year"), ranges, r
 
 
 def _split(data: DataFrame, train_percent: int, seed: int | None,
@@ -343,13 +358,17 @@ def pca_by_country(feature_df: DataFrame, with_categories: bool = True) -> DataF
             .agg(F.avg("PC1").alias("PC1"), F.avg("PC2").alias("PC2")))
 
 
-def explore_production(raw: DataFrame, item: str, area: str) -> dict[str, DataFrame]:
-    """JOB-16: rows per item, areas of one item, elements of one item in one area."""
+def explore_production(raw: DataFrame, item: str, area: str,
+                       years: Sequence[int] = ()) -> dict[str, DataFrame]:
+    """JOB-16: rows per item, areas of one item, elements of one item in one area.
+
+    ``years`` adds those years' value columns (``Y<year>``) to the last.
+    """
     it, ar = item.replace("'", "''"), area.replace("'", "''")
     return {
         "item_counts": explore.value_counts(raw, "Item"),
         "areas_of_item": explore.members(raw, f"Item == '{it}'", ["Area"]),
         "elements": explore.members(
             raw, f"Item == '{it}' AND Area == '{ar}'",
-            ["Area", "Item", "Element", "Unit"]),
+            ["Area", "Item", "Element", "Unit", *[f"Y{int(y)}" for y in years]]),
     }

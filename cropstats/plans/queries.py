@@ -6,15 +6,16 @@ Each query takes ``(spark, sf_dir)`` and reads whole tables from
 sides. Results are compared exactly, so sums never depend on the order
 partial results are combined in: money is summed as integer cents in Spark
 and as ``DECIMAL(18,2)`` in DuckDB (the same exact total, the same nearest
-double); averages of two-decimal readings use Spark's ``decimal`` average,
-which the oracle reproduces in integer arithmetic (``_sql_half_up_div``);
-``sql_round`` rounds in DuckDB the way Spark's ``round`` does. Queries
-without a SQL closed form (regression recipes, PCA of several features) have
-no oracle and are tested against numpy in ``tests/test_queries.py``.
+double); two-decimal readings are given as whole cents, whose sums and means
+are exact; ``sql_round`` rounds in DuckDB the way Spark's ``round`` does.
+Regressions and principal components are solved in SQL too, by elimination and
+by repeated squaring; recipe m3 has no oracle and is tested against numpy in
+``tests/test_queries.py``.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
@@ -36,7 +37,6 @@ from cropstats.functions.clean import (
 from cropstats.operators import linear
 from cropstats.operators.explore import members, value_counts, with_series_range
 from cropstats.operators.joins import (
-    filter_to_keys,
     keys_present_in,
 )
 from cropstats.operators.ml import (
@@ -54,17 +54,17 @@ from cropstats.operators.ml import (
 )
 from cropstats.operators.reshape import explode_measures, unpivot_years
 from cropstats.operators.stats import corr_matrix, corr_pairs, matrix_to_long
+from cropstats.operators.wide_stats import corr_wide
 from cropstats.operators.weather import (
     Measure,
     combine_stations,
-    country_year,
     station_period,
     station_year,
-    stations_with_country,
 )
-from cropstats.plans.jobs import SCORED, regression, scored_table
+from cropstats.plans.jobs import SCORED, country_weather, regression, scored_table
 from cropstats.plans.tables import (
     LANDING_LOCK,
+    crop_yield,
     land_csv,
     landed_path,
     load,
@@ -247,6 +247,21 @@ def q13c_corr_features_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
                       by=["Country"], digits=4)
 
 
+DIMENSIONS, SLICES = 64, 4
+
+
+@register("q13d_corr_many_columns", f"""
+WITH e AS (SELECT vec_id % {SLICES} AS slice, vec_id, unnest(embedding) AS x, unnest(range({DIMENSIONS})) AS i FROM embeddings)
+SELECT a.slice, 'd' || a.i AS var_x, 'd' || b.i AS var_y,
+       round(CASE WHEN isnan(corr(a.x::DOUBLE, b.x::DOUBLE)) THEN NULL ELSE corr(a.x::DOUBLE, b.x::DOUBLE) END, 6) + CAST(0 AS DOUBLE) AS r
+FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2, 3""")
+def q13d_corr_many_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-2/STA-3 over 64 columns: every pair of embedding dimensions per slice, one job."""
+    vectors = load(spark, sf_dir, "embeddings").select(
+        F.pmod("vec_id", F.lit(SLICES)).alias("slice"), *[F.get("embedding", F.lit(i)).alias(f"d{i}") for i in range(DIMENSIONS)])
+    return corr_wide(vectors, [f"d{i}" for i in range(DIMENSIONS)], ["slice"], digits=6)
+
+
 # --- Q03..Q09: reshaping, cleaning, unions, semi joins --------------------------------
 
 @register("q03_explode_measures", """
@@ -332,19 +347,20 @@ def q08_union_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-2, SET-1, SET-2, PRJ-5: per-year files in two column layouts, unioned by name.
 
     The orders are landed (once per source folder) as one CSV folder per year,
-    even years in one column order, odd years reordered with an extra column;
+    even years in one column order, odd years reordered, with an extra column
+    and names in another case;
     the query reads them back with the year taken from the path.
     """
     with LANDING_LOCK:
-        base, done = landed_path(spark, "orders-by-year", sf_dir, ["orders"])
+        base, done = landed_path(spark, "orders-by-year-2", sf_dir, ["orders"])
         if not done:
             orders = load(spark, sf_dir, "orders").select(
                 "o_orderkey", "o_custkey", "o_totalprice", F.year("o_orderdate").alias("yr"))
             even = F.pmod(F.col("yr"), F.lit(2)) == 0
             land_csv(orders.where(even).select("o_orderkey", "o_custkey", "o_totalprice", "yr"),
                      f"{base}/layout_a", "yr")
-            land_csv(orders.where(~even).select("o_totalprice", F.lit("x").alias("note"),
-                                                "o_custkey", "o_orderkey", "yr"),
+            land_csv(orders.where(~even).select(F.col("o_totalprice").alias("O_TotalPrice"), F.lit("x").alias("note"),
+                                                "o_custkey", F.col("o_orderkey").alias("O_ORDERKEY"), "yr"),
                      f"{base}/layout_b", "yr")
             mark_landed(spark, base)
     return read_yearly_files(spark, base, {"o_orderkey": "bigint", "o_custkey": "bigint",
@@ -370,46 +386,33 @@ EVENT_MEASURES = (
 )
 
 
-def _sql_half_up_div(num: str, den: str) -> str:
-    """Integer ``num / den`` rounded half away from zero (den > 0)."""
-    return (f"(sign({num}) * ((abs(CAST({num} AS HUGEINT)) * 2 + {den}) // (2 * ({den}))))")
+def whole_cents(c: str) -> F.Column:
+    """Two-decimal readings as whole numbers: sums and means of them are exact in any order."""
+    return F.rint(F.col(c) * 100)
+
+
+SQL_CENTS = "CAST(round(value * 100) AS BIGINT)"
 
 
-# Oracle in exact integers: cents → station means in 1e-6 units (Spark's
-# decimal avg scale) → country means in 1e-10 units → cents, each step
-# rounded half-up like Spark's decimal arithmetic.
-@register("q11_two_level_agg", """
+@register("q11_two_level_agg", f"""
 WITH st AS (
-  SELECT event_type, user_id, CAST(ts AS DATE) AS "Day",
-         SUM(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT)) AS sc, COUNT(value) AS n,
-         min(value) AS mn, max(value) AS mx
-  FROM events GROUP BY 1, 2, 3),
-st6 AS (
-  SELECT *, CASE WHEN n > 0 THEN """ + _sql_half_up_div("sc * 10000", "n") + """ END AS m6
-  FROM st),
-c AS (
-  SELECT event_type, "Day", SUM(m6) AS s6, COUNT(m6) AS k, min(mn) AS mn, max(mx) AS mx,
-         COALESCE(SUM(sc), 0) AS tc
-  FROM st6 GROUP BY 1, 2),
-c10 AS (SELECT *, """ + _sql_half_up_div("s6 * 10000", "k") + """ AS a10 FROM c)
-SELECT event_type, "Day",
-       CAST(""" + _sql_half_up_div("a10", "100000000") + """ AS DOUBLE) / 100 AS "AverageValue",
-       mn AS "MinimumValue", mx AS "MaximumValue", CAST(tc AS DOUBLE) / 100 AS "TotalValue"
-FROM c10""")
+  SELECT event_type, user_id, CAST(ts AS DATE) AS "Day", AVG({SQL_CENTS}) AS m,
+         min({SQL_CENTS}) AS mn, max({SQL_CENTS}) AS mx, CAST(COALESCE(SUM({SQL_CENTS}), 0) AS DOUBLE) AS tc
+  FROM events GROUP BY 1, 2, 3)
+SELECT event_type, "Day", {sql_round("avg(m)", 2)} AS "AverageValue",
+       CAST(min(mn) AS DOUBLE) AS "MinimumValue", CAST(max(mx) AS DOUBLE) AS "MaximumValue", sum(tc) AS "TotalValue"
+FROM st GROUP BY 1, 2""")
 def q11_two_level_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-3/4/5, FN-10: per (station, day) figures, then per (country, day).
 
     Station = (event type, user), country = event type: each station belongs
-    to one country, as in the weather job. Values are aggregated as
-    ``decimal(18,2)``, so both averaging levels are exact and the result does
-    not depend on the order partial sums are combined in.
+    to one country, as in the weather job. Readings are whole cents, so a
+    station's mean is the exact sum over the count.
     """
-    events = load(spark, sf_dir, "events").withColumn(
-        "value", F.col("value").cast("decimal(18,2)"))
+    events = load(spark, sf_dir, "events").withColumn("value", whole_cents("value"))
     per_station = station_period(events, ["event_type", "user_id"],
                                  F.to_date("ts"), "Day", EVENT_MEASURES)
-    out = combine_stations(per_station, ["event_type", "Day"], EVENT_MEASURES)
-    return out.withColumns({m.name: F.col(m.name).cast("double") for m in EVENT_MEASURES})
+    return combine_stations(per_station, ["event_type", "Day"], EVENT_MEASURES)
 
 
 # --- Q12..Q14: correlations ---------------------------------------------------------------
@@ -854,11 +857,12 @@ def q26_lookup_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q27_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CAT-1, CAT-2, SNK-1, SRC-6: create a database, save a table, read it back."""
     db = "cropstats_roundtrip"
-    ensure_database(spark, db, scratch_path(spark, "warehouse"))
+    ensure_database(spark, db, f"{checkpoint_dir(spark).rstrip('/')}/warehouse/{db}")
     if db not in databases(spark):
         raise RuntimeError(f"database {db} not listed")
-    save_table(load(spark, sf_dir, "nation"), f"{db}.nation", fmt="parquet")
-    return table(spark, f"{db}.nation")
+    name = f"{db}.nation_{hashlib.sha1(sf_dir.encode()).hexdigest()[:12]}"  # one table per source
+    save_table(load(spark, sf_dir, "nation"), name, fmt="parquet")
+    return table(spark, name)
 
 
 MESSY_NAMES = {"p_partkey": "Part Key (ID)", "p_name": "Part Name", "p_brand": "Part Brand",
@@ -872,58 +876,48 @@ def q28_clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_names(rename(load(spark, sf_dir, "part"), MESSY_NAMES))
 
 
+#: Station files that are landed, whatever the number of users.
+STATIONS = 64
+
+
+def daily_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the daily weather schema: whole cents as temperatures and precipitation, the other readings missing."""
+    v, none = whole_cents("value"), F.lit(None)
+    return load(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("Date"), v.alias("AverageTemperature"),
+        v.alias("MinimumTemperature"), v.alias("MaximumTemperature"),
+        v.alias("Precipitation"), none.cast("double").alias("SnowDepth"),
+        none.cast("int").alias("WindDirection"), none.cast("double").alias("WindSpeed"),
+        none.cast("double").alias("PeakWindGust"),
+        none.cast("double").alias("SeaLevelPressure"),
+        none.cast("double").alias("SunshineDuration"), "user_id")
+
+
 def land_station_files(spark: SparkSession, sf_dir: str) -> str:
-    """Land events as headerless gzip CSV, one folder per user (once per source).
+    """Land events as headerless gzip CSV, one folder per station (once per source).
 
-    Daily schema: the value in the temperature and precipitation columns, the
-    other readings missing. Returns the landing folder (files under
+    A station stands for the users of one remainder, so the number of files
+    does not grow with the users. Returns the landing folder (files under
     ``daily/``).
     """
     with LANDING_LOCK:
         base, done = landed_path(spark, "station-daily", sf_dir, ["events"])
         if not done:
-            v = F.col("value").cast("double")
-            none = F.lit(None)
-            daily = load(spark, sf_dir, "events").select(
-                F.to_date("ts").alias("Date"), v.alias("AverageTemperature"),
-                v.alias("MinimumTemperature"), v.alias("MaximumTemperature"),
-                v.alias("Precipitation"), none.cast("double").alias("SnowDepth"),
-                none.cast("int").alias("WindDirection"), none.cast("double").alias("WindSpeed"),
-                none.cast("double").alias("PeakWindGust"),
-                none.cast("double").alias("SeaLevelPressure"),
-                none.cast("double").alias("SunshineDuration"), "user_id")
-            land_csv(daily, f"{base}/daily", "user_id", header=False, compression="gzip")
+            daily = daily_readings(spark, sf_dir).withColumn("station", F.pmod("user_id", F.lit(STATIONS))).drop("user_id")
+            land_csv(daily, f"{base}/daily", "station", header=False, compression="gzip")
             mark_landed(spark, base)
     return base
 
 
-EXACT_READINGS = ["AverageTemperature", "MinimumTemperature", "MaximumTemperature",
-                  "Precipitation"]
-
-
-def exact_station_year(readings: DataFrame) -> DataFrame:
-    """Station-year figures over two-decimal readings, aggregated exactly."""
-    readings = readings.withColumns(
-        {c: F.col(c).cast("decimal(18,2)") for c in EXACT_READINGS})
-    figures = station_year(readings, "StationId", "Date", first_year=None, last_year=None)
-    return figures.withColumns({c: F.col(c).cast("double") for c in EXACT_READINGS})
-
-
-SQL_STATION_YEAR = """
-WITH st AS (
-  SELECT user_id, CAST(year(ts) AS INTEGER) AS yr,
-         SUM(CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT)) AS sc, COUNT(value) AS n,
-         min(value) AS mn, max(value) AS mx
-  FROM events GROUP BY 1, 2)
-SELECT CAST(user_id AS VARCHAR) AS "StationId", yr AS "Year",
-       CAST(""" + _sql_half_up_div("sc * 10000", "n") + """ AS DOUBLE) / 1000000
-         AS "AverageTemperature",
-       mn AS "MinimumTemperature", mx AS "MaximumTemperature",
-       CAST(sc AS DOUBLE) / 100 AS "Precipitation",
+SQL_STATION_YEAR = f"""
+SELECT CAST(user_id % {STATIONS} AS VARCHAR) AS "StationId", CAST(year(ts) AS INTEGER) AS "Year",
+       AVG({SQL_CENTS}) AS "AverageTemperature",
+       CAST(min({SQL_CENTS}) AS DOUBLE) AS "MinimumTemperature", CAST(max({SQL_CENTS}) AS DOUBLE) AS "MaximumTemperature",
+       CAST(SUM({SQL_CENTS}) AS DOUBLE) AS "Precipitation",
        CAST(NULL AS DOUBLE) AS "SnowDepth", CAST(NULL AS DOUBLE) AS "WindSpeed",
        CAST(NULL AS DOUBLE) AS "PeakWindGust", CAST(NULL AS DOUBLE) AS "SeaLevelPressure",
        CAST(0 AS BIGINT) AS "SunshineDuration"
-FROM st"""
+FROM events GROUP BY 1, 2"""
 
 
 @register("q29_station_files", SQL_STATION_YEAR)
@@ -934,81 +928,71 @@ def q29_station_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     query reads them in one scan with the station id taken from the path.
     """
     base = land_station_files(spark, sf_dir)
-    readings = read_station_daily(spark, f"{base}/daily", id_regex=r"user_id=([^/]+)/")
-    return exact_station_year(readings)  # the landed readings have two decimals
+    readings = read_station_daily(spark, f"{base}/daily", id_regex=r"station=([^/]+)/")
+    return station_year(readings, "StationId", "Date", first_year=None, last_year=None)
 
 
 # --- Q30/Q31: the weather job chain and the sheet-export reader on driver tables ------
 
-@register("q30_weather_job", """
-WITH countries AS (
-  SELECT DISTINCT n.n_nationkey, n.n_name FROM nation n
-  WHERE n.n_nationkey IN (SELECT c_nationkey FROM customer)),
-stations AS (
-  SELECT c.c_custkey AS id, k.n_nationkey, k.n_name
-  FROM customer c JOIN countries k ON c.c_nationkey = k.n_nationkey),
-st AS (
-  SELECT e.user_id, CAST(year(e.ts) AS INTEGER) AS yr,
-         SUM(CAST(CAST(e.value AS DECIMAL(18,2)) * 100 AS BIGINT)) AS sc, COUNT(e.value) AS n,
-         min(e.value) AS mn, max(e.value) AS mx
-  FROM events e WHERE e.user_id IN (SELECT id FROM stations) GROUP BY 1, 2),
-st6 AS (
-  SELECT st.*, s.n_nationkey, s.n_name,
-         CASE WHEN n > 0 THEN """ + _sql_half_up_div("sc * 10000", "n") + """ END AS m6
-  FROM st JOIN stations s ON s.id = st.user_id),
-c AS (
-  SELECT yr, n_nationkey, n_name, SUM(m6) AS s6, COUNT(m6) AS k, min(mn) AS mn,
-         max(mx) AS mx, COALESCE(SUM(sc), 0) AS tc
-  FROM st6 GROUP BY 1, 2, 3),
-c10 AS (SELECT *, """ + _sql_half_up_div("s6 * 10000", "k") + """ AS a10 FROM c)
-SELECT yr AS "Year", n_nationkey, n_name,
-       CAST(""" + _sql_half_up_div("a10", "100000000") + """ AS DOUBLE) / 100 AS "AverageValue",
-       mn AS "MinimumValue", mx AS "MaximumValue", CAST(tc AS DOUBLE) / 100 AS "TotalValue"
-FROM c10""")
+@register("q30_weather_job", f"""
+WITH st AS (
+  SELECT user_id, CAST(year(ts) AS INTEGER) AS "Year", AVG({SQL_CENTS}) AS m, min({SQL_CENTS}) AS mn, max({SQL_CENTS}) AS mx,
+         CAST(COALESCE(SUM({SQL_CENTS}), 0) AS DOUBLE) AS tc
+  FROM events WHERE year(ts) BETWEEN 1960 AND 2100 GROUP BY 1, 2)
+SELECT "Year", 'N' || c_nationkey AS "ISO2", n_name AS "Country", {sql_round("avg(m)", 2)} AS "AverageTemperature",
+       CAST(min(mn) AS DOUBLE) AS "MinimumTemperature", CAST(max(mx) AS DOUBLE) AS "MaximumTemperature", sum(tc) AS "Precipitation",
+       CAST(NULL AS DOUBLE) AS "SnowDepth", CAST(NULL AS DOUBLE) AS "WindSpeed", CAST(NULL AS DOUBLE) AS "PeakWindGust",
+       CAST(NULL AS DOUBLE) AS "SeaLevelPressure", CAST(0 AS BIGINT) AS "SunshineDuration"
+FROM st JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey
+WHERE c_nationkey IN (SELECT c_nationkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F')
+GROUP BY 1, 2, 3""")
 def q30_weather_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOB-9 chain: FLT-8/AGG-7 → JON-2 → readings of wanted stations → AGG-4 → AGG-3/5.
+    """JOB-9 by ``country_weather``: FLT-8/AGG-7 → JON-2 → readings of wanted stations → AGG-4 → AGG-3/5.
 
     Customers stand for stations (id = custkey, country = nation), events for
-    the daily readings of the station with the same id. Countries are the
-    nations that occur in the facts; readings are those of stations in them.
+    the daily readings of the station with the same id, nations with yield facts
+    (finished orders) for the countries.
     """
-    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    customers = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    countries = keys_present_in(nation, customers, "n_nationkey", "c_nationkey")
-    stations = stations_with_country(customers, countries, "c_nationkey", "n_nationkey")
-    readings = filter_to_keys(
-        load(spark, sf_dir, "events")
-        .select("user_id", "ts", F.col("value").cast("decimal(18,2)").alias("value")),
-        "user_id", stations, "c_custkey")
-    per_station = station_period(readings, ["user_id"], F.year("ts"), "Year", EVENT_MEASURES)
-    out = country_year(per_station, stations.select(F.col("c_custkey").alias("id"),
-                                                    "n_nationkey", "n_name"),
-                       station_col="user_id", keys=("Year", "n_nationkey", "n_name"),
-                       measures=EVENT_MEASURES)
-    return out.withColumns({m.name: F.col(m.name).cast("double") for m in EVENT_MEASURES})
-
-
-@register("q31_sheet_export", """
-SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier""")
+    iso2 = lambda c: F.concat(F.lit("N"), F.col(c).cast("string"))
+    stations = load(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("id"), iso2("c_nationkey").alias("country"))
+    daily = daily_readings(spark, sf_dir).withColumn("StationId", F.col("user_id").cast("string"))
+    codes = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ISONum"), iso2("n_nationkey").alias("ISO2"),
+                                                 F.col("n_name").alias("CountryCommon"))
+    facts = crop_yield(spark, sf_dir).where("Element = 'F'")
+    return country_weather(stations, daily, codes, facts, 1960, 2100)
+
+
+SHEETS = 8
+
+
+@register("q31_sheet_export", f"""
+SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_name, s_acctbal FROM supplier
+UNION ALL
+SELECT CAST(NULL AS BIGINT), 'Total, sheet ' || (s_suppkey % {SHEETS}), CAST(count(*) AS DOUBLE)
+FROM supplier GROUP BY s_suppkey % {SHEETS}""")
 def q31_sheet_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-5: a table saved as a sheet export — title and total rows around the
-    data, a header in every part file — read back by header name and key pattern."""
+    """SRC-5: tables saved as sheets — title lines, a header below them, rows, and
+    a total with a blank key — read back whole by header name."""
     with LANDING_LOCK:
-        base, done = landed_path(spark, "supplier-sheet", sf_dir, ["supplier"])
+        base, done = landed_path(spark, "supplier-sheets", sf_dir, ["supplier"])
         if not done:
-            supp = load(spark, sf_dir, "supplier").select(
-                F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name", "s_nationkey",
-                F.col("s_acctbal").cast("string").alias("s_acctbal"))
-            notes = spark.createDataFrame(
-                [("Supplier sheet export", None, None, None), (None, None, None, None),
-                 ("Total", None, None, None)],
-                "s_suppkey string, s_name string, s_nationkey int, s_acctbal string")
-            (supp.unionByName(notes).write.mode("overwrite").option("header", True)
-             .csv(f"{base}/sheet"))
+            sheet = F.pmod(F.col("s_suppkey"), F.lit(SHEETS)).alias("sheet")
+            supp = load(spark, sf_dir, "supplier")
+            rows = supp.select(sheet, F.lit(1).alias("part"), F.col("s_suppkey").alias("at"),
+                               F.to_csv(F.struct("s_suppkey", "s_name", "s_nationkey", "s_acctbal")).alias("line"))
+            totals = supp.groupBy(sheet).count().select(
+                "sheet", F.lit(2).alias("part"), F.lit(0).cast("long").alias("at"),
+                F.concat(F.lit(',"Total, sheet '), "sheet", F.lit('",,'), "count").alias("line"))
+            heads = totals.select("sheet", F.lit(0).alias("part"),
+                                  F.posexplode(F.array(F.lit("Supplier sheet export,,,"), F.lit(",,,"),
+                                                       F.lit("S_SuppKey,s_name,s_nationkey,s_acctbal"))).alias("at", "line"))
+            (rows.unionByName(totals).unionByName(heads).repartition("sheet")
+             .sortWithinPartitions("sheet", "part", "at").select("sheet", "line")
+             .write.mode("overwrite").partitionBy("sheet").text(f"{base}/sheets"))
             mark_landed(spark, base)
-    return read_sheet_export(spark, f"{base}/sheet",
-                             {"s_suppkey": "bigint", "s_name": "string", "s_acctbal": "double"},
-                             key_col="s_name", key_regex=r"^Supplier#\d+$")
+    return read_sheet_export(spark, f"{base}/sheets/*", {"s_suppkey": "bigint", "s_name": "string", "s_acctbal": "double"},
+                             key_col="s_suppkey")
 
 
 @register("q32_stream_ingest", SQL_STATION_YEAR)
@@ -1024,5 +1008,5 @@ def q32_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     target, ckpt = f"{base}/ingested", f"{base}/ingest_checkpoint"
     with LANDING_LOCK:  # one run at a time per checkpoint location
         ingest_station_files(spark, f"{base}/daily", target, ckpt,
-                             id_regex=r"user_id=([^/]+)/").awaitTermination()
-    return exact_station_year(spark.read.parquet(target))
+                             id_regex=r"station=([^/]+)/").awaitTermination()
+    return station_year(spark.read.parquet(target), "StationId", "Date", first_year=None, last_year=None)

@@ -146,7 +146,7 @@ def gdp_share(spark: SparkSession, sf_dir: str) -> DataFrame:
                  .select(F.col("n_name").alias("Code"), "Year", "GDP"))
 
 
-def _orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders per nation and year: all, urgent, finished, open."""
     orders = load(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderstatus", "o_orderpriority", F.year("o_orderdate").alias("Year"))
@@ -162,13 +162,13 @@ def _orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corruption_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ISO, Year, CPI): urgent orders, NULL where there are none."""
-    return _orders_by_nation(spark, sf_dir).select(
+    return orders_by_nation(spark, sf_dir).select(
         F.col("n_name").alias("ISO"), "Year", F.nullif("urgent", F.lit(0)).alias("CPI"))
 
 
 def urban_population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(Code, Year, UrbanPopulation, RuralPopulation): finished and open orders."""
-    return _orders_by_nation(spark, sf_dir).select(
+    return orders_by_nation(spark, sf_dir).select(
         F.col("n_name").alias("Code"), "Year", F.col("finished").alias("UrbanPopulation"),
         F.col("open").alias("RuralPopulation"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,46 @@ def save_table(df: DataFrame, name: str, fmt: str = "parquet", mode: str = "over
     writer.saveAsTable(name)
 
 
+def replace_partitions(df: DataFrame, name: str, fmt: str = "parquet", partition_by: Sequence[str] = ("Year",),
+                       bucket_by: tuple[int, Sequence[str]] | None = None) -> None:
+    """Write ``df`` over the partitions that it has rows of; the table's other partitions stay (SNK-1).
+
+    Creates the table, so laid out, where it is missing. The write runs in a
+    session of its own with dynamic partition overwrite, so neither the
+    caller's settings nor its concurrent writes change; Spark stages the new
+    files and moves whole partitions when the job commits, so a lost executor
+    leaves no half-written one.
+    """
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        save_table(df, name, fmt, partition_by=partition_by, bucket_by=bucket_by, sort_by=bucket_by[1] if bucket_by else ())
+        return
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    view = f"replace_{uuid.uuid4().hex}"
+    df.createGlobalTempView(view)
+    try:
+        columns = ", ".join(f"`{c}`" for c in spark.table(name).columns)
+        own.sql(f"INSERT OVERWRITE TABLE {name} SELECT {columns} FROM global_temp.{view}")
+    finally:
+        spark.catalog.dropGlobalTempView(view)
+    spark.catalog.refreshTable(name)
+
+
+def analyze_table(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> None:
+    """Row count, size and column statistics for the optimiser, all columns by default (JON-5).
+
+    With ``spark.sql.cbo.enabled`` (set by ``session.build``) Spark orders a
+    star's joins and picks broadcasts from these, so no row has to be counted when
+    a query is planned.
+    """
+    what = "FOR ALL COLUMNS" if columns is None else "FOR COLUMNS " + ", ".join(f"`{c}`" for c in columns)
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS {what}")
+
+
 def save_files(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                partition_by: Sequence[str] = (), **options: str) -> None:
     """Write ``df`` as files at ``path`` (SNK-2)."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,48 +41,94 @@ def _file_path() -> F.Column:
     return F.col("_metadata.file_path")
 
 
+def first_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str | None]:
+    """The first line of each file that is not blank, ``None`` if there is none.
+
+    Opens each file through Spark's file systems and reads its first buffer
+    only, gzip and the like included; a thread each for a few files at a time.
+    The driver holds one line per file of its own file listing.
+    """
+    jvm = spark._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first(path: str) -> str | None:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(conf).open(at)
+        try:
+            codec = codecs.getCodec(at)
+            text = codec.createInputStream(stream) if codec is not None else stream
+            reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8"))
+            line = reader.readLine()
+            while line is not None and not line.strip("\ufeff \t\r"):
+                line = reader.readLine()
+            return line.removeprefix("\ufeff") if line is not None else None
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return dict(zip(paths, pool.map(first, paths), strict=True))
+
+
+def listed_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The files below ``paths``, by Spark's listing, as paths that its readers take."""
+    found = spark.read.option("recursiveFileLookup", True).text(list(paths)).inputFiles()
+    return [spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f)).toString() for f in found]
+
+
+def bound_columns(header: Sequence[str], wanted: Sequence[str]) -> dict[str, int] | None:
+    """The place of each wanted column in a header, whatever its case; ``None`` if one is missing.
+
+    An exact name wins over one that differs in case; two that differ in case
+    only, none of them exact, are an error.
+    """
+    places: dict[str, int] = {}
+    for name in wanted:
+        exact = [i for i, h in enumerate(header) if h == name]
+        alike = exact or [i for i, h in enumerate(header) if h.strip().casefold() == name.casefold()]
+        if not alike:
+            return None
+        if not exact and len(alike) > 1:
+            raise ValueError(f"column {name!r} is ambiguous in header {list(header)}")
+        places[name] = alike[0]
+    return places
+
+
 def read_yearly_files(spark: SparkSession, path: str | Sequence[str],
                       columns: Mapping[str, str], year_regex: str,
                       year_col: str = "Year", sep: str = ",") -> DataFrame:
     """One delimited file per year, the year taken from the file path (SRC-2, SET-1).
 
-    ``columns`` maps wanted column name → type. Files may order their
-    columns differently and carry extra ones: a single glob read would bind by
-    position and silently swap them. So the header line of every file is
-    found first — one job over the files as plain text lines, keeping lines
-    that mention every wanted name, at most one per file on the driver —
-    files are grouped by header layout, and each layout is read once with its
-    own schema and selected by name. The layouts are then unioned by name.
+    ``columns`` maps wanted column name → type. Files may order their columns
+    differently, carry extra ones and write names in another case: a single
+    glob read would bind by position and silently swap them. So each file's
+    header, its first line, is read beforehand (``first_lines``), files are
+    grouped by header, and each group is read once with its own schema and
+    selected by name; the groups are then unioned by name. A file whose header
+    lacks a column fails the read; a blank file has no rows.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    lines = spark.read.option("recursiveFileLookup", True).text(paths)
-    n_files = len(lines.inputFiles())
-    mentions = F.lit(True)
-    for name in columns:
-        mentions = mentions & F.col("value").contains(name)
-    candidates = (lines.where(mentions)
-                  .groupBy(_file_path().alias("path"))
-                  .agg(F.min_by("value", F.length("value")).alias("line"))
-                  .collect())  # ≤ n_files rows
+    headers = first_lines(spark, listed_files(spark, [path] if isinstance(path, str) else path))
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for row in candidates:
-        names = tuple(next(csv.reader([row["line"]], delimiter=sep)))
-        if all(n in names for n in columns):
-            layouts.setdefault(names, []).append(row["path"])
-    found = sum(len(f) for f in layouts.values())
-    if found != n_files:
-        # never drop a file's rows silently: every file needs a usable header
-        with_header = {f for fs in layouts.values() for f in fs}
-        missing = [f for f in raw_files(lines) if f not in with_header]
+    missing = []
+    for file, line in headers.items():
+        if line is None:
+            continue
+        names = tuple(next(csv.reader([line], delimiter=sep)))
+        if bound_columns(names, list(columns)) is None:
+            missing.append(file)
+        layouts.setdefault(names, []).append(file)
+    if missing:
         raise ValueError(f"no header naming {list(columns)} in: {missing[:5]}"
                          f"{' …' if len(missing) > 5 else ''}")
     parts = []
     for names, files in layouts.items():
-        fields = [T.StructField(n, T.StringType()) for n in _dedupe(names)]
+        unique = _unique(names)
+        fields = [T.StructField(n, T.StringType()) for n in unique]
+        places = bound_columns(names, list(columns))
         df = (spark.read.schema(T.StructType(fields)).option("header", True)
               .option("enforceSchema", True).option("sep", sep).csv(files))
         parts.append(df.select(
-            *[F.col(f"`{n}`").try_cast(t).alias(n) for n, t in columns.items()],
+            *[F.col(f"`{unique[places[n]]}`").try_cast(t).alias(n) for n, t in columns.items()],
             F.regexp_extract(_file_path(), year_regex, 1).try_cast("int").alias(year_col)))
     if not parts:
         schema = ", ".join(f"`{n}` {t}" for n, t in columns.items()) + f", `{year_col}` int"
@@ -92,20 +139,16 @@ def read_yearly_files(spark: SparkSession, path: str | Sequence[str],
     return out
 
 
-def raw_files(df: DataFrame) -> list[str]:
-    """The files behind a file-source DataFrame (from the file listing, no scan)."""
-    return list(df.inputFiles())
-
-
-def _dedupe(names: Sequence[str]) -> list[str]:
-    seen: dict[str, int] = {}
+def _unique(names: Sequence[str]) -> list[str]:
+    """Header names as schema names: a name seen before, in any case, gets its place appended."""
+    seen: set[str] = set()
     out = []
     for i, n in enumerate(names):
-        if n in seen:
-            out.append(f"{n}{i}")
-        else:
-            seen[n] = i
-            out.append(n)
+        n = n.replace("`", "") or f"_c{i}"
+        while n.casefold() in seen:
+            n = f"{n}{i}"
+        seen.add(n.casefold())
+        out.append(n)
     return out
 
 
@@ -134,37 +177,59 @@ def read_stations(spark: SparkSession, path: str,
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_sheet_export(spark: SparkSession, path: str, columns: Mapping[str, str],
-                      key_col: str, key_regex: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines of text files with their ``path`` and a ``place`` that grows from line to line of a file.
+
+    A split's lines come in order and a split starts at a known offset of its
+    file, so (offset, running number) orders a file's lines without a sort.
+    """
+    lines = spark.read.text([path] if isinstance(path, str) else list(path))
+    return lines.select("value", _file_path().alias("path"),
+                        F.struct(F.col("_metadata.file_block_start").alias("offset"),
+                                 F.monotonically_increasing_id().alias("number")).alias("place"))
+
+
+def read_sheet_export(spark: SparkSession, path: str | Sequence[str], columns: Mapping[str, str],
+                      key_col: str, key_regex: str | None = None) -> DataFrame:
     """A sheet saved as delimited text whose header sits below a preamble (SRC-5).
 
-    Stands in for ``read_excel(sheet, header=n)``: the file is read as text
-    without a header; the header row is the first row that names ``key_col``
-    (one row to the driver), wanted columns are bound by name from it, and
-    data rows are those whose key cell matches ``key_regex`` (e.g.
-    ``^[A-Z]{3}$`` for ISO3), which drops preamble, header and footer rows.
-    Cells are cast with ``try_cast``, so an empty or non-numeric score is NULL.
+    Stands in for ``read_excel(sheet, header=n)``: in each file the header is
+    the first line with a cell ``key_col`` (one line per file to the driver),
+    wanted columns are bound by name from it, and every line below it is a row,
+    those with a blank key included; only lines without any content are none.
+    ``key_regex`` keeps rows whose key matches it. Cells are cast with
+    ``try_cast``, so an empty or non-numeric score is NULL. A file without a
+    header fails the read. A cell may hold the separator in quotes, no line break.
     """
-    # the header's own width decides how many columns are read; lines that mention
-    # the key column outside a header cell are passed over
-    lines = spark.read.text(path).where(F.col("value").contains(key_col))
-    cells = F.transform(F.split("value", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-    found = lines.where(F.array_contains(cells, key_col)).limit(1).collect()
-    if not found:
-        raise ValueError(f"no header row naming {key_col!r} in {path}")
-    header = next(csv.reader([found[0]["value"]]))
-    raw_schema = T.StructType([T.StructField(f"_c{i}", T.StringType())
-                               for i in range(len(header))])
-    raw = spark.read.schema(raw_schema).option("header", False).csv(path)
-    pos = {}
-    for i, name in enumerate(header):
-        if name is not None and name not in pos:
-            pos[name] = i
-    missing = [c for c in list(columns) + [key_col] if c not in pos]
-    if missing:
-        raise ValueError(f"columns {missing} not in header of {path}")
-    rows = raw.where(F.col(f"_c{pos[key_col]}").rlike(key_regex))
-    return rows.select(*[F.col(f"_c{pos[n]}").try_cast(t).alias(n) for n, t in columns.items()])
+    lines = numbered_lines(spark, path)
+    key = key_col.casefold()
+    cells = F.transform(F.split("value", ","), lambda c: F.lower(F.regexp_replace(c, '^[\ufeff\\s"]+|[\\s"]+$', "")))
+    is_header = F.array_contains(cells, key) if "," not in key_col else F.lower("value").contains(key)
+    heads = (lines.groupBy("path").agg(F.min_by("value", F.when(is_header, F.col("place"))).alias("line"),
+                                       F.min(F.when(is_header, F.col("place"))).alias("place")).collect())  # a row per file
+    if not heads or any(h["place"] is None for h in heads):
+        lost = [h["path"] for h in heads if h["place"] is None]
+        raise ValueError(f"no header row naming {key_col!r} in {lost[:5] or path}")
+    parts = []
+    layouts: dict[tuple[str, ...], list] = {}
+    for h in heads:
+        layouts.setdefault(tuple(next(csv.reader([h["line"].removeprefix("\ufeff")]))), []).append(h)
+    for names, files in layouts.items():
+        places = bound_columns(names, [*columns, key_col])
+        if places is None:
+            raise ValueError(f"columns {[c for c in columns if bound_columns(names, [c]) is None]} not in header of {files[0]['path']}")
+        starts = spark.createDataFrame([(h["path"], h["place"]) for h in files], "__path string, __start struct<offset:bigint,number:bigint>")
+        raw = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        # a row per file of this read, which the driver has already listed
+        below = lines.join(F.broadcast(starts), (F.col("path") == F.col("__path")) & (F.col("place") > F.col("__start")))
+        rows = below.where(F.col("value").rlike('[^,\\s"]')).select(F.from_csv("value", raw.simpleString()).alias("row")).select("row.*")
+        if key_regex is not None:
+            rows = rows.where(F.col(f"_c{places[key_col]}").rlike(key_regex))
+        parts.append(rows.select(*[F.col(f"_c{places[n]}").try_cast(t).alias(n) for n, t in columns.items()]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def read_lookup(spark: SparkSession, path: str,

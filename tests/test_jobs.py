@@ -66,6 +66,27 @@ def test_job1b_keeps_cpc_and_raw_m49(spark, loaded):
     assert dict(out.dtypes)["AreaCodeM49"] == "string"
 
 
+def test_job1_a_year_alone_and_buckets(spark, loaded, tmp_path):
+    """SNK-1 from the loader: laid out by year and area code, one year written again."""
+    db = "cropstats_layout_db"
+    catalog.ensure_database(spark, db, str(tmp_path / "db"))
+    path = loaded["paths"]["production"]
+    whole = jobs.load_production(spark, path, db, buckets=4)
+    hub = jobs.load_country_codes(spark, loaded["paths"]["codes"], db, buckets=4)
+    rows = whole.count()
+    spark.sql(f"ALTER TABLE {db}.crop_yield DROP PARTITION (Year = 2022)")
+    assert catalog.table(spark, f"{db}.crop_yield").count() < rows
+    again = jobs.load_production(spark, path, db, buckets=4, years=[2022])
+    assert again.count() == rows and again.exceptAll(loaded["crop"].select(*again.columns)).count() == 0
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = again.join(hub, again.AreaCodeM49 == hub.ISONum)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_job4_k15_religion(spark, loaded):
     """JOB-4: FLT-5, FN-8, FN-9, PRJ-3, PRJ-6, RSH-3."""
     rel = loaded["religion"]
@@ -128,8 +149,12 @@ def test_job10_job11_features(spark, loaded):
 def test_job12_series_and_r(spark, loaded):
     """JOB-12: FLT-3, PRJ-1, ORD-1, STA-2."""
     feats = jobs.feature_table(spark, 1, DB)
-    series, r = jobs.series_correlation(feats, "Germany", "Wheat")
-    assert [row.Year for row in series.collect()] == [1961, 2022, 2023]
+    series, ranges, r = jobs.series_correlation(feats, "Germany", "Wheat")
+    rows = series.collect()
+    assert [row.Year for row in rows] == [1961, 2022, 2023]
+    got = ranges.first()
+    assert (got.min_Yield, got.max_Yield) == (min(x.Yield for x in rows), max(x.Yield for x in rows))
+    assert (got.min_Temperature, got.max_Temperature) == (min(x.Temperature for x in rows), max(x.Temperature for x in rows))
     assert -1 <= r.collect()[0].r <= 1
 
 
@@ -166,6 +191,8 @@ def test_job16_explore(spark, loaded):
     assert counts == {"Wheat": 3, "Almonds, in shell": 1}
     assert parts["areas_of_item"].count() == 3
     assert {r.Element for r in parts["elements"].collect()} == {"Yield", "Production"}
+    with_year = jobs.explore_production(raw, "Wheat", "Germany", years=[2022])["elements"]
+    assert with_year.columns == ["Area", "Item", "Element", "Unit", "Y2022"] and "130.0" in {str(float(r.Y2022)) for r in with_year.collect() if r.Y2022}
 
 
 def test_app_runs_every_step(spark, tmp_path):

@@ -50,13 +50,11 @@ def test_agg9_series_range_and_lim1_preview(spark):
     assert {(r.v, r.min_v, r.max_v) for r in rows} == {(3, 3, 9), (9, 3, 9)}
 
 
-def test_star_join_and_bounded_broadcast(spark):
+def test_star_join(spark):
     fact = spark.createDataFrame([(1, 2000, 5.0), (2, 2000, 6.0), (3, 2000, 7.0)],
                                  "code int, Year int, v double")
     hub = spark.createDataFrame([(1, "AAA"), (2, "BBB")], "num int, iso string")
     attr = spark.createDataFrame([("AAA", 2000, 1.5)], "iso string, Year int, t double")
-    out = joins.star_join(fact, [joins.Dim(hub, {"code": "num"}, ["iso"], broadcast_rows=10),
+    out = joins.star_join(fact, [joins.Dim(hub, {"code": "num"}, ["iso"]),
                                  joins.Dim(attr, {"iso": "iso", "Year": "Year"}, ["t"])])
     assert [(r.code, r.iso, r.t) for r in out.collect()] == [(1, "AAA", 1.5)]
-    big = spark.range(50)
-    assert joins.bounded_broadcast(big, 10) is big  # over the bound: no broadcast hint

@@ -73,3 +73,47 @@ def test_property_symmetric_and_bounded(spark, rows):
     assert got[("x", "y")] == got[("y", "x")]
     for v in got.values():
         assert v is None or -1.0 <= v <= 1.0
+
+
+def test_wide_correlations_of_200_columns_by_group(spark, monkeypatch):
+    from cropstats.operators import wide_stats
+
+    monkeypatch.setattr(wide_stats, "GROUPS", 1)  # tasks pass partial matrices on early
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 200)) + 1e6 * rng.normal(size=200)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 0.1  # no spread
+    groups = ["hot" if i % 3 else None if i % 2 else "g" for i in range(300)]
+    names = [f"c{j}" for j in range(200)]
+    rows = [(g, *[None if np.isnan(v) and j % 2 else float(v) for j, v in enumerate(r)]) for g, r in zip(groups, x, strict=True)]
+    df = spark.createDataFrame(rows, "g string, " + ", ".join(f"{n} double" for n in names)).repartition(7)
+    out = wide_stats.corr_wide(df, names, ["g"])
+    got = {(r.g, r.var_x, r.var_y): r.r for r in out.collect()}
+    assert len(got) == 3 * 200 * 200
+    for g in ("hot", "g", None):
+        own = x[[v == g for v in groups]]
+        for i, j in rng.integers(0, 200, (60, 2)).tolist() + [[3, 3], [7, 8], [7, 7]]:
+            both = ~np.isnan(own[:, i]) & ~np.isnan(own[:, j])
+            if 7 in (i, j):
+                assert got[g, f"c{i}", f"c{j}"] is None
+            else:
+                assert got[g, f"c{i}", f"c{j}"] == pytest.approx(np.corrcoef(own[both, i], own[both, j])[0, 1], abs=1e-9)
+    # the same numbers as one expression per pair
+    six = names[:6]
+    pairs = {(r.g, r.var_x, r.var_y): r.r for r in stats.corr_pairs(df, six, ["g"]).collect()}
+    for key, r in pairs.items():
+        assert got[key] == pytest.approx(r, abs=1e-9)
+    assert {(r.var_x, r.var_y): r.r for r in wide_stats.corr_wide(df, ["c7", "c8"]).collect()}["c7", "c8"] is None
+    assert wide_stats.corr_wide(df.limit(0), names, ["g"]).count() == 0
+
+
+def test_merged_moments_do_not_depend_on_the_cut(spark):
+    from cropstats.operators import wide_stats
+
+    rng = np.random.default_rng(2)
+    x = 1e8 + rng.normal(size=(90, 5))
+    x[:40, 2] = np.nan
+    whole = wide_stats.moments(x)
+    for cut in (1, 39, 40, 41, 89):
+        parts = wide_stats.merged(wide_stats.moments(x[:cut]), wide_stats.moments(x[cut:]))
+        assert np.allclose(parts[0], whole[0]) and np.allclose(parts[3:], whole[3:], rtol=1e-6, atol=1e-6)
