@@ -84,13 +84,13 @@ def q40b_production_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("q41_explore_production", "WITH" + SQL_FACTS + """
-SELECT n_name AS "Area", c_mktsegment AS "Item", 'Yield' AS "Element", 'USD' AS "Unit", CAST("Yield" AS VARCHAR) AS "Y1997"
+SELECT n_name AS "Area", c_mktsegment AS "Item", 'Yield' AS "Element", 'USD' AS "Unit", "Yield" AS "Y1997"
 FROM long WHERE c_mktsegment = 'BUILDING' AND n_name = 'NATION_1' AND "Year" = 1997""")
 def q41_explore_production(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOB-16: the elements of one item in one area, with a year's value as it stands in the file."""
     raw = files.read_delimited(spark, production_file(spark, sf_dir), infer=False)
     out = jobs.explore_production(raw, "BUILDING", "NATION_1", years=[1997])["elements"]
-    return out.withColumn("Y1997", F.col("Y1997").cast("double").cast("string"))
+    return out.withColumn("Y1997", F.col("Y1997").cast("double"))
 
 
 SQL_ORDERS_BY_NATION = f"""

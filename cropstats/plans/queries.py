@@ -109,7 +109,7 @@ def sql_round(expr: str, digits: int) -> str:
     (35.934999… → 35.93). Going through text and an exact DECIMAL gives the
     Spark result.
     """
-    return (f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,12)), {digits}) "
+    return (f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38,18)), {digits}) "
             f"AS DOUBLE)")
 
 
