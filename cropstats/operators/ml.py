@@ -32,7 +32,7 @@ def assemble(inputs: Sequence[str], output: str = "features",
 
 
 def categorical(columns: Sequence[str], drop_last: bool = True, handle_invalid: str = "skip",
-                index_suffix: str = "Indexed", encoded_suffix: str = "Encoded") -> list:
+                index_suffix: str = "_rank", encoded_suffix: str = "_dummies") -> list:
     """StringIndexer + OneHotEncoder stages for ``columns`` (ML-2, ML-3, ML-4, FN-13).
 
     Index order: frequency descending, ties by label ascending. Labels unseen
@@ -57,9 +57,9 @@ def categorical(columns: Sequence[str], drop_last: bool = True, handle_invalid:
 
 def minmax(column: str, output: str | None = None) -> list:
     """Scale one numeric column to [0, 1] (ML-5): assembler + MinMaxScaler."""
-    out = output or column + "Scaled"
-    return [assemble([column], column + "Vectorized"),
-            MinMaxScaler(inputCol=column + "Vectorized", outputCol=out)]
+    out = output or column + "_unit"
+    return [assemble([column], column + "_vector"),
+            MinMaxScaler(inputCol=column + "_vector", outputCol=out)]
 
 
 def standardize(input_col: str, output_col: str, with_mean: bool = True,
@@ -88,24 +88,24 @@ def recipe(name: str, label: str = "Yield", country: str = "Country", item: str
     """
     if name == "m1":
         stages = categorical([country, item], drop_last=True)
-        stages += [assemble([country + "Encoded", item + "Encoded", temperature], "features",
+        stages += [assemble([country + "_dummies", item + "_dummies", temperature], "features",
                             "skip"),
                    linear_regression("features", label)]
     elif name == "m2":
         stages = categorical([country, item], drop_last=False)
         stages += minmax(urban) + minmax(rural)
-        stages += [assemble([country + "Encoded", item + "Encoded", temperature, gdp, cpi,
-                             urban + "Scaled", rural + "Scaled"], "features", "skip"),
+        stages += [assemble([country + "_dummies", item + "_dummies", temperature, gdp, cpi,
+                             urban + "_unit", rural + "_unit"], "features", "skip"),
                    linear_regression("features", label)]
     elif name == "m3":
         stages = categorical([country, item], drop_last=False)
-        stages += [assemble([country + "Encoded", item + "Encoded", temperature, gdp, cpi,
-                             urban, rural], "pca_input", "skip"),
-                   standardize("pca_input", "scaled_features"),
-                   PCA(k=2, inputCol="scaled_features", outputCol="pca_features"),
-                   assemble(["pca_features", country + "Encoded", item + "Encoded"],
-                            "final_features"),
-                   linear_regression("final_features", label)]
+        stages += [assemble([country + "_dummies", item + "_dummies", temperature, gdp, cpi,
+                             urban, rural], "m3_inputs", "skip"),
+                   standardize("m3_inputs", "m3_standard"),
+                   PCA(k=2, inputCol="m3_standard", outputCol="m3_components"),
+                   assemble(["m3_components", country + "_dummies", item + "_dummies"],
+                            "m3_design"),
+                   linear_regression("m3_design", label)]
     else:
         raise ValueError(f"unknown recipe {name!r}")
     return Pipeline(stages=stages)
@@ -193,10 +193,10 @@ def _names(stage, param: str) -> list[str]:
 
 
 def pca_pipeline(inputs: Sequence[str], k: int = 2, categorical_cols: Sequence[str] = (),
-                 output: str = "pca_features") -> Pipeline:
+                 output: str = "__components") -> Pipeline:
     """Standardise then PCA(k) (ML-6, ML-7), optionally with one-hot categories first."""
     stages = categorical(categorical_cols, drop_last=False) if categorical_cols else []
-    feature_cols = [c + "Encoded" for c in categorical_cols] + list(inputs)
+    feature_cols = [c + "_dummies" for c in categorical_cols] + list(inputs)
     stages += [assemble(feature_cols, "__pca_input", "skip"),
                standardize("__pca_input", "__pca_scaled"),
                PCA(k=k, inputCol="__pca_scaled", outputCol=output)]
@@ -215,7 +215,7 @@ def pca_signs(model: PipelineModel) -> list[float]:
 
 
 def pca_coordinates(model: PipelineModel, df: DataFrame, keep: Sequence[str] = (),
-                    prefix: str = "PC", output: str = "pca_features") -> DataFrame:
+                    prefix: str = "PC", output: str = "__components") -> DataFrame:
     """Project ``df``: ``keep`` columns + PC1..PCk as doubles, sign-normalised (ML-8)."""
     signs = pca_signs(model)
     arr = vector_to_array(F.col(output))

@@ -35,6 +35,13 @@ DATABASE = "cropstats_db"
 PRODUCTION_IDS = ["Area Code", "Area Code (M49)", "Area", "Item Code", "Item",
                   "Element Code", "Element", "Unit"]
 
+# Columns of the inputs that are dropped or read by name.
+RELIGION_HELPERS = ["row_number", "level", "Nation_fk", "Region"]
+WORLD_TOTAL = "All Countries"
+SHEET_COUNTRY, SHEET_CODE, SHEET_SCORE = "Country / Territory", "ISO3", "CPI Score "
+SECOND_TEMPERATURE = "Average surface temperature5"
+CPC_CODE, AREA_CODE = "Item Code (CPC)", "Area Code (M49)"
+
 # The religion columns kept, renamed to singular names.
 RELIGIONS = {
     "Christians": "Christian",
@@ -69,10 +76,10 @@ def production_long(raw: DataFrame, keep_cpc: bool = False, row_id: bool = False
     unpivots value / flag / note per year in one pass, cleans the names and
     calls the area ``Country``.
     """
-    df = raw if keep_cpc else raw.drop("Item Code (CPC)")
+    df = raw if keep_cpc else raw.drop(CPC_CODE)
     if not keep_cpc:
-        df = df.withColumn("Area Code (M49)", strip_and_cast("Area Code (M49)", "[']", "int"))
-    ids = PRODUCTION_IDS + (["Item Code (CPC)"] if keep_cpc else [])
+        df = df.withColumn(AREA_CODE, strip_and_cast(AREA_CODE, "[']", "int"))
+    ids = PRODUCTION_IDS + ([CPC_CODE] if keep_cpc else [])
     ids = [c for c in df.columns if c in ids]
     if row_id:
         df = add_row_id(df)
@@ -137,8 +144,8 @@ def religion_long(sheet: DataFrame) -> DataFrame:
     """JOB-4 transform: drop helper columns, drop the world total (and NULL
     countries, K15), numbers out of text such as ``< 10,000``, one row per
     religion with the total population kept."""
-    df = sheet.drop("row_number", "level", "Nation_fk", "Region")
-    df = df.where(~F.col("Country").contains("All Countries"))
+    df = sheet.drop(*RELIGION_HELPERS)
+    df = df.where(~F.col("Country").contains(WORLD_TOTAL))
     df = map_other_columns(df, ["Year", "Country"],
                            lambda c: strip_and_cast(c, "[<, ]", "bigint"))
     df = df.withColumn("Year", F.col("Year").try_cast("int"))
@@ -170,14 +177,14 @@ def corruption_index(spark: SparkSession, yearly_path: str | Sequence[str], shee
     era1 = rename(era1.withColumn("score", scale_truncate("score", 10)),
                   schemas.RENAMES["cpi_yearly"]).select("Country", "ISO", "CPI", "Year")
     years = range(first_sheet_year, last_sheet_year + 1)
-    score_cols = {f"CPI Score {y}": "double" for y in years}
+    score_cols = {f"{SHEET_SCORE}{y}": "double" for y in years}
     sheet = files.read_sheet_export(
-        spark, sheet_path, {"Country / Territory": "string", "ISO3": "string", **score_cols},
-        key_col="ISO3", key_regex="^[A-Z]{3}$")
-    sheet = sheet.select("Country / Territory", "ISO3",
+        spark, sheet_path, {SHEET_COUNTRY: "string", SHEET_CODE: "string", **score_cols},
+        key_col=SHEET_CODE, key_regex="^[A-Z]{3}$")
+    sheet = sheet.select(SHEET_COUNTRY, SHEET_CODE,
                          *[truncate_int(c).alias(c) for c in score_cols])
-    era2 = explode_measures(sheet, ["Country / Territory", "ISO3"],
-                            {y: f"CPI Score {y}" for y in years},
+    era2 = explode_measures(sheet, [SHEET_COUNTRY, SHEET_CODE],
+                            {y: f"{SHEET_SCORE}{y}" for y in years},
                             name_col="Year", value_col="CPI", name_type="int")
     era2 = rename(era2, schemas.RENAMES["cpi_sheet"]).select("Country", "ISO", "CPI", "Year")
     return era1.unionByName(era2)
@@ -206,7 +213,7 @@ def load_emissions(spark: SparkSession, path: str, database: str = DATABASE,
 
 def surface_temperature(raw: DataFrame, after_year: int = 1960) -> DataFrame:
     """JOB-7 transform: drop the duplicate column (K8), years after 1960, round to 2 (K3)."""
-    df = raw.drop("Average surface temperature5")
+    df = raw.drop(SECOND_TEMPERATURE)
     df = year_range(df, "year", after_year, None, low_inclusive=False)
     df = rename(df, schemas.RENAMES["temperature"])
     return df.withColumn("Temperature", round_to("Temperature", 2))

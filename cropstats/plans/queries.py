@@ -459,7 +459,7 @@ def q15_string_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = categorical(["p_type"])
     model = stages[0].fit(part)
     return (model.transform(part)
-            .select("p_type", F.col("p_typeIndexed").cast("int").alias("p_type_idx"))
+            .select("p_type", F.col("p_type_rank").cast("int").alias("p_type_idx"))
             .distinct())
 
 
@@ -475,7 +475,7 @@ def q16_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = load(spark, sf_dir, "part")
     model = Pipeline(stages=categorical(["p_type"], drop_last=True)).fit(part)
     width = len(model.stages[0].labelsArray[0]) - 1
-    arr = vector_to_array(F.col("p_typeEncoded"))
+    arr = vector_to_array(F.col("p_type_dummies"))
     return model.transform(part).select(
         "p_partkey", *[arr[j].alias(f"oh_{j}") for j in range(width)])
 
@@ -691,7 +691,7 @@ def q22_regression_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     part = load(spark, sf_dir, "part")
     pipe = Pipeline(stages=categorical(["p_type"], drop_last=True)
-                    + [assemble(["p_typeEncoded"]), linear_regression(label="p_retailprice")])
+                    + [assemble(["p_type_dummies"]), linear_regression(label="p_retailprice")])
     return pipe.fit(part).transform(part).select(
         "p_partkey", F.round("prediction", 4).alias("prediction"))
 
@@ -712,7 +712,7 @@ def q22c_regression_covariate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     part = load(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("double"))
     pipe = Pipeline(stages=categorical(["p_type"], drop_last=True)
-                    + [assemble(["p_typeEncoded", "p_size"]),
+                    + [assemble(["p_type_dummies", "p_size"]),
                        linear_regression(label="p_retailprice")])
     return pipe.fit(part).transform(part).select(
         "p_partkey", F.round("prediction", 4).alias("prediction"))

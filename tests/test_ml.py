@@ -23,7 +23,7 @@ def test_k18_unseen_label_kept_not_failing(spark):
     test = spark.createDataFrame([("z", 3.0)], "t string, y double")
     model = Pipeline(stages=ml.categorical(["t"], handle_invalid="keep")).fit(train)
     row = model.transform(test).collect()[0]
-    assert row.tIndexed == 2.0  # the extra "unseen" index
+    assert row.t_rank == 2.0  # the extra "unseen" index
     skip = Pipeline(stages=ml.categorical(["t"])).fit(train)
     assert skip.transform(test).count() == 0  # default: unseen rows are skipped at scoring
 
@@ -31,7 +31,7 @@ def test_k18_unseen_label_kept_not_failing(spark):
 def test_k18_default_encoding_is_full_rank_and_solved_exactly(spark):
     rows = [(t, float(s), 10.0 * i + s) for i, t in enumerate("abc") for s in range(1, 6)]
     df = spark.createDataFrame(rows, "t string, s double, y double")
-    model = Pipeline(stages=ml.categorical(["t"]) + [ml.assemble(["tEncoded", "s"]),
+    model = Pipeline(stages=ml.categorical(["t"]) + [ml.assemble(["t_dummies", "s"]),
                                                        ml.linear_regression(label="y")]).fit(df)
     assert model.stages[-1].summary.totalIterations == 0  # direct normal-equation solve
     out = model.transform(df).select("y", "prediction").collect()
@@ -41,7 +41,7 @@ def test_k18_default_encoding_is_full_rank_and_solved_exactly(spark):
 def test_ml5_minmax_in_unit_interval(spark):
     df = spark.createDataFrame([(float(v),) for v in [3, 7, 11, 5]], "u double")
     out = Pipeline(stages=ml.minmax("u")).fit(df).transform(df)
-    vals = [r[0] for r in out.select(vector_to_array("uScaled")[0]).collect()]
+    vals = [r[0] for r in out.select(vector_to_array("u_unit")[0]).collect()]
     assert min(vals) == 0.0 and max(vals) == 1.0 and all(0 <= v <= 1 for v in vals)
 
 

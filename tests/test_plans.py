@@ -68,6 +68,19 @@ def test_unpivot_reads_the_saved_wide_table_only(spark):
     assert plan.count("Scan parquet") == 1 and "Generate" in plan and "Exchange" not in plan
 
 
+def test_series_range_is_one_scan(spark):
+    """AGG-9, FLT-3: a window over the series, no join; its filter reaches the scan."""
+    plan = _plan(queries.q24_series(spark, SF_SMALL))
+    tree = plan.split("\n\n")[0]
+    assert tree.count("Scan parquet") == 1 and "Window" in tree and "Join" not in tree
+    assert "EqualTo(n_name,NATION_1)" in plan
+
+
+def test_wide_correlations_are_one_shuffle(spark):
+    tree = _plan(queries.q13d_corr_many_columns(spark, SF_SMALL)).split("\n\n")[0]
+    assert tree.count("Exchange") == 1 and tree.count("MapInArrow") == 2
+
+
 def test_corr_by_group_is_one_aggregate(spark):
     df = queries.q13_corr_by_group(spark, SF_SMALL)
     plan = _plan(df)

@@ -33,7 +33,7 @@ def test_k14_two_names_for_one_iso3_fan_out_and_guard(spark):
 def test_k20_intended_names_are_used():
     m1 = ml.recipe("m1")
     encoder = m1.getStages()[1]
-    assert encoder.getOutputCols() == ["CountryEncoded", "ItemEncoded"]
+    assert encoder.getOutputCols() == ["Country_dummies", "Item_dummies"]
     snow = [m for m in weather.WEATHER_MEASURES if m.name == "SnowDepth"][0]
     assert snow.how == "max"  # the daily column is SnowDepth, aggregated by max
 
