@@ -16,6 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     written to the shared folder. Nodes with very many links meet only in
     map-side minima and in joins that Spark splits.
     """
+    spark, before = links.sparkSession, scratch.mark()
     both = scratch.stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = scratch.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("component")), "labels")
     while True:
@@ -24,5 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = scratch.stored(step.join(jump, "component", "left").select("node", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
         labels = new.select("node", "component")
-        if new.where("old <> component").isEmpty():
+        labels._stored_at = new._stored_at
+        done = new.where("old <> component").isEmpty()
+        scratch.release(spark, before, new, *([] if done else [both]))
+        if done:
             return labels

@@ -7,6 +7,7 @@ shuffle output of a stage that would have to run again.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_made = threading.local()
+
+
+def mark() -> int:
+    """How many tables this thread has written so far; see :func:`release`."""
+    return len(_paths())
+
+
+def _paths() -> list[str]:
+    if not hasattr(_made, "paths"):
+        _made.paths = []
+    return _made.paths
+
+
+def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables that this thread has stored since ``since``, but for those given.
+
+    For the tables of steps whose results are written: nothing may still read
+    them lazily. Each is deleted by the exact path it was written to.
+    """
+    kept = {df._stored_at for df in keep}
+    gone = [p for p in _paths()[since:] if p not in kept]
+    _paths()[since:] = [p for p in _paths()[since:] if p in kept]
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/llm/{name}-{uuid.uuid4().hex}"
@@ -47,7 +77,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    _paths().append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
 
 
 def partitions(df: DataFrame, least: int = 1) -> int:
