@@ -43,6 +43,11 @@ def _paths() -> list[str]:
     return _made.paths
 
 
+def made(since: int) -> list[str]:
+    """The paths of the tables that this thread has stored since then and not deleted."""
+    return _paths()[since:]
+
+
 def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     """Delete the tables that this thread has stored since ``since``, but for those given.
 
@@ -50,12 +55,17 @@ def release(spark: SparkSession, since: int, *keep: DataFrame) -> None:
     them lazily. Each is deleted by the exact path it was written to.
     """
     kept = {df._stored_at for df in keep}
-    gone = [p for p in _paths()[since:] if p not in kept]
-    _paths()[since:] = [p for p in _paths()[since:] if p in kept]
+    delete(spark, [p for p in made(since) if p not in kept])
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that this thread has stored."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in gone:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+    for path in paths:
+        if path in _paths():
+            _paths().remove(path)
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
