@@ -12,7 +12,8 @@ import __spark_entry__ as entry
 from cropstats.plans.queries import ORACLE, QUERIES
 from tests.conftest import SF_SMALL
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+          "embeddings"]
 
 
 def _norm(v):
