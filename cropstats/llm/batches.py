@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
 
@@ -26,9 +29,29 @@ def importable(df: DataFrame) -> None:
 
 
 def mapped(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` with workers that can import this package."""
+    """``df.mapInArrow`` with workers that can import this package and give memory back after each task."""
     importable(df)
-    return df.mapInArrow(function, schema)
+
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(parts)
+        finally:
+            trim()
+
+    return df.mapInArrow(task, schema)
+
+
+def trim() -> None:
+    """Return what this process has freed to the system.
+
+    Spark keeps its Python workers for later tasks of other stages. The C
+    library and Arrow keep freed pages for the next allocation, so an idle
+    worker would hold the most that any of its tasks needed.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
