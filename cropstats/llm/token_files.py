@@ -74,6 +74,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(first), "file").select("doc_id", (F.col("first") + F.col("ids_before")).alias("start"), "n_tokens", "ids")
 
 
+def lookup(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """The rows of a few documents; row groups whose minima, maxima or Bloom filter exclude the ids are not read."""
+    return spark.read.schema(SCHEMA).orc(path).where(F.col("doc_id").isin([int(i) for i in ids])).select("doc_id", "n_tokens", "ids")
+
+
 def digests(rows: DataFrame) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens`` and the CRC-32 of each row's ids as little-endian unsigned 32-bit integers."""
 
