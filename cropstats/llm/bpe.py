@@ -5,14 +5,13 @@ text's ids are the ids of its pieces in order. The pieces are found with numpy
 over code points, equal pieces are found by hash, and the library encodes only
 those that this worker has not seen. On the made-up words of the test tables
 this is several times as fast as encoding each text; the ids are the same,
-which ``tests/llm/test_bpe.py`` checks.
+which ``tests/llm/test_units.py`` checks.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import unicodedata
 from array import array
 from functools import cache
 
@@ -33,17 +32,25 @@ _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 @cache
 def _classes() -> np.ndarray:
-    """Class of each code point: letter, number, white space or other."""
+    """Class of each code point: letter, number, white space or other, as the library's own pre-tokenizer has them.
+
+    The pre-tokenizer cuts the string of all code points where the class
+    changes; the first of each run is then tried beside one of a known class.
+    """
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    cuts = ByteLevel(add_prefix_space=False).pre_tokenize_str
+
+    def kind(c: str) -> int:
+        return next((k for k, known in ((_LETTER, "a"), (_NUMBER, "1"), (_OTHER, "!")) if len(cuts(known + c)) == 1), _SPACE)
+
     out = np.full(0x110000, _OTHER, dtype=np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind == "L":
-            out[c] = _LETTER
-        elif kind == "N":
-            out[c] = _NUMBER
-    # Unicode's White_Space property, which str.isspace() exceeds by U+001C to U+001F.
-    for c in (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
-        out[c] = _SPACE
+    for c in range(0x80):  # blanks and apostrophes join what is not of their class
+        out[c] = kind(chr(c))
+    for low, high in ((0x80, 0xD800), (0xE000, 0x110000)):
+        text = "".join(map(chr, range(low, high)))
+        for _, (start, end) in cuts(text):
+            out[low + start:low + end] = kind(text[start])
     return out
 
 
@@ -249,7 +256,7 @@ def _parts(text: str) -> list[str]:
             probe = text.find(" ", probe)
             if probe < 0 or probe + 1 >= len(text):
                 break
-            if text[probe - 1].isalpha() and text[probe + 1].isalpha():
+            if _classes()[ord(text[probe - 1])] == _classes()[ord(text[probe + 1])] == _LETTER:
                 cut = probe
                 break
             probe += 1
