@@ -17,7 +17,10 @@ last piece comes first, so results do not depend on order or machine.
 Defined cases: null text counts as empty, and an empty text has one
 segmentation without pieces; a text has as many rows as it has segmentations,
 ``n`` at most; repeated rows each get theirs; rows without id keep null; extra
-columns are not read.
+columns are not read. Decoding turns word marks into blanks, so a text that
+holds a word mark itself comes back with a blank there; null ids decode to
+null, ids that are neither piece nor byte (control symbols) spell nothing,
+and bytes that are not UTF-8 become U+FFFD.
 """
 
 from __future__ import annotations
@@ -87,6 +90,9 @@ class Lattice:
         model = SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         plain = {model.id_to_piece(i): (i, model.get_score(i)) for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+        across = [p for p in plain if MARK in p.lstrip(MARK)]
+        if across:
+            raise ValueError(f"pieces that hold a word mark after other characters span words, e.g. {across[0]!r}")
         return cls(plain, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], n)
 
     def _ending(self, text: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
@@ -206,6 +212,11 @@ class Lattice:
         """The word that ids spell: pieces joined, byte pieces put together."""
         return b"".join([self.spell[i] for i in ids]).decode("utf-8", "surrogatepass")
 
+    def decoded(self, ids: np.ndarray) -> str:
+        """The text that ids spell, without the mark put in front of it."""
+        spelled = b"".join([self.spell.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace")
+        return spelled.removeprefix(MARK).replace(MARK, " ")
+
     def _search(self, text: str) -> Found:
         size = len(text)
         edges: list[list[tuple[int, tuple[int, ...], float]]] = [[]]
@@ -217,8 +228,12 @@ class Lattice:
         queue: list = [(-ahead[size], 0, size, 0.0, None)]
         out: Found = []
         arrived = 0
+        visits = [0] * (size + 1)  # whatever reaches a place after n others completes no better than each of them
         while queue and len(out) < self.n:
             _, _, place, behind, chain = heapq.heappop(queue)
+            visits[place] += 1
+            if visits[place] > self.n:
+                continue
             if place == 0:
                 ids: list[int] = []
                 while chain is not None:
@@ -347,3 +362,28 @@ def segmentations(docs: DataFrame, model: str, n: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "rank", "n_tokens", "score", "ids_crc32", "decodes"])
 
     return batches.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
+
+
+def encode(docs: DataFrame, model: str, n: int = 1) -> DataFrame:
+    """Per row of ``docs`` and rank: ``doc_id``, ``rank``, ``score`` and the ``ids`` of its ``n`` best segmentations; one narrow pass."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches.pieces(parts, "text"):
+            out = []
+            for doc_id, found in zip(part.column(0).to_pylist(), lattice(model, n).texts(batches.strings(part, "text")), strict=True):
+                out += [(doc_id, rank, score, np.frombuffer(ids, dtype=np.int32)) for rank, (score, ids, _) in enumerate(found, 1)]
+            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "rank", "score", "ids"])
+
+    return batches.mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, rank int, score double, ids array<int>")
+
+
+def decode(encoded: DataFrame, model: str) -> DataFrame:
+    """``doc_id``, ``rank`` and the ``text`` that ``ids`` spell, for every row of a table like that of ``encode``."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            texts = [lattice(model, 1).decoded(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, type=pa.string())], names=["doc_id", "rank", "text"])
+
+    return batches.mapped(encoded.select(F.col("doc_id").cast("long"), F.col("rank").cast("int"), F.expr("filter(ids, i -> i is not null)").cast("array<int>").alias("ids")), run, "doc_id long, rank int, text string")
