@@ -13,7 +13,8 @@ narrow pass over all whole texts.
 
 Defined cases: a null text counts as empty; an empty text has no feature and
 its score is the model's bias; labels that are null are not learned from, and
-of repeated labels of a document the larger counts; without labels of both
+of repeated labels of a document the larger counts; of repeated rows of an id
+with unlike texts the one with the least SHA-256 trains; without labels of both
 classes every score is the share of label 1, or 0.5 without any; rows without
 id are scored and count as not held out; extra columns are not read.
 """
@@ -194,7 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> tuple[n
         yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()]), pa.array([slope]), pa.array([offset])], names=["model", "slope", "offset"])
 
     # no more than max_rows ids and labels are broadcast
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # of repeated ids the text with the least digest trains
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.sha2("text", 256)).alias("text"))
     seen = batches.mapped(rows, look, "doc_id long, quality int, row array<int>")
     found = batches.mapped(seen.repartition(1), learn, "model binary, slope double, offset double").collect()
     if not found:
