@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from array import array
 
 import pytest
 import public_tokenizers
@@ -133,6 +135,24 @@ def test_quality_scores_every_row(spark, docs, none):
     assert rows(quality.scored(none, quality.train(none, labels), ["doc_id"])) == []
 
 
+def test_quality_on_held_out_labels(spark):
+    got = queries.op4_quality_classifier(spark, "/root/testdata/sf0.01")
+    labels = queries.table(spark, "/root/testdata/sf0.01", "labels").where("quality is not null").select("doc_id", "quality")
+    held = got.where("held_out").join(labels, "doc_id").collect()
+    assert got.count() == queries.table(spark, "/root/testdata/sf0.01", "documents").count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got.collect())
+    assert len(held) > 20 and sum(r.predicted == r.quality for r in held) >= 0.95 * len(held)
+
+
+def test_of_repeated_ids_the_least_digest_trains(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    texts = [(i, f"{'good fine text' if i % 2 else 'BAD!! 99 $$'} {i} {k}") for i in range(12) for k in range(3)]
+    models = [quality.train(spark.createDataFrame(order, "doc_id long, text string").repartition(n), labels) for order, n in ((texts, 1), (texts[::-1], 5))]
+    least = [min((t for j, t in texts if j == i), key=lambda t: hashlib.sha256(t.encode()).hexdigest()) for i in range(12)]
+    models.append(quality.train(spark.createDataFrame(list(enumerate(least)), "doc_id long, text string"), labels))
+    assert all((m[0] == models[0][0]).all() and m[1:] == models[0][1:] for m in models)
+
+
 def test_neighbours(spark):
     vectors = [(i, [float(i % 7), 1.0, float(i)]) for i in range(40)] + [(40, None), (41, [0.0] * 3), (42, [float("nan"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0])]
     vectors += [(i, [9.0, 9.0, 9.0]) for i in range(50, 80)]
@@ -144,6 +164,47 @@ def test_neighbours(spark):
         assert [(r.vec_id, -r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(i, s) for s, i in best]
 
 
+def test_pieces_encode_and_decode_to_the_same_text(spark, docs, none):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    strange = spark.createDataFrame([(20, "  two  blanks "), (21, "é中😀\n\t<s> x"), (22, "▁mark"), (23, "a" * 20_000)], "doc_id long, text string")
+    given = docs.select("doc_id", "text").unionByName(strange)
+    found = nbest.encode(given, model, n=3)
+    back = nbest.decode(found, model).collect()
+    texts = {}
+    for r in given.collect():
+        texts.setdefault(r.doc_id, set()).add((r.text or "").replace("▁", " "))
+    assert len(back) == found.count() > docs.count() and {r.doc_id for r in back} == set(texts)
+    assert all(r.text in texts[r.doc_id] for r in back)
+    digests = {(r.doc_id, r.rank, r.n_tokens, r.ids_crc32) for r in nbest.segmentations(given, model, n=3).collect()}
+    assert {(r.doc_id, r.rank, len(r.ids), zlib.crc32(array("I", r.ids).tobytes())) for r in found.collect()} == digests
+    odd = spark.createDataFrame([(1, 1, None, 0), (2, 1, [], 0), (3, 1, [1, None, 2], 0)], "doc_id long, rank int, ids array<int>, text int")
+    assert sorted((r.doc_id, r.text) for r in nbest.decode(odd, model).collect()) == [(1, None), (2, ""), (3, "")]
+    assert rows(nbest.encode(none, model)) == [] and rows(nbest.decode(nbest.encode(none, model), model)) == []
+
+
+def test_token_ids_and_packed_pieces_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.byte_bpe())
+    docs = {r.doc_id: r.text or "" for r in queries.table(spark, "/root/testdata/sf0.001", "documents").collect()}
+    ids = {i: array("I", [*library.encode(t, add_special_tokens=False).ids, 0]) for i, t in docs.items()}
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op5_token_ids_orc(spark, "/root/testdata/sf0.001").collect()}
+    start, expected = 0, {}
+    for i in sorted(ids):
+        expected[i] = (start, len(ids[i]), zlib.crc32(ids[i].tobytes()))
+        start += len(ids[i])
+    assert got == expected
+    by_doc: dict = {}
+    for r in queries.op7_best_fit_packing(spark, "/root/testdata/sf0.001").collect():
+        by_doc.setdefault(r.doc_id, []).append(r)
+    assert by_doc.keys() == ids.keys()
+    for i, placed in by_doc.items():
+        placed.sort(key=lambda r: r.piece)
+        assert [r.piece for r in placed] == list(range(len(placed))) and sum(r.length for r in placed) == len(ids[i])
+        assert all(zlib.crc32(ids[i][r.start:r.start + r.length].tobytes()) == r.ids_crc32 for r in placed)
+        assert all(r.length == 2048 for r in placed[1:]) and len(placed) == -(-len(ids[i]) // 2048)
+
+
 def test_segmentations_and_pages(spark, docs, none):
     found = nbest.segmentations(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
     assert all(r.decodes for r in found) and [r.n_tokens for r in found if r.doc_id == 2] == [0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,6 +25,15 @@ def test_bpe_ids_are_the_librarys():
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_newer_than_pythons_are_the_librarys():
+    encoder = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    kinds = {"L": 1, "N": 2}
+    unlike = [c for c in range(0x80, 0x110000) if bpe._classes()[c] < 3 and kinds.get(unicodedata.category(chr(c))[0]) != bpe._classes()[c]]
+    texts = [f"x'll{c}'ll {c}'s 1{c} !{c} a{c}" for c in map(chr, [0xA7CB, *unlike, *range(0x80, 0xD800, 97), *range(0xE000, 0x110000, 997)])]
+    whole = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.ids(texts)] == whole
+
+
 def test_added_tokens_are_the_librarys():
     from tokenizers import Tokenizer
 
@@ -191,6 +201,27 @@ def test_nbest_equals_brute_force_and_decodes():
     assert all(right for _, _, right in lattice.texts([long])[0])
 
 
+def test_pieces_that_span_words_are_refused(monkeypatch):
+    class Model:
+        def __init__(self, model_file):
+            self.pieces = ["a", "a▁b"]
+
+        def get_piece_size(self):
+            return 2
+
+        def id_to_piece(self, i):
+            return self.pieces[i]
+
+        def get_score(self, i):
+            return -1.0
+
+        is_byte = is_control = is_unknown = is_unused = lambda self, i: False
+
+    monkeypatch.setattr("sentencepiece.SentencePieceProcessor", Model)
+    with pytest.raises(ValueError, match="span words"):
+        nbest.Lattice.load("x", 1)
+
+
 def test_best_fit_and_crossover_keep_every_piece():
     rng = random.Random(2)
     lengths = np.array([rng.randint(1, 100) for _ in range(300)])
