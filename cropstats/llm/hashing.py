@@ -14,6 +14,8 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = 1 << 20
+#: Added to a span's hash for each symbol of its length.
+SPAN_VALUE = U64(0xA0761D6478BD642F)
 #: Bytes of white space: blank, tab, line feed, vertical tab, form feed, return.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -62,7 +64,7 @@ def spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hashes of the spans [start, end), by the prefix sums of :func:`prefix`."""
     with np.errstate(over="ignore"):
         raw = (sums[end] - sums[start]) * powers(len(sums), inverse=True)[start]
-        return mix(raw + (end - start).astype(U64) * U64(0xA0761D6478BD642F))
+        return mix(raw + (end - start).astype(U64) * SPAN_VALUE)
 
 
 def word_spans(data: bytes | memoryview) -> tuple[np.ndarray, np.ndarray]:

@@ -17,8 +17,10 @@ Defined cases: null text counts as empty; texts shorter than ``length`` lose
 nothing; matches never cross documents; a string that repeats only within one
 document stays; rows without id take no part and lose nothing; repeated rows
 of a document are one document; extra columns are not read; an empty table
-gives no row. The distinct surroundings of a single anchor, under 2 * length
-bytes each, have to fit a task.
+gives no row. An anchor with more rows than fill a block (a phrase that a large
+share of the texts holds in unlike surroundings) is not sorted in one task:
+its windows meet by aggregates over the whole window. Surroundings of an anchor
+count as equal by a 64-bit hash beside the anchor's own.
 """
 
 from __future__ import annotations
@@ -33,11 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cropstats.llm import batches, scratch
-from cropstats.llm.hashing import BYTE_VALUES, U64, prefix, spans
+from cropstats.llm.hashing import BYTE_VALUES, SPAN_VALUE, U64, mix, powers, prefix, spans
 
 #: Period and residues of a perfect difference cover: every difference modulo 7 is one of two residues.
 PERIOD, COVER = 7, (0, 1, 3)
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 #: Bytes of surroundings sorted at a time.
 BUCKET = 4 << 20
 
@@ -51,27 +53,39 @@ def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(cur[:n], cur[width - size:width - size + n]) if size < width else cur[:n]
 
 
-def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the grams that are least in some window of ``length`` bytes, and their hashes."""
-    places, hashes = [], []
+def anchors_of(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the grams that are least in some window of ``length`` bytes, and their hashes.
+
+    ``data`` holds texts one after the other, ``bounds`` where each starts and
+    where the last ends; windows do not cross texts.
+    """
+    places, hashes = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=U64)]
     width = length - gram + 1
-    step = max(_BLOCK, 4 * length)
-    for at in range(0, max(len(text) - length + 1, 0), step):  # windows that start in [at, at + step)
-        a = np.frombuffer(text, dtype=np.uint8)[at:at + step + length - 1]
+    edge = np.zeros(width - 1, dtype=U64)
+    cut = np.maximum(bounds[1:] - length + 1, bounds[:-1])  # windows from here to the end of the text would leave it
+    for at in range(0, len(data) - length + 1, _BLOCK):  # windows that start in [at, at + _BLOCK)
+        a = data[at:at + _BLOCK + length - 1]
         sums = prefix(BYTE_VALUES[a])
-        start = np.arange(len(a) - gram + 1)
-        h = spans(sums, start, start + gram)
+        with np.errstate(over="ignore"):
+            h = mix((sums[gram:] - sums[:-gram]) * powers(len(sums), inverse=True)[:len(sums) - gram] + U64(gram) * SPAN_VALUE)
         least = sliding(h, width, np.minimum)
-        edge = np.zeros(width - 1, dtype=U64)
+        out = np.zeros(len(least) + 1, dtype=np.int32)
+        near = slice(np.searchsorted(bounds[1:], at, side="right"), np.searchsorted(cut, at + len(least)))
+        np.add.at(out, np.clip(cut[near] - at, 0, len(least)), 1)
+        np.add.at(out, np.clip(bounds[1:][near] - at, 0, len(least)), -1)
+        least[np.cumsum(out[:-1]) > 0] = 0
         found = np.flatnonzero(sliding(np.concatenate((edge, least, edge)), width, np.maximum) == h)
         places.append(found + at)
         hashes.append(h[found])
-    if not places:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=U64)
     p, first = np.unique(np.concatenate(places), return_index=True)  # blocks overlap
     return p, np.concatenate(hashes)[first]
 
 
+def anchors(text: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of one text."""
+    return anchors_of(np.frombuffer(text, dtype=np.uint8), np.array([0, len(text)]), length, gram)
+
+
 @cache
 def shifts() -> np.ndarray:
     """For two residues, the least shift at which both are in the cover."""
@@ -164,16 +178,22 @@ def repeats(texts: list[bytes], owners: np.ndarray, low: np.ndarray, high: np.nd
     return [(int(i), int(a), int(b)) for i, a, b in zip(number[cut], hit[cut] - starts[number[cut]], hit[last] - starts[number[cut]], strict=True)]
 
 
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts one after the other, and where each starts and the last ends."""
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
+
+
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches.pieces(parts, "text"):
-            keys, ids = [], []
-            for doc_id, text in zip(part.column(0).to_pylist(), batches.utf8(part, "text"), strict=True):
-                if doc_id is not None and len(text) >= length:
-                    keys.append(np.unique(anchors(text, length, gram)[1]))
-                    ids.append(np.full(len(keys[-1]), doc_id, dtype=np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], names=["key", "doc_id"])
+            data, bounds = _joined(batches.utf8(part, "text"))
+            place, key = anchors_of(data, bounds, length, gram)
+            text = np.searchsorted(bounds, place, side="right") - 1
+            order = np.lexsort((key, text))
+            key, text = key[order].view(np.int64), text[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[new]), part.column(0).take(pa.array(text[new]))], names=["key", "doc_id"])
 
     return batches.mapped(docs.select("doc_id", "text"), find, "key long, doc_id long")
 
@@ -200,27 +220,29 @@ def _surroundings(joined: DataFrame, length: int, gram: int) -> DataFrame:
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches.pieces(parts, "text"):
-            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            texts = batches.utf8(part, "text")
-            whole = np.frombuffer(b"".join(texts), dtype=np.uint8)
-            before = 0
-            for doc_id, text, shared in zip(part.column(0).to_pylist(), texts, part.column(2), strict=True):
-                place, key = anchors(text, length, gram)
-                keep = np.isin(key.view(np.int64), shared.values.to_numpy(zero_copy_only=False))
-                place, key = place[keep], key[keep]
-                begin, end = np.maximum(place + gram - length, 0), np.minimum(place + length, len(text))
-                mark = np.empty(len(place), dtype=U64)
-                for at in range(0, len(text) if len(place) else 0, _BLOCK):
-                    some = slice(*np.searchsorted(begin, (at, at + _BLOCK)))
-                    block = np.frombuffer(text, dtype=np.uint8)[at:at + _BLOCK + 2 * length]
-                    mark[some] = spans(prefix(BYTE_VALUES[block]), begin[some] - at, end[some] - at)
-                for c, v in zip(columns, (key.view(np.int64), mark.view(np.int64), np.full(len(key), doc_id, dtype=np.int64), begin, np.minimum(place - begin, end - begin - length), np.stack((begin + before, end - begin))), strict=True):
-                    c.append(v)
-                before += len(text)
-            key, mark, ids, first, high = (np.concatenate(c) for c in columns[:5])
-            starts, sizes = np.concatenate(columns[5], axis=1)
+            data, bounds = _joined(batches.utf8(part, "text"))
+            place, key = anchors_of(data, bounds, length, gram)
+            text = np.searchsorted(bounds, place, side="right") - 1
+            # anchors of a text that other texts share; two that fall together here only give a row that decides nothing
+            with np.errstate(over="ignore"):
+                lists = part.column(2)
+                owner = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy())
+                shared = np.sort(lists.flatten().to_numpy().view(U64) ^ mix(owner.astype(U64)))
+                mine = key ^ mix(text.astype(U64))
+            if not len(shared):
+                continue
+            keep = shared[np.minimum(np.searchsorted(shared, mine), len(shared) - 1)] == mine
+            place, key, text = place[keep], key[keep].view(np.int64), text[keep]
             if not len(key):
                 continue
+            starts, end = np.maximum(place + gram - length, bounds[text]), np.minimum(place + length, bounds[text + 1])
+            sizes = end - starts
+            mark = np.empty(len(place), dtype=U64)
+            for at in range(0, len(data), _BLOCK):
+                some = slice(*np.searchsorted(starts, (at, at + _BLOCK)))
+                mark[some] = spans(prefix(BYTE_VALUES[data[at:at + _BLOCK + 2 * length]]), starts[some] - at, end[some] - at)
+            mark, ids = mark.view(np.int64), part.column(0).to_numpy()[text]
+            first, high = starts - bounds[text], np.minimum(place - starts, sizes - length)
             order = np.lexsort((ids, mark, key))
             new = np.ones(len(order), dtype=bool)
             new[1:] = (key[order[1:]] != key[order[:-1]]) | (mark[order[1:]] != mark[order[:-1]])
@@ -228,7 +250,7 @@ def _surroundings(joined: DataFrame, length: int, gram: int) -> DataFrame:
             least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
             valid = ids == least
             sizes = np.where(valid, sizes, 0)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in (key, mark, ids, first, high)], _binary(_pick(whole, starts, sizes), sizes, valid)], names=["key", "mark", "doc_id", "first", "high", "around"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in (key, mark, ids, first, high)], _binary(_pick(data, starts, sizes), sizes, valid)], names=["key", "mark", "doc_id", "first", "high", "around"])
 
     return batches.mapped(joined, cut, _AROUND)
 
@@ -290,8 +312,11 @@ def _bucket(rows: pa.Table, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["doc_id", "low", "high"])
 
 
-def removals(docs: DataFrame, length: int = 50, gram: int = 18) -> DataFrame:
-    """Runs of window starts (``low`` to ``high``) in ``doc_id`` that repeat in a smaller id, stored."""
+def removals(docs: DataFrame, length: int = 50, gram: int = 18, most: int | None = None) -> DataFrame:
+    """Runs of window starts (``low`` to ``high``) in ``doc_id`` that repeat in a smaller id, stored.
+
+    An anchor with more than ``most`` rows (by default as many as fill a block) is dealt by its windows.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     alike = Window.partitionBy("key")
     found = _anchor_rows(rows, length, gram).withColumn("least", F.min("doc_id").over(alike)).withColumn("most", F.max("doc_id").over(alike))
@@ -299,9 +324,29 @@ def removals(docs: DataFrame, length: int = 50, gram: int = 18) -> DataFrame:
     by_doc = shared.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     around = scratch.stored(_surroundings(rows.join(by_doc, "doc_id").select("doc_id", "text", "keys"), length, gram), "surroundings")
     open_ = around.where("around IS NOT NULL")
-    dealt = open_.repartition(scratch.partitions(docs), "key").sortWithinPartitions("key", "mark", "doc_id")
+    many = scratch.stored(open_.groupBy("key").count().where(F.col("count") > (most or BUCKET // (2 * length))).select("key"), "frequent-anchors")
+    few = open_.join(many, "key", "left_anti").select(*around.columns)
+    dealt = few.repartition(scratch.partitions(docs), "key").sortWithinPartitions("key", "mark", "doc_id")
     settled = around.where("around IS NULL").select("doc_id", F.col("first").alias("low"), (F.col("first") + F.col("high")).alias("high"))
-    return scratch.stored(_settle(dealt, length).unionByName(settled), "removals")
+    return scratch.stored(_settle(dealt, length).unionByName(settled).unionByName(_frequent(open_.join(many, "key", "left_semi"), length)), "removals")
+
+
+def _frequent(rows: DataFrame, length: int) -> DataFrame:
+    """Runs of window starts to remove at anchors with more rows than a block: nothing of such an anchor has to meet in one task.
+
+    Equal surroundings are settled by a map-side minimum. Of the first holders
+    the windows themselves are the buckets, which again meet by aggregates; joins
+    back to the rows are dealt by mark or window, and skewed ones are split.
+    """
+    least = rows.groupBy("key", "mark").agg(F.min("doc_id").alias("least"))
+    marked = scratch.stored(rows.join(least, ["key", "mark"]), "frequent-surroundings")
+    later = marked.where("doc_id > least").select("doc_id", F.col("first").alias("low"), (F.col("first") + F.col("high")).alias("high"))
+    place = F.explode(F.sequence(F.lit(0).cast("long"), F.col("high"))).alias("place")
+    starts = marked.where("doc_id = least").select("doc_id", "first", "around", place)
+    windows = starts.select("doc_id", (F.col("first") + F.col("place")).alias("low"), F.substring("around", F.col("place").cast("int") + 1, F.lit(length)).alias("window"))
+    repeated = windows.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest")).where("least < greatest").select("window", "least")
+    found = windows.join(repeated, "window").where("doc_id > least").select("doc_id", "low", F.col("low").alias("high"))
+    return later.unionByName(found)
 
 
 def removed_bytes(size: int, low: np.ndarray, high: np.ndarray, length: int) -> np.ndarray:

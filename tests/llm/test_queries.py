@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from array import array
@@ -113,6 +114,33 @@ def test_suffix_dedup(docs, none):
     assert got[None].n_removed == 0 and rows(suffix_dedup.digests(none)) == []
 
 
+def brute_removed(texts: dict[int, bytes], length: int = 50) -> dict[int, int]:
+    seen: dict[bytes, int] = {}
+    out = {}
+    for i, t in sorted(texts.items()):
+        gone = set()
+        for p in range(len(t) - length + 1):
+            if seen.setdefault(t[p:p + length], i) < i:
+                gone |= set(range(p, p + length))
+        out[i] = len(gone)
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_suffix_dedup_of_a_phrase_in_a_third_of_the_texts(spark, most):
+    rng = random.Random(4)
+    line = "a phrase that very many of the texts hold, whatever surrounds it "
+    texts = {}
+    for i in range(400):
+        own = " ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 60)))
+        texts[i] = own + (line[rng.randint(0, 20):rng.randint(30, len(line))] * rng.randint(1, 2) if i % 3 == 0 else "") + rng.choice(["", "z" * 120, own[:90], "é" * 40])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    runs: dict[int, set] = {i: set() for i in texts}
+    for r in suffix_dedup.removals(frame, most=most).collect():
+        runs[r.doc_id] |= set(range(r.low, r.high + 50))
+    assert {i: len(x) for i, x in runs.items()} == brute_removed({i: t.encode() for i, t in texts.items()})
+
+
 def test_token_files_and_packing(spark, docs, none):
     path = scratch.fresh_path(spark, "test-ids")
     token_files.write(docs, path, queries.byte_bpe())
