@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cropstats.operators.features import build_features, mean_temperature
-from cropstats.operators.reshape import pivot_years
+from cropstats.operators.joins import Dim, star_join
+from cropstats.operators.reshape import pivot_years, unpivot_years
 from cropstats.session import checkpoint_dir
 
 
@@ -183,6 +184,45 @@ def star_features(spark: SparkSession, sf_dir: str, version: int = 1,
                           *more, element=element)
 
 
+def account_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Code, AcctBal): mean account balance per customer nation."""
+    means = (load(spark, sf_dir, "customer").groupBy("c_nationkey")
+             .agg((money("c_acctbal") / F.count("c_acctbal")).alias("AcctBal")))
+    return (means.join(nation_names(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+                 .select(F.col("n_name").alias("Code"), "AcctBal"))
+
+
+def long_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yield facts of all orders, from the saved wide table: every item of a nation in every year."""
+    keys = ["n_nationkey", "n_name", "c_mktsegment"]
+    return unpivot_years(yearly_orders_wide(spark, sf_dir), id_cols=keys).select(
+        F.col("n_nationkey").alias("AreaCodeM49"), "Year", F.col("n_name").alias("Country"),
+        F.col("c_mktsegment").alias("Item"), F.lit(None).cast("string").alias("Element"),
+        F.lit("USD").alias("Unit"), "Yield")
+
+
+def whole_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JOB-10 over the orders of every status, beside those of one element.
+
+    Every item of a nation has a row for every year, with yield 0 where nothing
+    was ordered. ``ElementYield`` is what ``star_features`` gives, NULL where it
+    has no row.
+    """
+    temperature = mean_temperature(surface_temperature(spark, sf_dir))
+    rows = build_features(long_yield(spark, sf_dir), country_codes(spark, sf_dir), temperature,
+                          element=None).drop("Element")
+    region = load(spark, sf_dir, "nation").select("n_name", F.col("n_regionkey").alias("Region"))
+    finished = star_features(spark, sf_dir).select(
+        "Country", "Item", "Year", "Element", F.col("Yield").alias("ElementYield"))
+    return star_join(rows, [
+        Dim(region, {"Country": "n_name"}, ["Region"]),
+        Dim(gdp_share(spark, sf_dir).withColumn("GDP", F.round("GDP", 2)),
+            {"Country": "Code", "Year": "Year"}, ["GDP"]),
+        Dim(account_balance(spark, sf_dir), {"Country": "Code"}, ["AcctBal"]),
+        Dim(finished, {"Country": "Country", "Item": "Item", "Year": "Year"},
+            ["Element", "ElementYield"], how="left")])
+
+
 def supplier_nation_means(spark: SparkSession, sf_dir: str,
                           measures: dict[str, str]) -> DataFrame:
     """Means of lineitem measures per (supplier nation, ship year): (nationkey, Year, …).
