@@ -23,3 +23,15 @@ def test_features_count_orders_of_every_status_in_every_year(spark):
     warm = {(r.ISO3, r.Year) for r in tables.surface_temperature(spark, SF_SMALL).collect()}
     assert yields == {(c, y): want.get((c, y), 0) for c in {c for c, _ in want} for y in years if (c, y) in warm}
     assert got.where(F.col("ElementYield") < F.col("Yield")).count() > 0 and got.where("Element IS NULL").count() > 0
+
+
+def test_correlations_cover_every_measure_of_all_orders(spark):
+    import numpy as np
+
+    got = {(r.Country, r.var_x, r.var_y): r.r for r in queries.q13_corr_by_group(spark, SF_SMALL).collect()}
+    rows = tables.whole_features(spark, SF_SMALL).toPandas()
+    assert {(x, y) for _, x, y in got} == {(x, y) for x in queries.WHOLE_VARS for y in queries.WHOLE_VARS}
+    for country, part in rows.groupby("Country"):
+        want = np.corrcoef(part["Yield"], part["GDP"])[0, 1]
+        assert abs(got[country, "Yield", "GDP"] - want) < 1e-4
+    assert {c for c, _, _ in got} == set(rows["Country"])
