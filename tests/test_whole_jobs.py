@@ -35,3 +35,18 @@ def test_correlations_cover_every_measure_of_all_orders(spark):
         want = np.corrcoef(part["Yield"], part["GDP"])[0, 1]
         assert abs(got[country, "Yield", "GDP"] - want) < 1e-4
     assert {c for c, _, _ in got} == set(rows["Country"])
+
+
+def _events_of_many_users(spark, folder, users=70):
+    """A source whose users are more than the 64 stations that were once landed, negative ids too."""
+    events = spark.range(2 * users).select(
+        (F.floor(F.col("id") / 2) - 3).alias("user_id"), F.col("id").alias("event_id"),
+        F.to_timestamp(F.lit("2024-01-05 10:00:00")).alias("ts"), F.col("id").cast("double").alias("value"))
+    events.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return {(str(u), 2024, 100 * (2 * (u + 3) + 0.5)) for u in range(-3, users - 3)}
+
+
+def test_station_files_keep_every_user_as_a_station(spark, tmp_path):
+    want = _events_of_many_users(spark, str(tmp_path))
+    got = queries.q29_station_files(spark, str(tmp_path))
+    assert {(r.StationId, r.Year, r.AverageTemperature) for r in got.collect()} == want
