@@ -50,3 +50,10 @@ def test_station_files_keep_every_user_as_a_station(spark, tmp_path):
     want = _events_of_many_users(spark, str(tmp_path))
     got = queries.q29_station_files(spark, str(tmp_path))
     assert {(r.StationId, r.Year, r.AverageTemperature) for r in got.collect()} == want
+
+
+def test_stream_ingest_keeps_every_user_as_a_station(spark, tmp_path):
+    want = _events_of_many_users(spark, str(tmp_path))
+    for _ in range(2):  # a second run finds no new files
+        got = queries.q32_stream_ingest(spark, str(tmp_path))
+        assert {(r.StationId, r.Year, r.AverageTemperature) for r in got.collect()} == want
