@@ -8,6 +8,7 @@ import re
 import zlib
 from array import array
 
+import numpy as np
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -250,3 +251,27 @@ def test_pipeline_stages_on_small_tables(spark):
     given = {r.doc_id: r.text for r in docs.collect()}
     normal = [re.sub("[\x20\x09-\x0d]", "", given[r.doc_id]) for r in stage.collect()]
     assert 0 < len(normal) < len(given) and len(set(normal)) == len(normal)
+
+
+def test_near_passages_behind_unlike_first_documents(spark):
+    """All first documents of a passage's shingles and surroundings are unlike it; its like comes after them."""
+    passage = [f"p{j}" for j in range(80)]
+    texts = {}
+    # short parts of the passage, each less than 50 words, cover every place of it three times over
+    for i in range(45):
+        at = i % 15 * 5 - 10
+        texts[i] = f"{own(f'u{i}', 60)} {' '.join(passage[max(at, 0):at + 30])} {own(f'v{i}', 60)}"
+    for k in range(6):  # further first documents, with the passage's middle
+        texts[50 + k] = f"{own(f's{k}', 60)} {' '.join(passage[20:41 + 4 * k])} {own(f't{k}', 60)}"
+    texts[100] = f"{own('a', 60)} {' '.join(passage)} {own('b', 60)}"
+    near = [*passage[:40], "x", *passage[41:]]
+    texts[200] = f"{own('c', 60)} {' '.join(near)} {own('d', 60)}"
+    got = removed(spark, texts)
+    assert got.pop(200) == 80 and not any(got.values())
+
+
+def test_shared_shingles_find_every_pair_with_enough():
+    s = np.random.default_rng(5).integers(0, 40, 200).astype(np.uint64)
+    named, free = passages._elements(s, [(0, 120), (130, 200)], [(20, 30), (90, 100)], 46, 5)
+    assert len(named) == 190 == len(set(named.tolist())) and free.sum() == 56 + 70  # 30 to 86, and 130 to 200
+    assert not passages._elements(s, [(0, 200)], [(40, 80), (120, 200)], 46, 5)[1].any()
