@@ -275,3 +275,13 @@ def test_shared_shingles_find_every_pair_with_enough():
     named, free = passages._elements(s, [(0, 120), (130, 200)], [(20, 30), (90, 100)], 46, 5)
     assert len(named) == 190 == len(set(named.tolist())) and free.sum() == 56 + 70  # 30 to 86, and 130 to 200
     assert not passages._elements(s, [(0, 200)], [(40, 80), (120, 200)], 46, 5)[1].any()
+
+
+def test_pipeline_stage_cuts_near_passages_behind_unlike_first_documents(spark):
+    passage = [f"p{j}" for j in range(80)]
+    texts = {i: f"{own(f'u{i}', 60)} {' '.join(passage[max(i % 15 * 5 - 10, 0):i % 15 * 5 + 20])} {own(f'v{i}', 60)}" for i in range(45)}
+    texts |= {50 + k: f"{own(f's{k}', 60)} {' '.join(passage[20:41 + 4 * k])} {own(f't{k}', 60)}" for k in range(6)}
+    texts |= {100: f"{own('a', 60)} {' '.join(passage)} {own('b', 60)}", 200: f"{own('c', 60)} {' '.join([*passage[:40], 'x', *passage[41:]])} {own('d', 60)}"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.repeated_passages(spark, frame, "").collect()}
+    assert kept == {i: len(t.split()) - (80 if i == 200 else 0) for i, t in texts.items()}
