@@ -6,9 +6,9 @@ the corpus many times over, so anchors pick the suffixes worth sorting: in
 each window of ``length`` bytes the grams with the least hash. Equal windows
 have equal anchors, so only windows at an anchor that two documents share can
 repeat. Where the whole surroundings of an anchor are equal the smallest id
-settles all its windows at once. Otherwise the windows' suffixes are sorted
-bucket by bucket (a bucket: the surroundings of some anchors): by their first
-bytes, and where these tie, by the ranks of a difference-cover sample. For any
+settles all its windows at once. Otherwise the windows' suffixes, but for
+those whose hash no other text of the bucket has, are sorted bucket by bucket
+(a bucket: the surroundings of some anchors): by their first bytes, and where these tie, by the ranks of a difference-cover sample. For any
 two suffixes of a tie the cover has one shift below its period at which both
 are sampled, so two ranks decide. Neighbours in the order that agree for
 ``length`` bytes are one group, whose smallest id stays.
@@ -143,6 +143,19 @@ def sort_suffixes(padded: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at[np.lexsort((at, place, tie))]
 
 
+def _in_two(joined: np.ndarray, at: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
+    """Which of the windows at ``at`` have the hash slot of a window of another text; no repeated one is left out.
+
+    The last window written to a slot differs in its text from some other one, or all are of one text.
+    """
+    slot = (spans(prefix(BYTE_VALUES[joined]), at, at + length) >> U64(64 - (8 * len(at)).bit_length())).astype(np.int64)
+    last = np.empty(1 << (8 * len(at)).bit_length(), dtype=np.int32)
+    last[slot] = text
+    several = np.zeros(len(last), dtype=bool)
+    several[slot[last[slot] != text]] = True
+    return several[slot]
+
+
 def repeats(texts: list[bytes], owners: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """Runs of window starts that repeat in a text of a smaller owner: text number, first and last start.
 
@@ -155,6 +168,10 @@ def repeats(texts: list[bytes], owners: np.ndarray, low: np.ndarray, high: np.nd
     counts = high - low + 1
     text = np.repeat(np.arange(len(texts)), counts)
     at = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + (starts + low)[text]
+    met = _in_two(joined, at, text, length)
+    at, text = at[met], text[met]
+    if not len(at):
+        return []
     owner = np.zeros(len(joined), dtype=np.int32)
     owner[at] = text
     ordered = sort_suffixes(joined, at, length)

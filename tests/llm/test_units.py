@@ -81,6 +81,17 @@ def test_suffixes_come_in_order():
         assert got == expected
 
 
+def test_windows_that_no_other_text_has_are_not_sorted(monkeypatch):
+    rng = random.Random(6)
+    texts = [bytes(rng.randrange(256) for _ in range(300)) for _ in range(20)]
+    texts[9] = texts[4][:80] + texts[9][80:]
+    sorted_, sort = [], suffix_dedup.sort_suffixes
+    monkeypatch.setattr(suffix_dedup, "sort_suffixes", lambda padded, at, depth: sorted_.append(len(at)) or sort(padded, at, depth))
+    got = suffix_dedup.repeats(texts, np.arange(20), np.zeros(20, dtype=np.int64), np.full(20, 250, dtype=np.int64), 50)
+    assert got == [(9, 0, 30)] and 62 <= sum(sorted_) < 1500  # of 5,020 windows; a few share a hash slot
+    assert suffix_dedup.repeats(texts[:4], np.arange(4), np.zeros(4, dtype=np.int64), np.full(4, 250, dtype=np.int64), 50) == []
+
+
 def test_equal_windows_have_equal_anchors():
     rng = random.Random(9)
     shared = bytes(rng.randrange(97, 123) for _ in range(50))
