@@ -285,3 +285,21 @@ def test_pipeline_stage_cuts_near_passages_behind_unlike_first_documents(spark):
     frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
     kept = {r.doc_id: len(r.text.split()) for r in corpus_pipeline.repeated_passages(spark, frame, "").collect()}
     assert kept == {i: len(t.split()) - (80 if i == 200 else 0) for i, t in texts.items()}
+
+
+def test_shared_shingles_are_found_beyond_shared_windows(spark):
+    passage = [f"p{j}" for j in range(60)]
+    texts = {i: f"{own(f'u{i}', 80)} {' '.join(passage)} {own(f'v{i}', 80)}" for i in (3, 8)} | {5: own("w", 90), 9: "short"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    covered = spark.createDataFrame([], "doc_id long, covered array<struct<start: long, end: long>>")
+    common = passages._common(frame, covered, 46, 5).collect()
+    assert sorted((r.doc_id, r.open, r.n) for r in common) == [(3, False, 2)] * 56 + [(8, True, 2)] * 56
+    assert [(r.doc_id, r.other, r.common) for r in passages._rest(frame, covered, 46, 5, 0.8).collect()] == [(8, 3, 20)]  # those behind the first 36
+    assert {r.doc_id for r in passages._free(frame, covered, frame.select("doc_id"), 46, 5).collect()} == {3, 5, 8}
+
+
+def test_pairs_whose_common_shingles_stand_apart_are_not_searched():
+    hit = np.tile([True, False], 100)
+    assert not passages._may_match(hit, 46, 0.8) and not passages._may_match(hit[:30], 46, 0.8)
+    hit[60:106] = True
+    assert passages._may_match(hit, 46, 0.8) and passages._may_match(np.arange(46) >= 9, 46, 0.8)
