@@ -303,3 +303,25 @@ def test_pairs_whose_common_shingles_stand_apart_are_not_searched():
     assert not passages._may_match(hit, 46, 0.8) and not passages._may_match(hit[:30], 46, 0.8)
     hit[60:106] = True
     assert passages._may_match(hit, 46, 0.8) and passages._may_match(np.arange(46) >= 9, 46, 0.8)
+
+
+def test_windows_and_runs_move_packed(spark):
+    """A row per bucket and piece of text, not one per window or run; a copy is known as whole and is neither compared nor a source."""
+    texts = {i: own(f"u{i}", 400) for i in range(40)}
+    texts |= {50: texts[3], 51: texts[3], 60: f"{own('x', 30)} {texts[5]}"}
+    frame = scratch.stored(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1), "texts")
+    windows = passages._windows(frame, 5, 46, 5)
+    assert 0 < windows.count() <= 2 * scratch.partitions(frame)
+    collisions = scratch.stored(passages._collisions(windows), "collisions")
+    found = {(r.doc_id, r.other, r.start, r.end, r.whole) for r in passages._runs(collisions, frame, 46, 5).collect()}
+    assert found == {(50, 3, 0, 400, True), (51, 3, 0, 400, True), (60, 5, 30, 430, False)}
+    assert {(r.doc_id, r.other) for r in passages._enough(collisions, 46, 2).collect()} == {(50, 3), (51, 3), (60, 5)}
+
+
+def test_stretches_that_are_cut_already_are_not_searched():
+    a = passages.shingles(own("a", 200).encode(), 5)
+    b = passages.shingles(" ".join([*own("a", 90).split(), "x", *own("a", 150).split()[91:]]).encode(), 5)
+    spans = passages.matched_spans(a, b, 46, 5, 0.8)
+    assert (0, 150) in spans
+    near = [passages.matched_spans(a, b, 46, 5, 0.8, asked=passages._asked(200, cut)) for cut in ([], [(0, 90), (91, 150)], [(0, 150)])]
+    assert near == [[(0, 150)], [(0, 150)], []]
