@@ -325,3 +325,7 @@ def test_stretches_that_are_cut_already_are_not_searched():
     assert (0, 150) in spans
     near = [passages.matched_spans(a, b, 46, 5, 0.8, asked=passages._asked(200, cut)) for cut in ([], [(0, 90), (91, 150)], [(0, 150)])]
     assert near == [[(0, 150)], [(0, 150)], []]
+
+
+def test_small_hashes_are_dealt_evenly():
+    assert np.bincount(passages._bucket(np.arange(1600, dtype=np.uint64), 16).astype(int), minlength=16).min() > 50
