@@ -38,3 +38,26 @@ def test_driver_stream_query_is_idempotent(spark):
     first = sorted(map(tuple, q32_stream_ingest(spark, SF_SMALL).collect()), key=str)
     second = sorted(map(tuple, q32_stream_ingest(spark, SF_SMALL).collect()), key=str)
     assert first == second and len(first) > 0
+
+
+def test_listing_takes_few_tasks_and_the_callers_settings(spark, tmp_path):
+    """A folder per station: without a bound, each listing has a task for every folder and every file."""
+    src, out, ckpt = (str(tmp_path / n) for n in ("daily", "landed", "ckpt"))
+    row = ("1990-01-01", 1.0, 0.0, 2.0, 1.0, 0, 0, 1.0, 1.0, 1000.0, 10)
+    most, n = 4 * spark.sparkContext.defaultParallelism, 150
+    assert most < n
+    for i in range(n):
+        _land(f"{src}/station={i}", "part-0", [row])
+    threshold = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "8")
+    try:
+        query = ingest_station_files(spark, src, out, ckpt, id_regex=r"station=([^/]+)/")
+        query.awaitTermination()
+    finally:
+        spark.conf.set(threshold, before)
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup(str(query.runId)) for s in status.getJobInfo(j).stageIds]
+    assert any(s.numTasks > 1 for s in stages if s) and max(s.numTasks for s in stages if s) <= most
+    assert {r.StationId for r in spark.read.parquet(out).select("StationId").distinct().collect()} == {str(i) for i in range(n)}
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) > most
